@@ -391,3 +391,276 @@ def q_standard_scale(spark, sf):
           _CUST.format(expr="round((c_acctbal - lo) / (hi - lo), 6)") + ", s")
 def q_minmax_scale(spark, sf):
     return r6(C.minmax_scale(S.load(spark, sf, "customer"), "c_acctbal"))
+
+
+# --------------------------------------------------------------------------
+# Chart data
+# --------------------------------------------------------------------------
+_FENCE = "value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+_QUART = ("q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, "
+          "quantile_cont(value, 0.75) AS q3 FROM events WHERE value IS NOT NULL GROUP BY 1)")
+
+
+@register("box_stats", f"""WITH {_QUART}
+SELECT e.event_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  round(min(CASE WHEN {_FENCE} THEN value END), 6) AS whisker_lo,
+  round(max(CASE WHEN {_FENCE} THEN value END), 6) AS whisker_hi,
+  CAST(count(*) AS BIGINT) AS n, CAST(count_if(NOT ({_FENCE})) AS BIGINT) AS n_outliers,
+  round(q3 - q1, 6) AS iqr
+FROM events e JOIN q USING (event_type) WHERE value IS NOT NULL GROUP BY e.event_type, q1, median, q3""")
+def q_box_stats(spark, sf):
+    return r6(H.box_stats(S.load(spark, sf, "events"), "value", "event_type"))
+
+
+@register("iqr_outliers", f"""WITH {_QUART}
+SELECT e.* FROM events e JOIN q USING (event_type) WHERE NOT ({_FENCE})""")
+def q_iqr_outliers(spark, sf):
+    return C.iqr_outliers(S.load(spark, sf, "events"), "value", "event_type")
+
+
+def _kde_sql(grid: int, by: str | None) -> str:
+    k = f"{by}, " if by else ""
+    gb = f"GROUP BY {by}" if by else ""
+    join = f"JOIN events e USING ({by})" if by else ", events e"
+    return f"""WITH s AS (SELECT {k}count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
+             FROM events WHERE value IS NOT NULL {gb}),
+h AS (SELECT {k}n, sd * pow(n, -0.2) AS h, lo - 3 * (sd * pow(n, -0.2)) AS start,
+             (hi - lo + 6 * (sd * pow(n, -0.2))) / {grid - 1} AS step FROM s),
+g AS (SELECT {k}CAST(range AS INTEGER) AS point, start + range * step AS y, h, n FROM range({grid}), h)
+SELECT {k.replace(', ', '') + ', ' if by else ''}point, round(y, 6) AS y,
+       round(sum(exp(-0.5 * ((y - e.value) / h) * ((y - e.value) / h))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM g {join} WHERE e.value IS NOT NULL GROUP BY {k}point, y, h, n"""
+
+
+@register("kde_curve", _kde_sql(200, None))
+def q_kde_curve(spark, sf):
+    return r6(H.kde(S.load(spark, sf, "events"), "value", grid=200))
+
+
+@register("violin_stats", f"""WITH {_QUART}, d AS ({_kde_sql(100, 'event_type')})
+SELECT d.*, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3 FROM d JOIN q USING (event_type)""")
+def q_violin_stats(spark, sf):
+    return r6(H.violin_stats(S.load(spark, sf, "events"), "value", "event_type", grid=100))
+
+
+@register("histogram", """WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem
+                                   WHERE l_extendedprice IS NOT NULL),
+c AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS cnt
+      FROM lineitem, s WHERE l_extendedprice IS NOT NULL GROUP BY 1),
+b AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20))
+SELECT b.bin, round(lo + b.bin * ((hi - lo) / 20), 6) AS lo, round(lo + (b.bin + 1) * ((hi - lo) / 20), 6) AS hi,
+       CAST(coalesce(cnt, 0) AS BIGINT) AS count FROM b CROSS JOIN s LEFT JOIN c USING (bin)""")
+def q_histogram(spark, sf):
+    return r6(H.histogram(S.load(spark, sf, "lineitem"), "l_extendedprice", 20))
+
+
+def _bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
+    return f"CAST(coalesce(least(floor(({x} - {lo}) / (({hi} - {lo}) / {bins})), {bins - 1}), 0) AS INTEGER)"
+
+
+@register("scatter_bins", f"""WITH s AS (SELECT min(l_quantity) AS xl, max(l_quantity) AS xh,
+                                   min(l_extendedprice) AS yl, max(l_extendedprice) AS yh FROM lineitem
+                                   WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+b AS (SELECT {_bin_sql('l_quantity', 'xl', 'xh', 50)} AS bx, {_bin_sql('l_extendedprice', 'yl', 'yh', 50)} AS "by",
+             l_returnflag, xl, xh, yl, yh FROM lineitem, s
+      WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)
+SELECT bx, "by", l_returnflag, round(xl + bx * (xh - xl) / 50, 6) AS x_lo, round(yl + "by" * (yh - yl) / 50, 6) AS y_lo,
+       count(*) AS count FROM b GROUP BY bx, "by", l_returnflag, xl, xh, yl, yh""")
+def q_scatter_bins(spark, sf):
+    return r6(H.scatter_bins(S.load(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", 50))
+
+
+PG_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+_PG_STATS = "WITH s AS (SELECT " + ", ".join(
+    f"min({c}) AS l{i}, max({c}) AS h{i}" for i, c in enumerate(PG_COLS)) + " FROM lineitem)\n"
+
+
+@register("pair_grid", _PG_STATS + _union([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {_bin_sql(a, f'l{i}', f'h{i}', 20)} AS bin_a, "
+    f"{_bin_sql(b, f'l{j}', f'h{j}', 20)} AS bin_b, count(*) AS count FROM lineitem, s "
+    f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 3, 4"
+    for i, a in enumerate(PG_COLS) for j, b in enumerate(PG_COLS)]))
+def q_pair_grid(spark, sf):
+    return H.pair_grid(S.load(spark, sf, "lineitem"), PG_COLS, 20)
+
+
+@register("line_series", """SELECT CAST(ts AS DATE) AS day, count(value) AS n, round(avg(value), 6) AS mean,
+  round(avg(value) - 1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS lo,
+  round(avg(value) + 1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS hi
+FROM events WHERE ts IS NOT NULL GROUP BY 1""")
+def q_line_series(spark, sf):
+    from pyspark.sql import functions as F
+    return r6(H.line_series(S.load(spark, sf, "events"), F.to_date("ts"), "value", x_name="day"))
+
+
+SUM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("summary_stats", _union([
+    f"SELECT {i} AS position, '{c}' AS \"column\", count({c}) AS count, {_dbl(f'avg({c})')} AS mean, "
+    f"{_dbl(f'stddev_samp({c})')} AS std, {_dbl(f'min({c})')} AS min, {_dbl(f'quantile_cont({c}, 0.25)')} AS q25, "
+    f"{_dbl(f'quantile_cont({c}, 0.5)')} AS q50, {_dbl(f'quantile_cont({c}, 0.75)')} AS q75, "
+    f"{_dbl(f'max({c})')} AS max FROM lineitem" for i, c in enumerate(SUM_COLS)]))
+def q_summary_stats(spark, sf):
+    return r6(H.summary_stats(S.load(spark, sf, "lineitem"), SUM_COLS))
+
+
+# --------------------------------------------------------------------------
+# Metrics on fixed scores (M12-M18, M21, Y6) — no model involved
+# --------------------------------------------------------------------------
+from tessera.operators import metrics as M  # noqa: E402
+from tessera.operators import features as K  # noqa: E402
+
+
+@register("confusion_matrix", with_ctes("""
+, c AS (SELECT y AS v FROM scored_lines UNION SELECT pred FROM scored_lines)
+SELECT a.v AS label, b.v AS prediction, CAST(count(s.y) AS BIGINT) AS count
+FROM c a CROSS JOIN c b LEFT JOIN scored_lines s ON s.y = a.v AND s.pred = b.v GROUP BY 1, 2""", "scored_lines"))
+def q_confusion_matrix(spark, sf):
+    return M.confusion_matrix(S.scored_lines(spark, sf), "y", "pred")
+
+
+@register("accuracy", with_ctes(
+    "SELECT count(*) AS n, round(avg(CAST(y = pred AS DOUBLE)), 6) AS accuracy FROM scored_lines", "scored_lines"))
+def q_accuracy(spark, sf):
+    return r6(M.accuracy(S.scored_lines(spark, sf), "y", "pred"))
+
+
+_PER_CLASS = """
+, cl AS (SELECT y AS class, count(*) AS support, count_if(y = pred) AS tp FROM scored_lines GROUP BY 1),
+pr AS (SELECT pred AS class, count(*) AS predicted FROM scored_lines GROUP BY 1),
+pc AS (SELECT coalesce(cl.class, pr.class) AS class, CAST(coalesce(support, 0) AS BIGINT) AS support,
+              CAST(coalesce(predicted, 0) AS BIGINT) AS predicted, CAST(coalesce(tp, 0) AS BIGINT) AS tp
+       FROM cl FULL OUTER JOIN pr ON cl.class = pr.class),
+pm AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+              CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+              CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2.0 * tp / (support + predicted) END AS f1 FROM pc)"""
+
+
+@register("precision_recall", with_ctes(_PER_CLASS + """
+SELECT class, support, predicted, tp, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1 FROM pm""", "scored_lines"))
+def q_precision_recall(spark, sf):
+    return r6(M.per_class(S.scored_lines(spark, sf), "y", "pred"))
+
+
+@register("weighted_f1", with_ctes(_PER_CLASS + """
+SELECT round(sum(support * f1) / sum(support), 6) AS weighted_f1 FROM pm""", "scored_lines"))
+def q_weighted_f1(spark, sf):
+    return r6(M.weighted_f1(S.scored_lines(spark, sf), "y", "pred"))
+
+
+_SCORE_COUNTS = """
+, sc AS (SELECT score, sum(CAST(y AS INTEGER)) AS pos, sum(1 - CAST(y AS INTEGER)) AS neg
+         FROM scored_lines WHERE score IS NOT NULL GROUP BY score)"""
+
+
+@register("roc_auc", with_ctes(_SCORE_COUNTS + """,
+r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM sc)
+SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS auc FROM r""", "scored_lines"))
+def q_roc_auc(spark, sf):
+    return r6(M.roc_auc(S.scored_lines(spark, sf), "y", "score"))
+
+
+_CUM = """,
+r AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS cp, sum(neg) OVER (ORDER BY score DESC) AS cn,
+             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM sc)"""
+
+
+@register("roc_curve", with_ctes(_SCORE_COUNTS + _CUM + """
+SELECT round(score, 6) AS threshold, round(cn / N, 6) AS fpr, round(cp / P, 6) AS tpr FROM r""", "scored_lines"))
+def q_roc_curve(spark, sf):
+    return r6(M.roc_curve(S.scored_lines(spark, sf), "y", "score"))
+
+
+@register("pr_curve", with_ctes(_SCORE_COUNTS + _CUM + """
+SELECT round(score, 6) AS threshold, round(cp / (cp + cn), 6) AS precision, round(cp / P, 6) AS recall FROM r""",
+                                "scored_lines"))
+def q_pr_curve(spark, sf):
+    return r6(M.pr_curve(S.scored_lines(spark, sf), "y", "score"))
+
+
+_REG_SQL = """SELECT 3 * l_quantity + 0.001 * l_extendedprice + CAST(l_orderkey % 17 - 8 AS DOUBLE) AS y,
+       3 * l_quantity + 0.001 * l_extendedprice AS p FROM lineitem"""
+
+
+@register("mse", f"SELECT count(y - p) AS n, round(avg((y - p) * (y - p)), 6) AS mse FROM ({_REG_SQL}) t")
+def q_mse(spark, sf):
+    from pyspark.sql import functions as F
+    d = S.reg_rows(spark, sf).withColumn("p", 3 * F.col("l_quantity") + 0.001 * F.col("l_extendedprice"))
+    return r6(M.mse(d, "y", "p"))
+
+
+def _hash_sql(id_sql: str, buckets: int, seed: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5('{seed}' || CAST({id_sql} AS VARCHAR)), 1, 8) AS BIGINT) % {buckets} AS INTEGER)"
+
+
+@register("cv_metrics", with_ctes(f"""
+SELECT {_hash_sql('l_orderkey', 5, 43)} AS fold, count(*) AS n, round(avg(CAST(y = pred AS DOUBLE)), 6) AS accuracy
+FROM scored_lines GROUP BY 1""", "scored_lines"))
+def q_cv_metrics(spark, sf):
+    d = K.add_folds(S.scored_lines(spark, sf), "l_orderkey", 5, seed=42)
+    return r6(M.metrics_by_fold(d, "y", "pred"))
+
+
+@register("best_model", with_ctes("""
+, lb AS (SELECT printf('score>=%.2f', t) AS model, t AS threshold,
+                avg(CAST(CAST(score >= t AS INTEGER) = CAST(y AS INTEGER) AS DOUBLE)) AS accuracy
+         FROM scored_lines, (VALUES (CAST(0.2 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.8 AS DOUBLE))) v(t) GROUP BY t)
+SELECT model, round(threshold, 6) AS threshold, round(accuracy, 6) AS accuracy FROM lb
+ORDER BY accuracy DESC, model LIMIT 1""", "scored_lines"))
+def q_best_model(spark, sf):
+    lb = M.threshold_leaderboard(S.scored_lines(spark, sf), "y", "score", [0.2, 0.5, 0.8])
+    return r6(M.best_model(lb, "accuracy"))
+
+
+@register("train_test_split", f"""SELECT c_custkey,
+  CASE WHEN {_hash_sql('c_custkey', 100, 42)} < 20 THEN 'test' ELSE 'train' END AS split FROM customer""")
+def q_train_test_split(spark, sf):
+    return K.train_test_split(S.load(spark, sf, "customer"), "c_custkey", 20, 42).select("c_custkey", "split")
+
+
+AN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _anova_sql() -> str:
+    m = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(AN_COLS))
+    g = ", ".join(f"sum({c} - m{i}) AS s{i}, sum(({c} - m{i}) * ({c} - m{i})) AS q{i}" for i, c in enumerate(AN_COLS))
+    t = ", ".join(f"sum(s{i} * s{i} / n) AS b{i}, sum(s{i}) AS ss{i}, sum(q{i}) AS qq{i}" for i in range(len(AN_COLS)))
+    parts = [f"SELECT {i} AS position, '{c}' AS \"column\", "
+             f"round(((b{i} - ss{i} * ss{i} / N) / (k - 1)) / ((qq{i} - b{i}) / (N - k)), 6) AS f_value FROM t"
+             for i, c in enumerate(AN_COLS)]
+    return (f"WITH m AS (SELECT {m} FROM lineitem WHERE l_returnflag IS NOT NULL),\n"
+            f"g AS (SELECT l_returnflag, count(*) AS n, {g} FROM lineitem, m WHERE l_returnflag IS NOT NULL GROUP BY 1),\n"
+            f"t AS (SELECT sum(n) AS N, count(*) AS k, {t} FROM g)\n" + _union(parts))
+
+
+@register("anova_f", _anova_sql())
+def q_anova_f(spark, sf):
+    return r6(K.anova_f(S.load(spark, sf, "lineitem"), "l_returnflag", AN_COLS))
+
+
+@register("select_k_best", "WITH f AS (" + _anova_sql() + """)
+SELECT CAST(row_number() OVER (ORDER BY f_value DESC NULLS LAST, position) AS INTEGER) AS rank, "column", f_value
+FROM f ORDER BY f_value DESC NULLS LAST, position LIMIT 2""")
+def q_select_k_best(spark, sf):
+    return r6(K.select_k_best(S.load(spark, sf, "lineitem"), "l_returnflag", 2, AN_COLS))
+
+
+MI_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("mutual_info", "WITH s AS (SELECT " + ", ".join(
+    f"min({c}) AS l{i}, max({c}) AS h{i}" for i, c in enumerate(MI_COLS)) + " FROM lineitem WHERE l_returnflag IS NOT NULL),\n"
+    "st AS (" + _union([
+        f"SELECT {i} AS position, '{c}' AS \"column\", {_bin_sql(c, f'l{i}', f'h{i}', 10)} AS bin, l_returnflag AS y "
+        f"FROM lineitem, s WHERE l_returnflag IS NOT NULL AND {c} IS NOT NULL" for i, c in enumerate(MI_COLS)]) + "),\n"
+    """j AS (SELECT position, "column", bin, y, count(*) AS nxy FROM st GROUP BY 1, 2, 3, 4),
+px AS (SELECT position, bin, sum(nxy) AS nx FROM j GROUP BY 1, 2),
+py AS (SELECT position, y, sum(nxy) AS ny FROM j GROUP BY 1, 2),
+n AS (SELECT position, sum(nxy) AS n FROM j GROUP BY 1)
+SELECT j.position, "column", round(sum((nxy / n) * ln((nxy * n) / (nx * ny))), 6) AS mi
+FROM j JOIN px USING (position, bin) JOIN py USING (position, y) JOIN n USING (position) GROUP BY 1, 2""")
+def q_mutual_info(spark, sf):
+    return r6(K.mutual_info(S.load(spark, sf, "lineitem"), "l_returnflag", MI_COLS, 10))
