@@ -274,7 +274,7 @@ def q_class_counts(spark, sf):
 
 
 _OM_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
-_REC_SQL = with_ctes(f"""
+_REC_BODY = f"""
 SELECT 'missing' AS rule, '{G.ADVICE_MISSING}' AS detail
 WHERE (SELECT {' + '.join(f'count(*) - count({c})' for c in OM_COLS)} FROM orders_missing) > 0
 UNION ALL
@@ -285,7 +285,8 @@ UNION ALL
 SELECT 'one_hot', '{G.ADVICE_ONE_HOT}'
 WHERE (SELECT {' OR '.join(f'count(DISTINCT {c}) < 5' for c in OM_COLS)} FROM orders_missing)
 UNION ALL
-SELECT 'model_type', '{G.ADVICE_CLASSIFICATION}'""", "orders_missing")
+SELECT 'model_type', '{G.ADVICE_CLASSIFICATION}'"""
+_REC_SQL = with_ctes(_REC_BODY, "orders_missing")
 
 
 @register("recommendations", _REC_SQL)
@@ -664,3 +665,74 @@ SELECT j.position, "column", round(sum((nxy / n) * ln((nxy * n) / (nx * ny))), 6
 FROM j JOIN px USING (position, bin) JOIN py USING (position, y) JOIN n USING (position) GROUP BY 1, 2""")
 def q_mutual_info(spark, sf):
     return r6(K.mutual_info(S.load(spark, sf, "lineitem"), "l_returnflag", MI_COLS, 10))
+
+
+# --------------------------------------------------------------------------
+# Wizard, reports, sources, text
+# --------------------------------------------------------------------------
+from tessera.plans.cleaning import CleaningPlan  # noqa: E402
+from tessera.plans import reports as RPT  # noqa: E402
+
+
+def wizard_plan() -> CleaningPlan:
+    return (CleaningPlan().missing("impute").outliers("o_totalprice", "cap")
+            .encode("label").transform("o_totalprice", "standard"))
+
+
+@register("clean_pipeline", with_ctes("""
+, m AS (SELECT avg(o_totalprice) AS mp FROM orders_missing),
+md AS (SELECT o_orderpriority AS v FROM orders_missing WHERE o_orderpriority IS NOT NULL
+       GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+s1 AS (SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(o_totalprice, mp) AS o_totalprice, o_orderdate,
+              coalesce(o_orderpriority, md.v) AS o_orderpriority FROM orders_missing, m, md),
+st2 AS (SELECT avg(o_totalprice) AS m2, stddev_samp(o_totalprice) AS s2 FROM s1),
+s2 AS (SELECT o_orderkey, o_custkey, o_orderstatus, least(greatest(o_totalprice, m2 - 3 * s2), m2 + 3 * s2) AS o_totalprice,
+              o_orderdate, o_orderpriority FROM s1, st2),
+s3 AS (SELECT o_orderkey, o_custkey, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus,
+              o_totalprice, o_orderdate,
+              CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority FROM s2),
+st4 AS (SELECT avg(o_totalprice) AS m4, stddev_samp(o_totalprice) AS s4 FROM s3)
+SELECT o_orderkey, o_custkey, o_orderstatus, round((o_totalprice - m4) / s4, 6) AS o_totalprice, o_orderdate,
+       o_orderpriority FROM s3, st4""", "orders_missing"))
+def q_clean_pipeline(spark, sf):
+    return r6(wizard_plan().apply(S.orders_missing(spark, sf)))
+
+
+_OM_CORR = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@register("eda_report", with_ctes(_union([
+    f"SELECT 'missing' AS section, '{c}' AS key1, CAST(NULL AS VARCHAR) AS key2, "
+    f"CAST(count(*) - count({c}) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM orders_missing"
+    for c in OM_COLS] + [
+    f"SELECT 'correlation', '{a}', '{b}', round(corr({_d(a)}, {_d(b)}), 6), NULL FROM orders_missing"
+    for a in _OM_CORR for b in _OM_CORR] + [
+    f"SELECT 'recommendation', rule, NULL, NULL, detail FROM ({_REC_BODY}) r"]), "orders_missing"))
+def q_eda_report(spark, sf):
+    return r6(RPT.eda_report(S.orders_missing(spark, sf), "o_orderstatus"))
+
+
+from tessera.sources import csv_io as IO  # noqa: E402
+from tessera.functions import text as TX  # noqa: E402
+from tessera.session import scratch_dir  # noqa: E402
+
+
+@register("read_csv_roundtrip", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
+          "round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
+def q_read_csv_roundtrip(spark, sf):
+    path = IO.write_csv(S.load(spark, sf, "customer"), scratch_dir(spark, "csv-roundtrip"))
+    return r6(IO.read_table(spark, path))
+
+
+@register("extract_code_blocks", "SELECT conv_id, turn, regexp_extract(text, '(?s)```python\\n(.*?)\\n```', 1) AS code "
+          "FROM conversations WHERE role = 'assistant'")
+def q_extract_code_blocks(spark, sf):
+    from pyspark.sql import functions as F
+    c = S.load(spark, sf, "conversations").where(F.col("role") == "assistant")
+    return TX.extract_code_blocks(c, "text").select("conv_id", "turn", "code")
+
+
+@register("chat_context", "SELECT conv_id, CAST(turn - min(turn) OVER (PARTITION BY conv_id) AS BIGINT) AS position, "
+          "role, text FROM conversations")
+def q_chat_context(spark, sf):
+    return TX.chat_context(S.load(spark, sf, "conversations"))
