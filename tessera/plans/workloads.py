@@ -736,3 +736,132 @@ def q_extract_code_blocks(spark, sf):
           "role, text FROM conversations")
 def q_chat_context(spark, sf):
     return TX.chat_context(S.load(spark, sf, "conversations"))
+
+
+# --------------------------------------------------------------------------
+# Training, scoring (M2-M12, M19-M22, K2, X6, Y4, Y5) — rows-only checks
+# except the closed-form ones
+# --------------------------------------------------------------------------
+from tessera.operators import models as ML  # noqa: E402
+from tessera.operators import score as SC  # noqa: E402
+
+MODEL_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+
+
+@register("linear_regression", "SELECT round(regr_slope(p_retailprice, p_partkey), 6) AS slope, "
+          "round(regr_intercept(p_retailprice, p_partkey), 6) AS intercept FROM part")
+def q_linear_regression(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    p = S.load(spark, sf, "part")
+    m = Pipeline(stages=[VectorAssembler(inputCols=["p_partkey"], outputCol="features"),
+                         LinearRegression(featuresCol="features", labelCol="p_retailprice",
+                                          regParam=0.0, solver="normal")]).fit(p).stages[-1]
+    return r6(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
+                                    "slope double, intercept double"))
+
+
+_DEF_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+@register("default_row", with_ctes(_union([
+    f"SELECT {i} AS position, '{c}' AS \"column\", round(avg(CAST({c} AS DOUBLE)), 6) AS mean, "
+    f"CAST(NULL AS VARCHAR) AS mode FROM orders_missing"
+    for i, c in enumerate(_DEF_COLS) if c not in ("o_orderstatus", "o_orderpriority")] + [
+    f"SELECT {i}, '{c}', NULL, (SELECT {c} FROM orders_missing WHERE {c} IS NOT NULL GROUP BY 1 "
+    f"ORDER BY count(*) DESC, 1 LIMIT 1)"
+    for i, c in enumerate(_DEF_COLS) if c in ("o_orderstatus", "o_orderpriority")]), "orders_missing"))
+def q_default_row(spark, sf):
+    return r6(SC.default_values(S.orders_missing(spark, sf), _DEF_COLS))
+
+
+def _model_split(spark, sf):
+    from pyspark.sql import functions as F
+    d = K.train_test_split(S.model_rows(spark, sf).withColumn(
+        "row_id", F.col("l_orderkey") * 100 + F.col("l_linenumber")), "l_orderkey", 20, 42)
+    return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    train, test = _model_split(spark, sf)
+    m = SC.fit_scoring_model(train, MODEL_FEATURES, "label", "random_forest", task="classification",
+                             trees=20, depth=5)
+    return SC.score_batch(m, test, keep=["l_orderkey", "l_linenumber", "label"])
+
+
+@register("automl")
+def q_automl(spark, sf):
+    d = S.model_rows(spark, sf)
+    return ML.automl(d, MODEL_FEATURES, "label", "l_orderkey", grid="small", parallelism=8).leaderboard
+
+
+@register("automl_regression")
+def q_automl_regression(spark, sf):
+    d = S.reg_rows(spark, sf)
+    return ML.automl(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "y", "l_orderkey",
+                     grid="small", parallelism=8).leaderboard
+
+
+@register("compare_models")
+def q_compare_models(spark, sf):
+    d = S.model_rows(spark, sf)
+    params = {"random_forest": {"trees": 20, "depth": 5}, "gradient_boosting": {"trees": 10, "depth": 3}}
+    return ML.compare_models(d, MODEL_FEATURES, "label", "l_orderkey",
+                             ["logistic_regression", "random_forest", "decision_tree", "svm",
+                              "gradient_boosting", "linear_regression"], folds=3, params=params).leaderboard
+
+
+@register("feature_importances")
+def q_feature_importances(spark, sf):
+    train, _ = _model_split(spark, sf)
+    m = SC.fit_scoring_model(train, MODEL_FEATURES, "label", "random_forest", task="classification",
+                             trees=20, depth=5)
+    return ML.feature_importances(m.stages[-2], MODEL_FEATURES)
+
+
+@register("rfe")
+def q_rfe(spark, sf):
+    return ML.rfe(S.model_rows(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "label", 2,
+                  task="classification")
+
+
+@register("pca")
+def q_pca(spark, sf):
+    rows, _ = ML.pca(S.load(spark, sf, "embeddings"), "embedding", 5, id_col="vec_id")
+    return rows
+
+
+# --------------------------------------------------------------------------
+# Anomaly detection
+# --------------------------------------------------------------------------
+from tessera.operators import anomaly as AN  # noqa: E402
+
+
+def _part_xy(spark, sf):
+    from pyspark.sql import functions as F
+    p = S.load(spark, sf, "part")
+    return p.withColumn("dx", F.col("p_size").cast("double")).withColumn("dy", F.col("p_retailprice") / 10)
+
+
+@register("dbscan_noise", """WITH p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 10 AS y FROM part),
+nb AS (SELECT a.id AS p, b.id AS q FROM p a JOIN p b
+       ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25),
+cnt AS (SELECT p, count(*) AS n FROM nb GROUP BY p),
+core AS (SELECT p AS id FROM cnt WHERE n >= 5),
+noise AS (SELECT id FROM p WHERE id NOT IN (SELECT id FROM core)
+          AND id NOT IN (SELECT nb.p FROM nb JOIN core ON nb.q = core.id))
+SELECT * FROM part WHERE p_partkey IN (SELECT id FROM noise)""")
+def q_dbscan_noise(spark, sf):
+    return AN.dbscan_noise(_part_xy(spark, sf), "p_partkey", ["dx", "dy"], 0.5, 5).drop("dx", "dy")
+
+
+@register("dbscan_clusters")
+def q_dbscan_clusters(spark, sf):
+    return AN.dbscan_labels(_part_xy(spark, sf), "p_partkey", ["dx", "dy"], 0.5, 5)
+
+
+@register("isolation_forest")
+def q_isolation_forest(spark, sf):
+    return AN.isolation_forest(S.load(spark, sf, "events"), id_col="event_id", contamination=0.05)
