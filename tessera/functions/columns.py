@@ -82,3 +82,13 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+def spread(df: DataFrame, factor: int = 1) -> DataFrame:
+    """Before a CPU-heavy Python kernel: make sure there are at least as
+    many partitions as task slots (a small file is often one partition).
+    A large input is left as partitioned; nothing is moved then."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

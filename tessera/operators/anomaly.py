@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import numeric_columns
+from tessera.functions.columns import numeric_columns, spread
 
 
 # --------------------------------------------------------------------------
@@ -306,7 +306,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str] | None = None, id_col: s
     sketch) unless ``exact_threshold``."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[id_col] if id_col else [])
     forest, psi = isolation_forest_fit(df, cols, id_col, trees, sample, seed)
-    scored = isolation_scores(df.na.drop(subset=cols), cols, forest, psi)
+    scored = isolation_scores(spread(df.na.drop(subset=cols)), cols, forest, psi)
     q = 1.0 - contamination
     thr = scored.agg((F.percentile(F.col("anomaly_score"), F.lit(q)) if exact_threshold
                       else F.percentile_approx("anomaly_score", q, 100000)).alias("__thr"))

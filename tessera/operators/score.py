@@ -75,11 +75,13 @@ def fit_scoring_model(df: DataFrame, features: Sequence[str], target: str, famil
         k = df.select(target).distinct().count()
     stages.append(make_estimator(family, task, n, k, **params))
     pm = Pipeline(stages=stages).fit(df)
+    # the target encoder is only needed for training; rows to score have no target
+    label_stage = pm.stages[-2]
+    keep = [s for s in pm.stages if s is not label_stage]
     if task == "classification":
-        labels = pm.stages[-2].labels
-        pm = PipelineModel(pm.stages + [IndexToString(inputCol="prediction", outputCol="predicted_label",
-                                                      labels=labels)])
-    return pm
+        keep.append(IndexToString(inputCol="prediction", outputCol="predicted_label",
+                                  labels=label_stage.labels))
+    return PipelineModel(keep)
 
 
 def score_batch(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

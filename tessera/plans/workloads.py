@@ -865,3 +865,67 @@ def q_dbscan_clusters(spark, sf):
 @register("isolation_forest")
 def q_isolation_forest(spark, sf):
     return AN.isolation_forest(S.load(spark, sf, "events"), id_col="event_id", contamination=0.05)
+
+
+# --------------------------------------------------------------------------
+# Explanation (X1-X5, S8) — rows-only; properties are tested in pytest
+# --------------------------------------------------------------------------
+from tessera.operators import explain as EX  # noqa: E402
+
+EXPLAIN_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _explain_setup(spark, sf, trees: int = 100, depth: int = 5):
+    """Forest (the original's default size) on the train split of
+    ``model_rows``; the test split is explained.  ``row_id`` hashes every
+    column, so identical rows share an id (they are interchangeable)."""
+    from pyspark.sql import functions as F
+    d = S.model_rows(spark, sf)
+    d = d.withColumn("row_id", F.xxhash64(*[F.col(c) for c in d.columns]))
+    d = K.train_test_split(d, "l_orderkey", 20, 42)
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    model = SC.fit_scoring_model(train, EXPLAIN_FEATURES, "label", "random_forest", task="classification",
+                                 trees=trees, depth=depth)
+    return model, train, test
+
+
+@register("tree_shap")
+def q_tree_shap(spark, sf):
+    model, _, test = _explain_setup(spark, sf)
+    shap, _ = EX.tree_shap(model, test, "row_id", EXPLAIN_FEATURES)
+    return shap
+
+
+@register("shap_importance")
+def q_shap_importance(spark, sf):
+    model, _, test = _explain_setup(spark, sf)
+    return EX.shap_importance(EX.tree_shap(model, test, "row_id", EXPLAIN_FEATURES)[0])
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    from pyspark.sql import functions as F
+    model, _, test = _explain_setup(spark, sf, trees=20)
+    t = test.withColumn("label", F.col("label").cast("string"))
+    return EX.permutation_importance(model, t, EXPLAIN_FEATURES, "label", "row_id", "classification", 5)
+
+
+@register("lime_rows")
+def q_lime_rows(spark, sf):
+    """Explains the test rows the forest is least sure about (top-class
+    probability below 0.6) — a data-derived choice, all test rows scanned."""
+    from pyspark.sql import functions as F
+    model, train, test = _explain_setup(spark, sf, trees=20)
+    unsure = SC.score_batch(model, test, keep=["row_id"]).where(F.col("confidence") < 0.6).select("row_id")
+    chosen = test.join(unsure, "row_id", "left_semi")
+    return EX.lime_rows(model, train, chosen, EXPLAIN_FEATURES, "row_id", n=1000, top=5)
+
+
+@register("explanation_report")
+def q_explanation_report(spark, sf):
+    from pyspark.sql import functions as F
+    model, _, test = _explain_setup(spark, sf, trees=20)
+    imp = EX.shap_importance(EX.tree_shap(model, test, "row_id", EXPLAIN_FEATURES)[0])
+    perm = EX.permutation_importance(model, test.withColumn("label", F.col("label").cast("string")),
+                                     EXPLAIN_FEATURES, "label", "row_id", "classification", 3)
+    return RPT.explanation_report(imp, perm)
