@@ -913,10 +913,13 @@ def q_permutation_importance(spark, sf):
 @register("lime_rows")
 def q_lime_rows(spark, sf):
     """Explains the test rows the forest is least sure about (top-class
-    probability below 0.6) — a data-derived choice, all test rows scanned."""
+    probability in the lowest 5% of all test rows) — a data-derived choice,
+    all test rows scored."""
     from pyspark.sql import functions as F
     model, train, test = _explain_setup(spark, sf, trees=20)
-    unsure = SC.score_batch(model, test, keep=["row_id"]).where(F.col("confidence") < 0.6).select("row_id")
+    scored = SC.score_batch(model, test, keep=["row_id"])
+    cut = scored.agg(F.percentile_approx("confidence", 0.05, 10000).alias("__cut"))
+    unsure = scored.crossJoin(F.broadcast(cut)).where(F.col("confidence") <= F.col("__cut")).select("row_id")
     chosen = test.join(unsure, "row_id", "left_semi")
     return EX.lime_rows(model, train, chosen, EXPLAIN_FEATURES, "row_id", n=1000, top=5)
 
@@ -929,3 +932,20 @@ def q_explanation_report(spark, sf):
     perm = EX.permutation_importance(model, test.withColumn("label", F.col("label").cast("string")),
                                      EXPLAIN_FEATURES, "label", "row_id", "classification", 3)
     return RPT.explanation_report(imp, perm)
+
+
+# --------------------------------------------------------------------------
+# Streaming
+# --------------------------------------------------------------------------
+from tessera.streaming import score_stream as ST  # noqa: E402
+
+
+@register("score_stream")
+def q_score_stream(spark, sf):
+    """Train on the train split; the test split lands as Parquet files in the
+    shared scratch folder and is scored by a file stream (availableNow)."""
+    model, _, test = _explain_setup(spark, sf, trees=20)
+    landing = scratch_dir(spark, "landing")
+    raw = test.select("row_id", *EXPLAIN_FEATURES)
+    raw.repartition(4).write.parquet(landing)
+    return ST.score_stream(spark, model, landing, raw.schema, keep=["row_id", *EXPLAIN_FEATURES])
