@@ -252,8 +252,8 @@ def shap_row(shap: DataFrame, base: Sequence[float], id_col: str, row_id) -> Dat
 
 def _score(pred: DataFrame, label: str, task: str, by: list[str]) -> DataFrame:
     if task == "classification":
-        return pred.groupBy(*by).agg(F.avg((F.col(label).cast("double") == F.col("prediction")).cast("double"))
-                                     .alias("score"))
+        same = F.col(label).cast("string") == F.col("prediction").cast("string")
+        return pred.groupBy(*by).agg(F.avg(same.cast("double")).alias("score"))
     y = F.col(label).cast("double")
     return pred.groupBy(*by).agg(
         (1 - F.sum(F.pow(y - F.col("prediction"), 2)) / (F.count(y) * F.var_pop(y))).alias("score"))
