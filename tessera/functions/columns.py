@@ -84,10 +84,21 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+def _has_shuffle(df: DataFrame) -> bool:
+    try:
+        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # unknown plan shape: do not probe
+        return True
+
+
 def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Before a CPU-heavy Python kernel: make sure there are at least as
-    many partitions as task slots (a small file is often one partition).
-    A large input is left as partitioned; nothing is moved then."""
+    """Before CPU-heavy per-row work: make sure a plain scan has at least as
+    many partitions as task slots (a one-row-group file scans as a single
+    task).  Inputs that already went through a shuffle, and large inputs,
+    are returned unchanged — probing the partition count of a plan with an
+    Exchange would run that stage early, so it is not done."""
+    if _has_shuffle(df):
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

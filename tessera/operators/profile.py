@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import (categorical_columns, dtype_name, is_numeric,
-                                       numeric_columns, zscore)
+from tessera.functions.columns import dtype_name, is_numeric, numeric_columns, spread, zscore
 
 # Advice lines of the recommendation report, as worded in the
 # application this library re-implements.
@@ -56,14 +55,17 @@ def missing_pct(df: DataFrame) -> DataFrame:
         for i, c in enumerate(cols)])
 
 
-def unique_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:
+def unique_counts(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> DataFrame:
     """``(position, column, unique)`` distinct non-NULL values.
 
     Exact distinct over p columns in one aggregate expands rows p times;
-    ``approx=True`` uses HyperLogLog++ sketches (bounded memory, one pass)
-    and is the setting for large tables.
+    ``approx=True`` uses HyperLogLog++ sketches (bounded memory, one pass,
+    relative error ``rsd``; Spark's default 0.05 keeps the aggregate buffer
+    small enough for code generation) and is the setting for large tables.
     """
     cols = df.columns
+    if not approx:
+        df = spread(df)
     agg = df.agg(*[_distinct(c, approx, rsd).alias(f"u{i}") for i, c in enumerate(cols)])
     return _explode_rows(agg, [
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
@@ -71,13 +73,17 @@ def unique_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Dat
         for i, c in enumerate(cols)])
 
 
-def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:
+def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> DataFrame:
     """G4 (flagship): ``(position, column, dtype, missing, missing_pct, unique)``.
 
     One fused aggregate computes row count, non-NULL count and distinct
     count of every column; types come from the schema (no job).
     """
     fields = df.schema.fields
+    if not approx:
+        # exact distinct expands every row once per column: spread a
+        # single-split scan first so the expanded rows use every task slot
+        df = spread(df)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
         aggs.append(F.count(F.col(f.name)).alias(f"nn{i}"))
@@ -183,28 +189,55 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     """Pearson correlation for every ordered pair of numeric (and
     boolean, as 0/1) columns, pairwise-complete rows: ``(col_a, col_b, corr)``.
 
-    All p(p+1)/2 ``corr`` aggregates run in one pass.  For very wide tables
-    (p > 60) pass ``cols`` in chunks to keep generated code small.
+    Two passes of plain sums (codegen-friendly; the built-in ``corr``
+    carries a six-field buffer per pair, which pushes wide aggregates out of
+    whole-stage codegen): pass 1 gives each column's mean and NULL count
+    (2p numbers reach the driver); pass 2 sums centred cross products.  When
+    no column has a NULL, the p(p+1)/2 centred sums are shared by all pairs;
+    otherwise every pair sums over its own complete rows.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, include_bool=True)
+    if not cols:
+        raise ValueError("no numeric columns to correlate")
     x = [F.col(c).cast("double") for c in cols]
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
+                   *[F.count(v).alias(f"c{i}") for i, v in enumerate(x)]).first()
+    means = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
+    has_null = any(first[f"c{i}"] != first["n"] for i in range(len(cols)))
+    dx = [v - F.lit(m) for v, m in zip(x, means)]
     aggs = []
-    pairs = []
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            aggs.append(F.corr(x[i], x[j]).alias(f"c{i}_{j}"))
-            pairs.append((i, j))
-    if not aggs:
-        raise ValueError("no numeric columns to correlate")
-    agg = df.agg(*aggs)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    if not has_null:
+        for i, j in pairs:
+            aggs.append(F.sum(dx[i] * dx[j]).alias(f"s{i}_{j}"))
+        sums = df.agg(*aggs)
+
+        def corr_expr(i, j):
+            return F.try_divide(F.col(f"s{i}_{j}"), F.sqrt(F.col(f"s{i}_{i}") * F.col(f"s{j}_{j}")))
+    else:
+        for i, j in pairs:
+            both = x[i].isNotNull() & x[j].isNotNull()
+            a_, b_ = F.when(both, dx[i]), F.when(both, dx[j])
+            aggs += [F.count(a_).alias(f"n{i}_{j}"), F.sum(a_).alias(f"a{i}_{j}"), F.sum(b_).alias(f"b{i}_{j}"),
+                     F.sum(a_ * a_).alias(f"aa{i}_{j}"), F.sum(b_ * b_).alias(f"bb{i}_{j}"),
+                     F.sum(a_ * b_).alias(f"ab{i}_{j}")]
+        sums = df.agg(*aggs)
+
+        def corr_expr(i, j):
+            n = F.col(f"n{i}_{j}")
+            sab = F.col(f"ab{i}_{j}") - F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}") / n
+            saa = F.col(f"aa{i}_{j}") - F.col(f"a{i}_{j}") * F.col(f"a{i}_{j}") / n
+            sbb = F.col(f"bb{i}_{j}") - F.col(f"b{i}_{j}") * F.col(f"b{i}_{j}") / n
+            return F.when(n > 1, F.try_divide(sab, F.sqrt(saa * sbb)))
     structs = []
     for i, j in pairs:
-        structs.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                                F.col(f"c{i}_{j}").alias("corr")))
+        c = corr_expr(i, j)
+        c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
+        structs.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), c.alias("corr")))
         if i != j:
             structs.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"),
-                                    F.col(f"c{i}_{j}").alias("corr")))
-    return _explode_rows(agg, structs)
+                                    c.alias("corr")))
+    return _explode_rows(sums, structs)
 
 
 def high_corr_pairs(df: DataFrame, threshold: float = 0.8,

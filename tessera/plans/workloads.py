@@ -675,7 +675,7 @@ from tessera.plans import reports as RPT  # noqa: E402
 
 
 def wizard_plan() -> CleaningPlan:
-    return (CleaningPlan().missing("impute").outliers("o_totalprice", "cap")
+    return (CleaningPlan(checkpoint_every=2).missing("impute").outliers("o_totalprice", "cap")
             .encode("label").transform("o_totalprice", "standard"))
 
 
@@ -949,3 +949,19 @@ def q_score_stream(spark, sf):
     raw = test.select("row_id", *EXPLAIN_FEATURES)
     raw.repartition(4).write.parquet(landing)
     return ST.score_stream(spark, model, landing, raw.schema, keep=["row_id", *EXPLAIN_FEATURES])
+
+
+def wizard_plan_customer() -> CleaningPlan:
+    return (CleaningPlan(checkpoint_every=2).missing("impute").outliers("c_acctbal", "cap")
+            .encode("label").transform("c_acctbal", "standard"))
+
+
+@register("clean_customer", """WITH st AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer),
+s2 AS (SELECT c_custkey, c_name, c_nationkey, least(greatest(c_acctbal, m - 3 * s), m + 3 * s) AS c_acctbal,
+              c_mktsegment FROM customer, st),
+s3 AS (SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS c_name, c_nationkey, c_acctbal,
+              CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS c_mktsegment FROM s2),
+st4 AS (SELECT avg(c_acctbal) AS m4, stddev_samp(c_acctbal) AS s4 FROM s3)
+SELECT c_custkey, c_name, c_nationkey, round((c_acctbal - m4) / s4, 6) AS c_acctbal, c_mktsegment FROM s3, st4""")
+def q_clean_customer(spark, sf):
+    return r6(wizard_plan_customer().apply(S.load(spark, sf, "customer")))

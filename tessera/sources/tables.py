@@ -12,15 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, spread_small: bool | None = None) -> DataFrame:
+    """Read one table.  A table stored as a single Parquet row group scans
+    as a single task; when the scan has fewer splits than task slots it is
+    spread once by round-robin when ``tessera.spreadSmallScans`` is true
+    (default off: for one-pass aggregates the extra shuffle costs more than
+    the parallelism gains; CPU-heavy kernels spread their own input).
+    At cluster scale the scan has far more splits than slots and nothing
+    moves."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread_small is None:
+        spread_small = spark.conf.get("tessera.spreadSmallScans", "false") == "true"
+    return spread(df) if spread_small else df
 
 
 def _hole(cond: Column, value: Column) -> Column:
