@@ -62,8 +62,9 @@ def feature_stages(df: DataFrame, features: Sequence[str], target: str | None =
             stages.append(StringIndexer(inputCol=f, outputCol=f"{f}__idx", handleInvalid="keep",
                                         stringOrderType="alphabetAsc"))
             if encoder == "one_hot":
-                stages.append(OneHotEncoder(inputCol=f"{f}__idx", outputCol=f"{f}__ohe", dropLast=False,
-                                            handleInvalid="keep"))
+                # unseen/NULL already have their own index (the indexer's extra
+                # slot), so the encoder needs no further "invalid" slot
+                stages.append(OneHotEncoder(inputCol=f"{f}__idx", outputCol=f"{f}__ohe", dropLast=False))
                 inputs.append(f"{f}__ohe")
             else:
                 inputs.append(f"{f}__idx")

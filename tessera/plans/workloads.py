@@ -965,3 +965,15 @@ st4 AS (SELECT avg(c_acctbal) AS m4, stddev_samp(c_acctbal) AS s4 FROM s3)
 SELECT c_custkey, c_name, c_nationkey, round((c_acctbal - m4) / s4, 6) AS c_acctbal, c_mktsegment FROM s3, st4""")
 def q_clean_customer(spark, sf):
     return r6(wizard_plan_customer().apply(S.load(spark, sf, "customer")))
+
+
+@register("shap_row")
+def q_shap_row(spark, sf):
+    """Force-plot data of the test row with the largest extended price
+    (ties: smallest row id) — SHAP values plus the base value per class."""
+    from pyspark.sql import functions as F
+    model, _, test = _explain_setup(spark, sf, trees=20)
+    top = test.orderBy(F.desc("l_extendedprice"), F.asc("row_id")).limit(1)
+    shap, base = EX.tree_shap(model, top, "row_id", EXPLAIN_FEATURES)
+    row_id = top.select("row_id").first()[0]
+    return EX.shap_row(shap, base, "row_id", row_id)

@@ -142,3 +142,14 @@ def test_pca_explained_variance(spark):
     rows, ev = ML.pca(emb, "embedding", 3, id_col="vec_id")
     assert rows.count() == emb.count() and len(ev) == 3
     assert ev[0] >= ev[1] >= ev[2] > 0
+
+
+def test_feature_pipeline_scaler_and_one_hot(spark, planted):
+    from pyspark.ml import Pipeline
+    stages = ML.feature_stages(planted, ["x1", "x2", "c"], "y", "classification", encoder="one_hot",
+                               scaler="standard")
+    out = Pipeline(stages=stages).fit(planted).transform(planted)
+    arr = out.select(vector_to_array("features").alias("v")).toPandas()
+    m = np.vstack(arr.v.to_numpy())
+    assert m.shape[1] == 2 + 4  # two numbers + three categories and the 'unseen' slot
+    assert np.allclose(m[:, :2].mean(0), 0, atol=1e-9) and np.allclose(m[:, :2].std(0, ddof=1), 1, atol=1e-9)
