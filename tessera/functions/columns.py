@@ -85,6 +85,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _has_shuffle(df: DataFrame) -> bool:
+    """True when the physical plan contains an Exchange (planning only, no job)."""
     try:
         return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
     except Exception:  # unknown plan shape: do not probe

@@ -106,17 +106,31 @@ def to_categorical(df: DataFrame, col: str) -> DataFrame:
 
 def one_hot(df: DataFrame, cols: Sequence[str] | None = None, max_values: int = 1000) -> DataFrame:
     """Replace each text column with one boolean column per sorted value,
-    named ``<col>_<value>``; a NULL row is all false.  The value lists are
-    collected (at most ``max_values`` per column, else an error), all
-    columns in one job."""
+    named ``<col>_<value>``; a NULL row is all false.
+
+    The dictionaries must come to the driver (they become columns), so their
+    size is checked first: one HyperLogLog pass per table rejects a column
+    whose estimated distinct count is clearly above ``max_values`` before
+    anything is gathered; then the distinct values of all columns are
+    gathered in one job (stacked ``(column, value)`` pairs, deduplicated by a
+    shuffle) and checked exactly.
+    """
     cols = list(cols) if cols is not None else categorical_columns(df)
     if not cols:
         return df
-    sets = df.agg(*[F.slice(F.sort_array(F.collect_set(c)), 1, max_values + 1).alias(f"s{i}")
-                    for i, c in enumerate(cols)]).first()
+    est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(f"e{i}") for i, c in enumerate(cols)]).first()
+    for i, c in enumerate(cols):
+        if est[f"e{i}"] > max_values * 1.2 + 10:
+            raise ValueError(f"column {c!r} has more than {max_values} distinct values")
+    pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
+                                            for i, c in enumerate(cols)])).alias("r"))
+             .select("r.*").where(F.col("v").isNotNull()).distinct().collect())
+    values: dict[int, list[str]] = {i: [] for i in range(len(cols))}
+    for r in pairs:
+        values[r["i"]].append(r["v"])
     new_cols = []
     for i, c in enumerate(cols):
-        vals = sets[f"s{i}"] or []
+        vals = sorted(values[i])
         if len(vals) > max_values:
             raise ValueError(f"column {c!r} has more than {max_values} distinct values")
         new_cols += [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for v in vals]

@@ -169,29 +169,67 @@ def prepare_trees(pdf: pd.DataFrame, weights: list[float], kind: str, classifica
     return trees, np.atleast_1d(base)
 
 
-def _shap_batch(x: np.ndarray, trees: list, n_out: int, p: int) -> np.ndarray:
+def _compile_tree(tr: dict, n_out: int, p: int) -> dict | None:
+    """Flatten one tree's leaf records for the vectorised kernel.
+
+    Groups are (leaf, path feature) pairs; the kernel evaluates every split
+    once per row, ANDs the steps of each group with ``reduceat``, turns the
+    groups of a leaf into its bit pattern with a small matmul and gathers
+    the SHAP values of all groups from one flattened table.
+    """
+    inner = np.flatnonzero(tr["feat"] >= 0)
+    pos = {int(n): i for i, n in enumerate(inner)}
+    step_node, step_dir, starts = [], [], []
+    g_leaf, g_j, g_m, g_off, g_feat, g_v = [], [], [], [], [], []
+    tables = []
+    off = 0
+    leaves = [lf for lf in tr["leaves"] if len(lf["feats"])]
+    if not leaves:
+        return None
+    for li, lf in enumerate(leaves):
+        m = len(lf["feats"])
+        for j in range(m):
+            starts.append(len(step_node))
+            for node, went_left, jj in lf["steps"]:
+                if jj == j:
+                    step_node.append(pos[node])
+                    step_dir.append(went_left)
+            g_leaf.append(li)
+            g_j.append(j)
+            g_m.append(m)
+            g_off.append(off)
+            g_feat.append(int(lf["feats"][j]))
+            g_v.append(lf["v"])
+        tables.append(lf["table"].reshape(-1))
+        off += lf["table"].size
+    G, L = len(g_leaf), len(leaves)
+    W = np.zeros((G, L), dtype=np.int64)
+    W[np.arange(G), g_leaf] = 1 << np.asarray(g_j)
+    onehot = np.zeros((G, p))
+    onehot[np.arange(G), g_feat] = 1.0
+    cats = {pos[n]: v for n, v in tr["cats"].items()}
+    return {"feat": tr["feat"][inner], "thr": tr["thr"][inner], "cats": cats,
+            "step_node": np.asarray(step_node), "step_dir": np.asarray(step_dir, dtype=bool),
+            "starts": np.asarray(starts), "W": W, "g_leaf": np.asarray(g_leaf), "g_j": np.asarray(g_j),
+            "g_m": np.asarray(g_m), "g_off": np.asarray(g_off), "flat": np.concatenate(tables),
+            "vx": np.asarray(g_v).reshape(G, n_out).T[:, :, None] * onehot[None, :, :]}
+
+
+def _shap_batch(x: np.ndarray, compiled: list, n_out: int, p: int) -> np.ndarray:
     N = len(x)
-    phi = np.zeros((N, n_out, p))
-    for tr in trees:
-        inner = np.flatnonzero(tr["feat"] >= 0)
-        dec = {}
-        for node in inner:
-            col = x[:, tr["feat"][node]]
-            if node in tr["cats"]:
-                dec[node] = np.isin(col, tr["cats"][node])
-            else:
-                dec[node] = col <= tr["thr"][node]
-        for leaf in tr["leaves"]:
-            m = len(leaf["feats"])
-            if m == 0:
-                continue
-            o = np.ones((N, m), dtype=bool)
-            for node, went_left, j in leaf["steps"]:
-                o[:, j] &= dec[node] == went_left
-            pattern = o.astype(np.int64) @ (1 << np.arange(m))
-            contrib = leaf["table"][pattern]  # N × m
-            phi[:, :, leaf["feats"]] += contrib[:, None, :] * leaf["v"][None, :, None]
-    return phi
+    phi = np.zeros((n_out, N, p))
+    for t in compiled:
+        dec = x[:, t["feat"]] <= t["thr"]
+        for col, cats in t["cats"].items():
+            dec[:, col] = np.isin(x[:, t["feat"][col]], cats)
+        ok = dec[:, t["step_node"]] == t["step_dir"]
+        fail = np.logical_or.reduceat(~ok, t["starts"], axis=1)
+        pattern = (~fail).astype(np.int64) @ t["W"]  # N × leaves
+        idx = t["g_off"] + pattern[:, t["g_leaf"]] * t["g_m"] + t["g_j"]
+        vals = t["flat"][idx]  # N × groups
+        for k in range(n_out):
+            phi[k] += vals @ t["vx"][k]
+    return phi.transpose(1, 0, 2)
 
 
 def tree_shap(model, df: DataFrame, id_col: str, feature_names: Sequence[str] | None = None,
@@ -212,7 +250,8 @@ def tree_shap(model, df: DataFrame, id_col: str, feature_names: Sequence[str] |
     p = tm.numFeatures
     names = list(feature_names) if feature_names else [f"f{i}" for i in range(p)]
     n_out = len(base)
-    bc = rows.sparkSession.sparkContext.broadcast(trees)
+    compiled = [c for c in (_compile_tree(t, n_out, p) for t in trees) if c is not None]
+    bc = rows.sparkSession.sparkContext.broadcast(compiled)
     id_type = rows.schema[id_col].dataType
 
     def kernel(it):

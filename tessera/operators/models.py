@@ -280,6 +280,23 @@ class TrainResult:
     num_classes: int = 2
 
 
+ROWS_PER_FIT_PARTITION = 50_000
+
+
+def fit_partitions(df: DataFrame, n_rows: int) -> DataFrame:
+    """Iterative MLlib fits run one task per partition per pass.  A small
+    file is often a single partition: spread it to about one partition per
+    ``ROWS_PER_FIT_PARTITION`` rows, at most one per task slot (below that,
+    per-job overhead dominates and more tasks only slow the fit).  Inputs
+    that already have enough partitions are not moved."""
+    from tessera.functions.columns import _has_shuffle
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    want = max(1, min(slots, n_rows // ROWS_PER_FIT_PARTITION))
+    if want > 1 and not _has_shuffle(df) and df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def prepare(df: DataFrame, features: Sequence[str], target: str, id_col: str,
             test_pct: int = 20, folds: int = 3, seed: int = 42, task: str | None = None,
             encoder: str = "index", scaler: str | None = None):
@@ -288,6 +305,7 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, id_col: str,
     task = task or detect_task(df, target).first()["task"]
     data = train_test_split(df.select(id_col, *features, target), id_col, test_pct, seed)
     train_raw = data.where(F.col("split") == "train")
+    train_raw = fit_partitions(train_raw, train_raw.count())
     fm = Pipeline(stages=feature_stages(df, features, target, task, encoder, scaler)).fit(train_raw)
     train = add_folds(fm.transform(train_raw), id_col, folds, seed).select(id_col, FEATURES, LABEL, "fold").cache()
     test = fm.transform(data.where(F.col("split") == "test")).select(id_col, FEATURES, LABEL).cache()

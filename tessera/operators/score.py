@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import is_numeric
-from tessera.operators.models import FEATURES, LABEL, feature_stages, make_estimator
+from tessera.operators.models import FEATURES, LABEL, feature_stages, fit_partitions, make_estimator
 from tessera.operators.profile import detect_task, modes
 
 
@@ -74,7 +74,12 @@ def fit_scoring_model(df: DataFrame, features: Sequence[str], target: str, famil
     if task == "classification":
         k = df.select(target).distinct().count()
     stages.append(make_estimator(family, task, n, k, **params))
-    pm = Pipeline(stages=stages).fit(df)
+    spread_df = fit_partitions(df, n)
+    if spread_df is not df:
+        spread_df = spread_df.persist()
+    pm = Pipeline(stages=stages).fit(spread_df)
+    if spread_df is not df:
+        spread_df.unpersist()
     # the target encoder is only needed for training; rows to score have no target
     label_stage = pm.stages[-2]
     keep = [s for s in pm.stages if s is not label_stage]
