@@ -284,16 +284,25 @@ ROWS_PER_FIT_PARTITION = 50_000
 
 
 def fit_partitions(df: DataFrame, n_rows: int) -> DataFrame:
-    """Iterative MLlib fits run one task per partition per pass.  A small
-    file is often a single partition: spread it to about one partition per
-    ``ROWS_PER_FIT_PARTITION`` rows, at most one per task slot (below that,
-    per-job overhead dominates and more tasks only slow the fit).  Inputs
-    that already have enough partitions are not moved."""
+    """Right-size the partitions of a fit input.
+
+    Iterative MLlib fits run one task per partition per pass (L-BFGS step,
+    tree level).  Aim at about one partition per ``ROWS_PER_FIT_PARTITION``
+    rows, at most one per task slot: a single-row-group file is spread
+    (one shuffle) and many tiny partitions are coalesced (narrow, no
+    shuffle) — below that size per-task overhead dominates.  A large input
+    (more rows per partition than the target) is never moved.
+    """
     from tessera.functions.columns import _has_shuffle
+    if _has_shuffle(df):
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     want = max(1, min(slots, n_rows // ROWS_PER_FIT_PARTITION))
-    if want > 1 and not _has_shuffle(df) and df.rdd.getNumPartitions() < want:
+    cur = df.rdd.getNumPartitions()
+    if cur < want:
         return df.repartition(want)
+    if cur > want and n_rows < cur * ROWS_PER_FIT_PARTITION:
+        return df.coalesce(want)
     return df
 
 
