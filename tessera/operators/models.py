@@ -326,7 +326,7 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, id_col: str,
 
 def automl(df: DataFrame, features: Sequence[str], target: str, id_col: str, test_pct: int = 20,
            folds: int = 3, families: Sequence[str] | None = None, grid: str = "full",
-           parallelism: int = 4, seed: int = 42) -> TrainResult:
+           parallelism: int = 4, seed: int = 42, family_parallelism: int = 5) -> TrainResult:
     """Per family, grid search with cross-validation on the train rows
     (refit on all train rows), test metrics, one leaderboard row; a family
     that fails becomes a row with its error text."""
@@ -341,8 +341,7 @@ def automl(df: DataFrame, features: Sequence[str], target: str, id_col: str, tes
     fams = list(families or (CLASSIFICATION_FAMILIES if task == "classification" else REGRESSION_FAMILIES))
     evaluator = (MulticlassClassificationEvaluator(metricName="accuracy", labelCol=LABEL)
                  if task == "classification" else RegressionEvaluator(metricName="r2", labelCol=LABEL))
-    rows, models = [], {}
-    for fam in fams:
+    def run_family(fam):
         try:
             best, best_score = None, None
             for est, pgrid in family_grid(fam, task, n, k, grid):
@@ -353,10 +352,17 @@ def automl(df: DataFrame, features: Sequence[str], target: str, id_col: str, tes
                 if best_score is None or score > best_score:
                     best, best_score = cvm.bestModel, score
             metrics = evaluate(best.transform(test), task, k)
-            models[fam] = best
-            rows.append(_lb_row(fam, _params_text(best), best_score, metrics))
+            return fam, best, _lb_row(fam, _params_text(best), best_score, metrics)
         except Exception as e:  # a failing family is reported, not fatal
-            rows.append(_lb_row(fam, error=f"{type(e).__name__}: {str(e)[:300]}"))
+            return fam, None, _lb_row(fam, error=f"{type(e).__name__}: {str(e)[:300]}")
+
+    # Families are independent: their cross-validations run side by side
+    # (each is a chain of small jobs; one family alone leaves slots idle).
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(family_parallelism, len(fams)))) as pool:
+        results = list(pool.map(run_family, fams))
+    rows = [r for _, _, r in results]
+    models = {f: m for f, m, _ in results if m is not None}
     lb = df.sparkSession.createDataFrame(rows, LEADERBOARD_SCHEMA)
     train.unpersist()
     test.unpersist()
