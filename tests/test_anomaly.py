@@ -70,3 +70,29 @@ def test_isolation_forest_finds_planted_points(spark):
     got = {r["id"] for r in out.collect()}
     assert set(range(400, 405)) <= got
     assert abs(len(got) - 0.05 * len(X)) <= 2
+
+
+def _blobs(seed=4):
+    rng = np.random.RandomState(seed)
+    a = rng.randn(150, 2) * 0.05 + [0, 0]        # dense: many points per sub-cell
+    b = rng.randn(150, 2) * 0.05 + [0.6, 0.1]    # dense, linked to a through a bridge
+    bridge = np.c_[np.linspace(0.05, 0.55, 12), np.linspace(0, 0.1, 12)]
+    c = rng.randn(100, 2) * 0.08 + [5, 5]        # separate dense cluster
+    sparse = rng.uniform(-3, 8, size=(60, 2))     # mostly noise
+    X = np.vstack([a, b, bridge, c, sparse])
+    return pd.DataFrame({"id": np.arange(len(X)), "x": X[:, 0], "y": X[:, 1]})
+
+
+def test_dbscan_dense_cells_equal_brute_force(spark):
+    pdf = _blobs()
+    core, noise, lab, _ = _brute(pdf, 0.3, 5)
+    df = spark.createDataFrame(pdf)
+    got_noise = {r["id"] for r in AN.dbscan_noise(df, "id", ["x", "y"], 0.3, 5).collect()}
+    assert got_noise == set(pdf.id[noise])
+    got = AN.dbscan_labels(df, "id", ["x", "y"], 0.3, 5).toPandas().set_index("id")
+    ci = np.flatnonzero(core)
+    mine = got.loc[ci, "cluster"].to_numpy()
+    ref = lab[ci]
+    # identical partitions of the core points
+    pairs_ref = {(a, b) for a in set(ref) for b in set(mine[ref == a])}
+    assert len(pairs_ref) == len(set(ref)) == len(set(mine))

@@ -108,3 +108,26 @@ def test_mutual_info_independent_is_small(spark):
     pdf["x2"] = pdf.y.astype(int) + rng.rand(4000) * 0.1
     mi = {r["column"]: r["mi"] for r in K.mutual_info(spark.createDataFrame(pdf), "y", ["x", "x2"], 10).collect()}
     assert mi["x"] < 0.01 and mi["x2"] > 0.6
+
+
+def test_kde_binned_close_to_exact(spark):
+    from tessera.operators import charts as H
+    rng = np.random.RandomState(9)
+    df = spark.createDataFrame(pd.DataFrame({"v": rng.randn(5000)}))
+    ex = H.kde(df, "v", grid=50).orderBy("point").toPandas()
+    bn = H.kde(df, "v", grid=50, method="binned").orderBy("point").toPandas()
+    assert np.allclose(ex.y, bn.y)
+    assert np.max(np.abs(ex.density - bn.density)) < 2e-3
+    step = ex.y.iloc[1] - ex.y.iloc[0]
+    assert abs(ex.density.sum() * step - 1.0) < 0.02
+
+
+def test_histogram_auto_bins(spark):
+    from tessera.operators import charts as H
+    rng = np.random.RandomState(2)
+    v = rng.randn(2000)
+    h = H.histogram(spark.createDataFrame(pd.DataFrame({"v": v})), "v", "auto").orderBy("bin").toPandas()
+    ref_edges = np.histogram_bin_edges(v, bins="auto")
+    assert len(h) == len(ref_edges) - 1
+    assert h["count"].sum() == 2000
+    assert np.isclose(h.lo.iloc[0], v.min()) and np.isclose(h.hi.iloc[-1], v.max())
