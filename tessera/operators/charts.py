@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.quantiles import exact_quantiles
 from tessera.operators.clean import iqr_fences
 
 SQRT_2PI = math.sqrt(2 * math.pi)
@@ -32,18 +33,21 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, k: float = 1.5,
     n_outliers``.  Whiskers are the extreme data points inside the 1.5·IQR
     fences; outliers lie strictly outside.
 
-    Pass 1: quartiles per group (exact ``percentile`` holds a value→count
-    map per group; ``approx=True`` uses the bounded GK sketch).  Pass 2: the
-    per-group fences join back to the rows for whiskers and outlier counts.
+    Pass 1: quartiles per group (exact: ``functions.quantiles`` — spread
+    over range partitions, no group gathered in one task; ``approx=True``:
+    the bounded GK sketch in one aggregate).  Pass 2: the per-group fences
+    join back to the rows for whiskers and outlier counts.
     """
     x = _x(y)
     keys = [by] if by else []
     base = df.where(x.isNotNull())
-    q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-         else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    quart = (base.groupBy(*keys) if keys else base.groupBy()).agg(q.alias("__q"))
-    quart = quart.select(*keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                         F.col("__q")[2].alias("q3"))
+    if approx:
+        q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+        quart = (base.groupBy(*keys) if keys else base.groupBy()).agg(q.alias("__q"))
+        quart = quart.select(*keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
+                             F.col("__q")[2].alias("q3"))
+    else:
+        quart = exact_quantiles(base, x, [0.25, 0.5, 0.75], keys, ["q1", "median", "q3"])
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
     joined = base.join(quart, by) if by else base.crossJoin(F.broadcast(quart))
@@ -135,7 +139,8 @@ def kde(df: DataFrame, col: str, by: str | None = None, grid: int = 200,
         bw = (F.col("__hi") - F.col("__lo")) / fine_bins
         fb = F.coalesce(F.least(F.floor(F.try_divide(F.col("__x") - F.col("__lo"), bw)),
                                 F.lit(fine_bins - 1)), F.lit(0))
-        jb = base.join(F.broadcast(gstats.select(*keys, "__lo", "__hi")), keys) if keys \
+        # one row per group: AQE broadcasts it when small (no size is proven)
+        jb = base.join(gstats.select(*keys, "__lo", "__hi"), keys) if keys \
             else base.crossJoin(F.broadcast(gstats.select("__lo", "__hi")))
         base = (jb.groupBy(*keys, fb.alias("__b"))
                 .agg(F.count(F.lit(1)).alias("__w"), F.avg("__x").alias("__x")))
@@ -232,21 +237,29 @@ def line_series(df: DataFrame, x: str | Column, y: str, z: float = 1.96,
 
 def summary_stats(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """``(position, column, count, mean, std, min, q25, q50, q75, max)``
-    for numeric columns in one aggregate."""
+    for numeric columns: moments in one aggregate; quartiles of all columns
+    in one stacked exact-quantile job (or sketches with ``approx=True``)."""
     aggs = []
     for i, c in enumerate(cols):
         x = _x(c)
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"l{i}"), q.alias(f"q{i}"), F.max(x).alias(f"h{i}")]
+                 F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
+        if approx:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{i}"))
     agg = df.agg(*aggs)
-    return agg.select(F.explode(F.array(*[
+    moments = agg.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
                  F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"l{i}").alias("min"),
-                 F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[1].alias("q50"),
-                 F.col(f"q{i}")[2].alias("q75"), F.col(f"h{i}").alias("max"))
+                 F.col(f"h{i}").alias("max"),
+                 *([F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[1].alias("q50"), F.col(f"q{i}")[2].alias("q75")]
+                   if approx else []))
         for i, c in enumerate(cols)])).alias("r")).select("r.*")
+    if not approx:
+        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), _x(c).alias("v"))
+                                                for i, c in enumerate(cols)])).alias("r")).select("r.*")
+        qs = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["position"], ["q25", "q50", "q75"])
+        moments = moments.join(qs, "position", "left")
+    return moments.select("position", "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 __all__ = ["box_stats", "histogram", "auto_bins", "kde", "violin_stats", "scatter_bins",

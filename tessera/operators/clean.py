@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.columns import categorical_columns, is_numeric, null_safe_clip, numeric_columns
 from tessera.functions.ordering import dense_index
+from tessera.functions.quantiles import exact_quantiles
 from tessera.operators.profile import modes
 from tessera.operators.select import columns_with_missing
 
@@ -43,16 +44,20 @@ def impute_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def impute_median(df: DataFrame, cols: Sequence[str] | None = None,
                   approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Y2: NULL → median (exact linear-interpolated ``percentile``, or the
+    """Y2: NULL → median (exact, linearly interpolated, computed without
+    gathering a column in one task — ``functions.quantiles``; or the
     bounded-memory ``percentile_approx`` sketch with ``approx=True``)."""
     cols = _cols_or_missing(df, cols, numeric=True)
     if not cols:
         return df
-
-    def med(c):
-        x = F.col(c).cast("double")
-        return F.percentile_approx(x, 0.5, accuracy) if approx else F.percentile(x, F.lit(0.5))
-    st = df.agg(*[med(c).alias(f"__fill_{i}") for i, c in enumerate(cols)])
+    if approx:
+        st = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"__fill_{i}")
+                      for i, c in enumerate(cols)])
+    else:
+        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))
+                                                for i, c in enumerate(cols)])).alias("r")).select("r.*")
+        med = exact_quantiles(stacked, "v", [0.5], ["i"], ["m"])
+        st = med.agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"__fill_{i}") for i in range(len(cols))])
     out = df.crossJoin(F.broadcast(st))
     for i, c in enumerate(cols):
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{i}")))
@@ -166,12 +171,15 @@ def iqr_fences(df: DataFrame, col: str, by: str | None = None, k: float = 1.5,
                approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Quartiles and fences per group: ``(by?, q1, q3, lo_fence, hi_fence)``."""
     x = F.col(col).cast("double")
-    q = (F.percentile_approx(x, [0.25, 0.75], accuracy) if approx
-         else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
-    g = df.where(x.isNotNull())
-    g = g.groupBy(by).agg(q.alias("__q")) if by else g.agg(q.alias("__q"))
     keys = [by] if by else []
-    q1, q3 = F.col("__q")[0], F.col("__q")[1]
+    g = df.where(x.isNotNull())
+    if approx:
+        q = F.percentile_approx(x, [0.25, 0.75], accuracy)
+        g = g.groupBy(by).agg(q.alias("__q")) if by else g.agg(q.alias("__q"))
+        g = g.select(*keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("q3"))
+    else:
+        g = exact_quantiles(g, x, [0.25, 0.75], keys, ["q1", "q3"])
+    q1, q3 = F.col("q1"), F.col("q3")
     return g.select(*keys, q1.alias("q1"), q3.alias("q3"),
                     (q1 - k * (q3 - q1)).alias("lo_fence"), (q3 + k * (q3 - q1)).alias("hi_fence"))
 
