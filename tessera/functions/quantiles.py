@@ -7,7 +7,7 @@ task's memory.  Here the work is spread instead:
 1. ``groupBy(group, value).count()`` — map-side combined;
 2. running counts in global ``(group, value)`` order by range partitioning
    (a hot group spans many range partitions because its values differ);
-3. each group's start offset from the running sum of group totals;
+3. each group's start offset and size from one aggregate of those counts;
 4. every ``(group, value)`` row emits only the target ranks it covers
    (2 per probability), so at most groups × 2 × probabilities rows remain;
 5. linear interpolation between the two ranks (the definition used by
@@ -34,10 +34,12 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     base = df.select(*by, v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
     vc = base.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
     cum = running_sums(vc, [*by, "__v"], ["__c"])                       # inclusive, global order
-    tot = vc.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    start = running_sums(tot, by, ["__n"], inclusive=False) if by else \
-        tot.withColumn("cum___n", F.lit(0))
-    start = start.select(*by, "__n", F.col("cum___n").alias("__s"))
+    # a group's rows are contiguous in that order: its start offset is the
+    # smallest exclusive running count, its size the largest inclusive one
+    # minus the start (one aggregate, no second sort)
+    span = (cum.groupBy(*by) if by else cum.groupBy()).agg(
+        F.min(F.col("cum___c") - F.col("__c")).alias("__s"), F.max("cum___c").alias("__e"))
+    start = span.select(*by, "__s", (F.col("__e") - F.col("__s")).alias("__n"))
     j = cum.join(start, by) if by else cum.crossJoin(F.broadcast(start))
     hi_k = F.col("cum___c") - F.col("__s")            # exclusive upper rank of this value
     lo_k = hi_k - F.col("__c")                        # first rank holding this value
