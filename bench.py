@@ -60,8 +60,8 @@ def _workloads():
         "column_profile_approx": profile(True),
         "correlation_matrix": lambda spark, sf: G.correlation_matrix(S.load(spark, sf, "lineitem")),
         "outlier_counts": lambda spark, sf: G.outlier_counts(S.load(spark, sf, "events")),
-        "clean_pipeline": W.QUERIES["clean_pipeline"],
-        "clean_customer": lambda spark, sf: W.wizard_plan_customer().apply(S.load(spark, sf, "customer")),
+        "clean_wizard": W.QUERIES["clean_wizard"],
+        "clean_wizard_customer": lambda spark, sf: W.wizard_plan_customer().apply(S.load(spark, sf, "customer")),
         "box_stats": box(False),
         "box_stats_approx": box(True),
         "histogram_kde": lambda spark, sf: H.kde(S.load(spark, sf, "events"), "value", grid=200),
