@@ -23,7 +23,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -314,4 +314,4 @@ def isolation_forest(df: DataFrame, cols: Sequence[str] | None = None, id_col: s
 
 
 __all__ = ["dbscan_noise", "dbscan_labels", "dbscan_pairs", "isolation_forest", "isolation_forest_fit",
-           "isolation_scores", "Column"]
+           "isolation_scores"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import categorical_columns, is_numeric, null_safe_clip, numeric_columns
+from tessera.functions.columns import categorical_columns, null_safe_clip, numeric_columns
 from tessera.functions.ordering import dense_index
 from tessera.functions.quantiles import exact_quantiles
 from tessera.operators.profile import modes
@@ -193,11 +193,6 @@ def iqr_outliers(df: DataFrame, col: str, by: str | None = None, k: float = 1.5,
     return joined.where((x < F.col("lo_fence")) | (x > F.col("hi_fence"))).drop("lo_fence", "hi_fence")
 
 
-def numeric_or_raise(df: DataFrame, col: str) -> None:
-    if not is_numeric(df.schema[col].dataType, include_bool=True):
-        raise TypeError(f"column {col!r} is not numeric")
-
-
 def cast_types(df: DataFrame, mapping: dict[str, T.DataType | str]) -> DataFrame:
     """Explicit casts (used by plans); unparsable values raise under ANSI."""
     out = df

@@ -9,7 +9,6 @@ Only leaderboard rows (one per model family) are assembled on the driver.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -499,8 +498,3 @@ def pca(df: DataFrame, cols: Sequence[str] | str, k: int, id_col: str | None = N
     out = model.transform(base).withColumn("__a", vector_to_array("__pc"))
     out = out.select(*([id_col] if id_col else []), *[F.col("__a")[i].alias(f"pc_{i + 1}") for i in range(k)])
     return out, model.stages[-1].explainedVariance.toArray().tolist()
-
-
-def grid_points(grid: dict[str, Sequence]) -> list[dict]:
-    keys = list(grid)
-    return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]

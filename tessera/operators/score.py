@@ -15,7 +15,6 @@ from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import is_numeric
 from tessera.operators.models import FEATURES, LABEL, feature_stages, fit_partitions, make_estimator
@@ -115,4 +114,4 @@ def load_model(path: str) -> PipelineModel:
 
 
 __all__ = ["default_values", "fill_defaults", "fit_scoring_model", "score_batch", "save_model",
-           "load_model", "FEATURES", "LABEL", "T"]
+           "load_model", "FEATURES", "LABEL"]
