@@ -131,3 +131,31 @@ def test_histogram_auto_bins(spark):
     assert len(h) == len(ref_edges) - 1
     assert h["count"].sum() == 2000
     assert np.isclose(h.lo.iloc[0], v.min()) and np.isclose(h.hi.iloc[-1], v.max())
+
+
+def test_exact_quantiles_skewed_groups(spark):
+    from tessera.functions.quantiles import exact_quantiles
+    rng = np.random.RandomState(11)
+    hot = pd.DataFrame({"g": "hot", "v": np.round(rng.randn(3000), 2)})       # a third of the rows, ties
+    rest = pd.DataFrame({"g": rng.choice(list("abcdefgh"), 6000), "v": rng.exponential(2.0, 6000)})
+    single = pd.DataFrame({"g": ["solo"], "v": [4.2]})
+    pdf = pd.concat([hot, rest, single], ignore_index=True)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles(spark.createDataFrame(pdf).repartition(5), "v", probs, ["g"]).toPandas().set_index("g")
+    for g, sub in pdf.groupby("g"):
+        ref = np.quantile(sub.v.to_numpy(), probs)  # linear interpolation
+        assert np.allclose(got.loc[g, [f"q{i}" for i in range(len(probs))]].to_numpy(dtype=float), ref,
+                           rtol=0, atol=1e-9), g
+
+
+def test_spread_does_not_run_shuffles(spark):
+    from tessera.functions.columns import spread
+    sc = spark.sparkContext
+    agg = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    sc.setJobGroup("spread-probe", "spread-probe")
+    out = spread(agg)
+    assert sc.statusTracker().getJobIdsForGroup("spread-probe") == []
+    assert out is agg
+    sc.setJobGroup("other", "other")
+    one = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    assert spread(one).rdd.getNumPartitions() >= sc.defaultParallelism
