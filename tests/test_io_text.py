@@ -56,3 +56,19 @@ def test_chat_context_positions(spark):
     out = TX.chat_context(conv, system_prompt="sys").orderBy("conv_id", "position").collect()
     assert [(r.conv_id, r.position, r.role) for r in out] == [
         (1, 0, "system"), (1, 1, "user"), (1, 2, "assistant"), (1, 3, "user"), (2, 0, "system"), (2, 1, "user")]
+
+
+def test_csv_explicit_schema_and_writers(spark):
+    d = scratch_dir(spark, "csv-schema")
+    os.makedirs(d)
+    with open(os.path.join(d, "t.csv"), "w") as f:
+        f.write("a,b\n1,x\n2,y\n")
+    df = IO.read_table(spark, d, schema="a int, b string")
+    assert df.dtypes == [("a", "int"), ("b", "string")] and df.count() == 2
+    lb = spark.createDataFrame([("rf", 0.9), ("lr", 0.8)], "model string, accuracy double")
+    p1 = IO.write_leaderboard(lb, scratch_dir(spark, "lb"))
+    p2 = IO.write_chart_data(df.where("a > 1"), scratch_dir(spark, "chart"))
+    back = IO.read_table(spark, p1)
+    assert dict(back.dtypes) == {"model": "string", "accuracy": "double"}
+    assert {r.model: r.accuracy for r in back.collect()} == {"rf": 0.9, "lr": 0.8}
+    assert IO.read_table(spark, p2).count() == 1
