@@ -149,7 +149,7 @@ def kde(df: DataFrame, col: str, by: str | None = None, grid: int = 200,
     # Grid rows are groups × grid points: small, so AQE broadcasts them.
     pairs = base.join(gridded.select(*keys, "point", "y", "__h", "__n"), keys) if keys \
         else base.crossJoin(F.broadcast(gridded.select("point", "y", "__h", "__n")))
-    u = (F.col("y") - F.col("__x")) / F.col("__h")
+    u = F.try_divide(F.col("y") - F.col("__x"), F.col("__h"))  # constant column: h = 0 → NULL
     dens = (pairs.groupBy(*keys, "point", "y", "__h", "__n")
             .agg(F.sum(F.col("__w") * F.exp(-0.5 * u * u)).alias("__s")))
     return dens.select(*keys, "point", "y",
@@ -230,7 +230,7 @@ def line_series(df: DataFrame, x: str | Column, y: str, z: float = 1.96,
     yv = _x(y)
     g = df.where(xc.isNotNull()).groupBy(xc.alias(name)).agg(
         F.count(yv).alias("n"), F.avg(yv).alias("mean"), F.stddev_samp(yv).alias("__s"))
-    half = z * F.col("__s") / F.sqrt(F.col("n").cast("double"))
+    half = F.try_divide(z * F.col("__s"), F.sqrt(F.col("n").cast("double")))
     return g.select(name, "n", "mean", (F.col("mean") - half).alias("lo"),
                     (F.col("mean") + half).alias("hi"))
 

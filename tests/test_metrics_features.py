@@ -159,3 +159,13 @@ def test_spread_does_not_run_shuffles(spark):
     sc.setJobGroup("other", "other")
     one = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
     assert spread(one).rdd.getNumPartitions() >= sc.defaultParallelism
+
+
+def test_charts_degenerate_inputs(spark):
+    from tessera.operators import charts as H
+    const = spark.createDataFrame([(i % 2, 3.0) for i in range(20)], "g int, v double")
+    d = H.kde(const, "v", grid=10).collect()
+    assert len(d) == 10 and all(r["density"] is None for r in d)
+    holes = spark.createDataFrame([(1, None), (1, None), (2, 1.0), (2, 3.0)], "x int, y double")
+    ls = {r["x"]: r for r in H.line_series(holes, "x", "y").collect()}
+    assert ls[1]["n"] == 0 and ls[1]["mean"] is None and ls[2]["mean"] == 2.0
