@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,13 @@ def packed(texts) -> tuple[np.ndarray, np.ndarray]:
     ends = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=ends[1:])
     return np.frombuffer(b"".join(raw), np.uint8), ends
+
+
+def row_key(rows: DataFrame) -> DataFrame:
+    """``rows(id, text)`` with ``occ``, which tells rows of one id apart: 0
+    where ids are unique (checked on the id column alone), else numbered in
+    the order of their texts.  Equal rows are alike, so any order does."""
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
+    if again.isEmpty():
+        return rows.withColumn("occ", F.lit(0))
+    return rows.withColumn("occ", F.row_number().over(Window.partitionBy("id").orderBy("text")))
