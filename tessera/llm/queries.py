@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, chunks, decontam, licenses, pieces, ppm, simhash, surrogates
+from tessera.llm import chat, chunks, crosspoly, decontam, licenses, pieces, ppm, simhash, surrogates
 from tessera.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_pii(read(spark, sf_dir, "documents"))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ FROM turns GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_cross_polytope": op3_cross_polytope,
     "op4_simhash": op4_simhash,
     "op5_chunk_dedup": op5_chunk_dedup,
     "op7_decontamination": op7_decontamination,
