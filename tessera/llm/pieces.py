@@ -15,7 +15,6 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Characters of text in work at a time, words remembered, and bytes up to
 #: which words are solved together; they bound memory, not results.
-BLOCK, REMEMBERED, TOGETHER = 1 << 21, 500_000, 96
+BLOCK, REMEMBERED, TOGETHER = 1 << 21, 200_000, 96
 WORDS = re.compile(r" *[^ ]+| +\Z")
 
 
@@ -159,7 +158,7 @@ def _char_length(first):
     return 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
 
 
-def _ids(v: Vocabulary, data: bytes, cuts: list[tuple[int, int, int]]) -> list[int]:
+def _ids(v: Vocabulary, data: bytes, cuts) -> list[int]:
     """Ids of a path of (start, end, piece or -1); unknown characters become bytes."""
     out = []
     for a, b, p in cuts:
@@ -200,7 +199,7 @@ def encode_one(v: Vocabulary, data: bytes) -> list[int]:
     return _ids(v, data, cuts[::-1])
 
 
-def _encode_together(v: Vocabulary, words: list[bytes]) -> list[list[int]]:
+def _encode_together(v: Vocabulary, words: list[bytes]) -> list[bytes]:
     """The same for many words of like length at once; zero bytes, which no
     piece holds, fill the shorter ones."""
     sizes = np.array([len(w) for w in words])
@@ -245,21 +244,23 @@ def _encode_together(v: Vocabulary, words: list[bytes]) -> list[list[int]]:
     owner, end, begin, p = (np.concatenate(x)[::-1] for x in zip(*steps))
     order = np.argsort(owner, kind="stable")
     owner, p, cuts = owner[order], p[order], np.searchsorted(owner[order], np.arange(many + 1)).tolist()
-    ids = p.tolist()
-    out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+    ids = p.astype(np.int32).tobytes()
+    out = [ids[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])]
     end, begin = end[order], begin[order]
     for w in np.unique(owner[p < 0]).tolist():
         a, b = cuts[w], cuts[w + 1]
-        out[w] = _ids(v, words[w], list(zip(begin[a:b].tolist(), end[a:b].tolist(), ids[a:b])))
+        cut = zip(begin[a:b].tolist(), end[a:b].tolist(), p[a:b].tolist())
+        out[w] = np.array(_ids(v, words[w], cut), np.int32).tobytes()
     return out
 
 
-def encode_words(v: Vocabulary, words: list[bytes]) -> list[list[int]]:
+def encode_words(v: Vocabulary, words: list[bytes]) -> list[bytes]:
+    """Ids of each word, as the bytes of 32-bit integers."""
     out: list = [None] * len(words)
     by_size: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         if len(w) > TOGETHER:
-            out[i] = encode_one(v, w)
+            out[i] = np.array(encode_one(v, w), np.int32).tobytes()
         else:
             by_size.setdefault((len(w) + 3) // 4, []).append(i)
     for group in by_size.values():
@@ -314,7 +315,7 @@ class Encoder:
         new = list({w for _, words in held for w in words if w not in known})
         known.update(zip(new, encode_words(self.v, [w.encode("utf-8", "surrogatepass") for w in new])))
         for i, words in held:
-            out[i].append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32))
+            out[i].append(np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32))
 
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: Vocabulary | None = None) -> Column:
@@ -363,10 +364,19 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     v = vocabulary or load_vocabulary()
     spelled = v.byte_id[v.byte_id >= 0]
-    low, high = (int(spelled.min()), int(spelled.max())) if len(spelled) else (0, -1)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.withColumn("ids", encode(rows, "text", v))
-    return rows.withColumn("back", decode(rows, "ids", v)).select(
-        F.col("id").alias(id_col), F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"),
-        F.coalesce(F.size(F.filter("ids", lambda i: i.between(low, high))), F.lit(0)).alias("n_bytes"),
-        "ids", (F.col("back") == F.col("text")).alias("round_trip"))
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    @F.pandas_udf("ids array<int>, n_bytes int, round_trip boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(shared.value)
+        for texts in batches:
+            ids = encoder.texts(list(texts))
+            yield pd.DataFrame({
+                "ids": pd.Series(ids, dtype=object),
+                "n_bytes": [0 if x is None else int(np.isin(x, spelled).sum()) for x in ids],
+                "round_trip": pd.Series([None if x is None else decode_ids(encoder.v, x.tolist()) == t
+                                         for x, t in zip(ids, texts)], dtype=object)})
+
+    return docs.select(F.col(f"`{id_col}`").alias("id"), both(F.col(f"`{text_col}`")).alias("e")).select(
+        F.col("id").alias(id_col), F.coalesce(F.size("e.ids"), F.lit(0)).alias("n_tokens"), "e.n_bytes", "e.ids",
+        "e.round_trip")

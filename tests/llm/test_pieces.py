@@ -1,6 +1,7 @@
 """Piece encoding against a plain Viterbi, decoding against the public library."""
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -70,7 +71,8 @@ def test_documents(spark, vocab, library):
 def test_together_is_one_by_one(vocab):
     rng = random.Random(5)
     words = ["".join(rng.choices("aeéß北 thTH.\n🙂", k=rng.randint(1, 60))).encode() for _ in range(400)]
-    assert pieces.encode_words(vocab, words) == [pieces.encode_one(vocab, w) for w in words]
+    together = [np.frombuffer(ids, np.int32).tolist() for ids in pieces.encode_words(vocab, words)]
+    assert together == [pieces.encode_one(vocab, w) for w in words]
 
 
 def test_trie_holds_the_pieces(vocab):
@@ -94,6 +96,9 @@ def test_without_word_rule_and_byte_pieces():
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "mark ▁ x"), (5, "word " * 60_000)]
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, ids long")
+    columns = docs.withColumn("ids", pieces.encode(docs))
+    assert [r["back"] for r in columns.withColumn("back", pieces.decode(columns)).collect()] == \
+        [None, "", "a", "a", "mark   x", "word " * 60_000]
     out = sorted(pieces.encode_documents(docs).collect(), key=lambda r: (r["doc_id"] or 0, r["n_tokens"]))
     assert [(r["doc_id"], r["round_trip"]) for r in out] == [(None, False), (1, None), (2, True), (3, True), (3, True), (5, True)]
     assert out[1]["ids"] is None and out[2]["ids"] == [] and out[5]["n_tokens"] >= 60_000
