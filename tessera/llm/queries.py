@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, chunks, crosspoly, decontam, licenses, pieces, ppm, simhash, surrogates
+from tessera.llm import chat, chunks, crosspoly, decontam, licenses, pieces, ppm, simhash, suffixes, surrogates
 from tessera.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeats(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cross_polytope": op3_cross_polytope,
     "op4_simhash": op4_simhash,
     "op5_chunk_dedup": op5_chunk_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_chat_format": op8_chat_format,
     "op9_pieces": op9_pieces,
