@@ -18,8 +18,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -29,7 +32,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Characters of text in work at a time, words remembered, and bytes up to
 #: which words are solved together; they bound memory, not results.
-BLOCK, REMEMBERED, TOGETHER = 1 << 21, 200_000, 96
+BLOCK, REMEMBERED, TOGETHER = 1 << 20, 100_000, 96
 WORDS = re.compile(r" *[^ ]+| +\Z")
 
 
@@ -264,8 +267,8 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> list[bytes]:
         else:
             by_size.setdefault((len(w) + 3) // 4, []).append(i)
     for group in by_size.values():
-        for lo in range(0, len(group), 20_000):
-            part = group[lo:lo + 20_000]
+        for lo in range(0, len(group), 8_000):
+            part = group[lo:lo + 8_000]
             for i, ids in zip(part, _encode_together(v, [words[k] for k in part])):
                 out[i] = ids
     return out
@@ -363,20 +366,32 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Repeated rows each get their row; an empty table gives none.
     """
     v = vocabulary or load_vocabulary()
-    spelled = v.byte_id[v.byte_id >= 0]
     shared = docs.sparkSession.sparkContext.broadcast(v)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    fields = rows.select("id").schema.add("n_tokens", "integer").add("n_bytes", "integer").add("ids", ArrayType(IntegerType())) \
+        .add("round_trip", "boolean")
+    return rows.mapInArrow(_encoded(shared), fields).withColumnRenamed("id", id_col)
 
-    @F.pandas_udf("ids array<int>, n_bytes int, round_trip boolean")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+def _encoded(shared):
+    def run(batches):
         encoder = Encoder(shared.value)
-        for texts in batches:
-            ids = encoder.texts(list(texts))
-            yield pd.DataFrame({
-                "ids": pd.Series(ids, dtype=object),
-                "n_bytes": [0 if x is None else int(np.isin(x, spelled).sum()) for x in ids],
-                "round_trip": pd.Series([None if x is None else decode_ids(encoder.v, x.tolist()) == t
-                                         for x, t in zip(ids, texts)], dtype=object)})
-
-    return docs.select(F.col(f"`{id_col}`").alias("id"), both(F.col(f"`{text_col}`")).alias("e")).select(
-        F.col("id").alias(id_col), F.coalesce(F.size("e.ids"), F.lit(0)).alias("n_tokens"), "e.n_bytes", "e.ids",
-        "e.round_trip")
+        v = encoder.v
+        spelled = v.byte_id[v.byte_id >= 0]
+        for batch in batches:
+            size = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(1).cast(pa.binary())), 0).cast("int64"))
+            cuts = np.flatnonzero(np.diff(size.to_numpy(zero_copy_only=False) // BLOCK)) + 1
+            for part in map(batch.slice, [0, *cuts], np.diff([0, *cuts, batch.num_rows])):
+                texts = part.column(1).to_pylist()
+                ids = encoder.texts(texts)
+                n = np.array([0 if x is None else len(x) for x in ids], np.int32)
+                flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
+                offsets = np.append(0, np.cumsum(n)).astype(np.int32)
+                total = np.append(0, np.cumsum(np.isin(flat, spelled)))
+                mask = pa.array([t is None for t in texts], pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=mask)
+                same = pa.array([None if x is None else decode_ids(v, x.tolist()) == t for x, t in zip(ids, texts)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n), pa.array((total[offsets[1:]] - total[offsets[:-1]]).astype(np.int32)),
+                     lists, same], ["id", "n_tokens", "n_bytes", "ids", "round_trip"])
+    return run

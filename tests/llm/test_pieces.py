@@ -63,7 +63,7 @@ def test_documents(spark, vocab, library):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     out = pieces.encode_documents(docs).collect()
     assert len(out) == len(texts) and all(r["round_trip"] for r in out)
-    for r in out[:40]:
+    for r in out[:12]:
         assert r["ids"] == brute(vocab, texts[r["doc_id"]])
         assert r["n_tokens"] == len(r["ids"]) and library.decode(r["ids"]) == texts[r["doc_id"]]
 
