@@ -35,10 +35,20 @@ def packed(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_key(rows: DataFrame) -> DataFrame:
-    """``rows(id, text)`` with ``occ``, which tells rows of one id apart: 0
+    """``rows(id, text, ...)`` with ``occ``, which tells rows of one id apart: 0
     where ids are unique (checked on the id column alone), else numbered in
     the order of their texts.  Equal rows are alike, so any order does."""
     again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
     if again.isEmpty():
         return rows.withColumn("occ", F.lit(0))
     return rows.withColumn("occ", F.row_number().over(Window.partitionBy("id").orderBy("text")))
+
+
+def one_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each non-null id, that with the smallest text; rows with a
+    null id all stay.  Nothing is shuffled but ids where ids are unique."""
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
+    if again.isEmpty():
+        return docs
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return docs.withColumn("__place", place).where((F.col("__place") == 1) | F.col(id_col).isNull()).drop("__place")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, row_key
+from tessera.llm.common import row_key
 from tessera.session import ensure_checkpoint_dir
 
 #: Given names by script and gender, titles, and syllables of
@@ -173,15 +173,18 @@ def _drawn(entities: DataFrame, secret: str) -> DataFrame:
         draw += 1
 
 
-def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str = "tessera") -> DataFrame:
-    """(id, text, n_entities, kinds) of every document, entities replaced.
+def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str = "tessera",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, n_entities, kinds) of every document, entities replaced,
+    and the further columns named in ``carry`` as they are.
 
     ``secret`` is the key; another key gives other surrogates.  ``kinds`` are
     the sorted types found.  Null text: null, 0 entities.  Rows that repeat
     an id are documents of their own; an empty table gives no row.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = row_key(keyed(docs, id=id_col, text=text_col))
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None)
+    rows = row_key(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest")))
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     found = rows.withColumn("mentions", F.when(hinted, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
                             .otherwise(F.array().cast("array<string>")))
@@ -208,14 +211,15 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maps = replaced.groupBy("id", "occ").agg(
         F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("map"),
         F.array_sort(F.collect_set("whole")).alias("kinds"))
+    back = [F.col(f"rest.`{c}`").alias(c) for c in carry]
     parts = F.split("text", ANY, -1)
     n = F.size("mentions")
     whole = F.concat(F.array_join(F.zip_with(F.slice(F.col("parts"), F.lit(1), n), "mentions",
                                              lambda p, m: F.concat(p, F.col("map")[m])), ""), F.element_at("parts", -1))
     changed = held.alias("h").join(maps.alias("m"), F.expr("h.id <=> m.id and h.occ = m.occ")) \
         .withColumn("parts", parts) \
-        .select(F.col("h.id").alias(id_col), whole.alias(text_col), n.alias("n_entities"), "kinds")
+        .select(F.col("h.id").alias(id_col), whole.alias(text_col), n.alias("n_entities"), "kinds", *back)
     same = found.where((F.size("mentions") == 0) | F.col("text").isNull()) \
         .select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.lit(0).alias("n_entities"),
-                F.array().cast("array<string>").alias("kinds"))
+                F.array().cast("array<string>").alias("kinds"), *back)
     return same.unionByName(changed)
