@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components
 from tessera.session import ensure_checkpoint_dir
 
-#: Rows of a block, and rows compared with a block at a time.
-LANES, STRIP = 4096, 256
+#: Rows of a block, rows compared with a block at a time, and rows of a block
+#: up to which blocks are compared together.
+LANES, STRIP, SMALL = 4096, 256, 32
 #: Axes of each rotation that probes choose from.
 NEAREST = 4
 #: Classes of rows with a null id are numbered from here on; ids lie below.
 UNNAMED = 1 << 62
 
 
-def unit(vectors) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -76,54 +77,72 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndar
     return out
 
 
-def _keyed(tables: int, hashes: int, probes: int):
+def _hashed(tables: int, hashes: int, probes: int, kind: str):
+    """Adds a vector's bytes and its bucket keys."""
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
             for _, same in pdf.groupby(pdf["vec"].map(len)):
-                keys = bucket_keys(unit(same["vec"]), tables, hashes, probes).reshape(len(same), -1)
-                yield pd.DataFrame({"id": same["id"], "n": same["n"], "label": same["label"], "vec": same["vec"],
-                                    "keys": list(keys)})
+                x = np.array(same["vec"].tolist(), kind)
+                keys = bucket_keys(unit(x), tables, hashes, probes)
+                yield pd.DataFrame({"id": same["id"], "label": same["label"], "dim": x.shape[1], "n": same["n"],
+                                    "vec": [v.tobytes() for v in x], "keys": list(keys.reshape(len(x), -1))})
     return run
 
 
-def _linked(block: pd.DataFrame, threshold: float, tables: int, hashes: int, probes: int):
-    """(id, links, root) of the rows of one block that have a link in it."""
-    t, key = int(block["t"].iloc[0]), int(block["k"].iloc[0])
-    x = unit(block["vec"])
-    keys = bucket_keys(x, tables, hashes, probes)
-    own = keys[:, :, 0]
-    side = ((block["c"] == block["hi"]) & (block["lo"] != block["hi"])).to_numpy()
-    crossing, home, weight = side.any(), own[:, t] == key, block["n"].to_numpy()
-    links, root = np.zeros(len(block), np.int64), np.arange(len(block))
-    found = []
-    for lo in range(0, len(x), STRIP):
-        a, b = np.nonzero(x[lo:lo + STRIP] @ x.T >= threshold)
-        a += lo
-        ok = (a < b) & (home[a] | home[b])
-        if crossing:
-            ok &= side[a] != side[b]
+def _pairs(block: np.ndarray, x: np.ndarray, threshold: float):
+    """(a, b) of rows of the same block with a cosine of at least threshold:
+    small blocks all together, shift by shift, large ones by strips."""
+    edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    size = np.diff(np.append(edges, len(block)))
+    small = np.repeat(size <= SMALL, size)
+    for shift in range(1, int(size[size <= SMALL].max(initial=0))):
+        a = np.flatnonzero((block[:-shift] == block[shift:]) & small[shift:])
+        for part in np.array_split(a, 1 + len(a) // 20_000):
+            near = (x[part] * x[part + shift]).sum(1) >= threshold
+            yield part[near], part[near] + shift
+    for first, n in zip(edges[size > SMALL], size[size > SMALL]):
+        y = x[first:first + n]
+        for lo in range(0, n, STRIP):
+            a, b = np.nonzero(y[lo:lo + STRIP] @ y[lo:].T >= threshold)
+            keep = a < b
+            yield first + lo + a[keep], first + lo + b[keep]
+
+
+def _linked(rows: pd.DataFrame, threshold: float, tables: int, probes: int, kind: str):
+    """(id, links, root) of the rows, whole blocks of one length of vector,
+    that have a link; root is the first row that they reach in their block."""
+    t, key = rows["t"].to_numpy(), rows["k"].to_numpy()
+    x = unit(np.frombuffer(b"".join(rows["vec"]), kind).reshape(len(rows), -1))
+    keys = np.stack(rows["keys"].to_numpy()).reshape(len(rows), tables, probes)
+    own, weight = keys[:, :, 0], rows["n"].to_numpy()
+    home = own[np.arange(len(rows)), t] == key
+    lo, hi, c = (rows[name].to_numpy() for name in ("lo", "hi", "c"))
+    links, found = np.zeros(len(rows), np.int64), []
+    for a, b in _pairs(rows["block"].to_numpy(), x, threshold):
+        ok = (home[a] | home[b]) & ((lo[a] == hi[a]) | (c[a] != c[b]))
         a, b = a[ok], b[ok]
-        # the first table and there the smallest bucket in which the two meet
-        ab = (own[a, :t + 1, None] == keys[b, :t + 1]).any(2)
-        ba = (own[b, :t + 1, None] == keys[a, :t + 1]).any(2)
-        here = np.minimum(np.where(ab[:, t], own[a, t], key), np.where(ba[:, t], own[b, t], key)) == key
-        mine = here & ~(ab[:, :t] | ba[:, :t]).any(1)
-        a, b = a[mine], b[mine]
-        np.add.at(links, a, weight[b])
-        np.add.at(links, b, weight[a])
-        found.append((a, b))
-    a, b = (np.concatenate(p) for p in zip(*found))
-    while len(a):  # smallest row reachable inside the block
+        for some in np.array_split(np.arange(len(a)), 1 + len(a) // 20_000):
+            i, j = a[some], b[some]
+            # the first table and there the smallest bucket in which the two meet
+            ij, ji = ((own[p][:, :, None] == keys[q]).any(2) for p, q in ((i, j), (j, i)))
+            first = (ij | ji).argmax(1)
+            at = np.arange(len(i))
+            far = np.iinfo(np.int64).max
+            least = np.minimum(np.where(ij[at, first], own[i, first], far), np.where(ji[at, first], own[j, first], far))
+            mine = (first == t[i]) & (least == key[i])
+            i, j = i[mine], j[mine]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            found.append((i, j))
+    root = np.arange(len(rows))
+    a, b = (np.concatenate(p) for p in zip(*found)) if found else (root[:0], root[:0])
+    while (root[a] != root[b]).any():
         low = np.minimum(root[a], root[b])
-        if (low == root[a]).all() and (low == root[b]).all():
-            break
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
+        for end in (a, b):
+            np.minimum.at(root, root[end], low)
+            np.minimum.at(root, end, low)
         root = root[root]
-    ids = block["id"].to_numpy()
-    some = links > 0
+    ids, some = rows["id"].to_numpy(), links > 0
     return pd.DataFrame({"id": ids[some], "links": links[some], "root": ids[root[some]]})
 
 
@@ -133,9 +152,11 @@ def _blocks(*args):
     def run(batches):
         held = []
 
-        def done(pdf):
-            out = [_linked(b, *args) for _, b in pdf.groupby(group, sort=False) if len(b) > 1]
-            return pd.concat(out) if out else pd.DataFrame({"id": [], "links": [], "root": []}, dtype="int64")
+        def done(parts):
+            pdf = pd.concat(parts)
+            pdf["block"] = (pdf[group] != pdf[group].shift()).any(axis=1).cumsum()
+            for _, same in pdf.groupby("dim"):
+                yield _linked(same, *args)
 
         for pdf in batches:  # blocks come one after another and may span batches
             if not len(pdf):
@@ -144,15 +165,15 @@ def _blocks(*args):
             if last.all():
                 held.append(pdf)
                 continue
-            yield done(pd.concat([*held, pdf[~last]]))
+            yield from done([*held, pdf[~last]])
             held = [pdf[last]]
         if held:
-            yield done(pd.concat(held))
+            yield from done(held)
     return run
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-                    threshold: float = 0.93, tables: int = 10, hashes: int = 2, probes: int = 4) -> DataFrame:
+                    threshold: float = 0.93, tables: int = 6, hashes: int = 2, probes: int = 4) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector.
 
     Vectors with equal, non-null labels and equal length link at a cosine of
@@ -172,23 +193,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     classes = rows.where(usable).groupBy("label", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")) \
         .withColumn("id", F.coalesce("first", F.xxhash64("label", "vec").bitwiseAND(UNNAMED - 1) + UNNAMED)) \
         .select("id", "label", "vec", "n").checkpoint()
-    at = classes.mapInPandas(_keyed(tables, hashes, probes), "id long, n long, label string, vec array<double>, keys array<long>")
-    bucket = F.posexplode("keys").alias("p", "k")
-    hashed = at.select("id", "n", "label", F.size("vec").alias("dim"), "vec", bucket) \
-        .select("id", "n", "label", "dim", "vec", F.floor(F.col("p") / probes).cast("int").alias("t"), "k")
-    sizes = at.select("label", F.size("vec").alias("dim"), bucket) \
-        .groupBy("label", "dim", F.floor(F.col("p") / probes).cast("int").alias("t"), "k") \
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("p") % probes == 0, 1).otherwise(0)).alias("homes")) \
-        .where("rows > 1 and homes > 0")
-    split = hashed.join(sizes, ["label", "dim", "t", "k"]) \
-        .withColumn("parts", F.ceil(F.col("rows") / (LANES // 2))) \
-        .withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))) \
-        .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = split.select("label", "dim", "t", "k", "c", "id", "n", "vec",
-                          F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi")) \
+    kind = "<f4" if dict(rows.dtypes)["vec"] == "array<float>" else "<f8"
+    hashed = classes.mapInPandas(_hashed(tables, hashes, probes, kind), "id long, label string, dim int, n long, "
+                                 "vec binary, keys array<long>").checkpoint()
+    entry = hashed.select("id", "label", "dim", F.posexplode("keys").alias("p", "k")) \
+        .select("id", "label", "dim", F.floor(F.col("p") / probes).cast("int").alias("t"), "k", (F.col("p") % probes == 0).alias("home"))
+    sizes = entry.groupBy("label", "dim", "t", "k") \
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("homes")).where("rows > 1 and homes")
+    meets = entry.join(sizes, ["label", "dim", "t", "k"]).groupBy("id") \
+        .agg(F.collect_list(F.struct("t", "k", F.ceil(F.col("rows") / (LANES // 2)).alias("parts"))).alias("meets"))
+    blocks = hashed.join(meets, "id").withColumn("m", F.explode("meets")) \
+        .withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), F.col("m.parts"))) \
+        .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m.parts") - 1))) \
+        .select("label", "dim", "m.t", "m.k", "c", "id", "n", "vec", "keys",
+                F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi")) \
         .repartition("label", "dim", "t", "k", "lo", "hi") \
         .sortWithinPartitions("label", "dim", "t", "k", "lo", "hi", "c", "id")
-    found = blocks.mapInPandas(_blocks(threshold, tables, hashes, probes), "id long, links long, root long").checkpoint()
+    found = blocks.mapInPandas(_blocks(threshold, tables, probes, kind), "id long, links long, root long").checkpoint()
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left") \

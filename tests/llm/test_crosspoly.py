@@ -92,7 +92,7 @@ def test_recall_at_the_threshold():
     x = crosspoly.unit(rng.normal(size=(1500, 64)))
     z = rng.normal(size=x.shape)
     z = crosspoly.unit(z - (z * x).sum(1)[:, None] * x)
-    a, b = (crosspoly.bucket_keys(v, 10, 2, 4) for v in (x, 0.93 * x + np.sqrt(1 - 0.93 ** 2) * z))
+    a, b = (crosspoly.bucket_keys(v, 6, 2, 4) for v in (x, 0.93 * x + np.sqrt(1 - 0.93 ** 2) * z))
     assert ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1).mean() >= 0.99
     y = crosspoly.rotated(x, 3)
     assert np.allclose((y * y).sum(1), 1) and np.allclose(y[:9] @ y[:9].T, x[:9] @ x[:9].T)
