@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import numeric_columns, spread
+from tessera.functions.components import connected_components
+from tessera.session import scratch_dir
 
 
 # --------------------------------------------------------------------------
@@ -97,15 +99,14 @@ def dbscan_noise(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
 
 
 def dbscan_labels(df: DataFrame, id_col: str, cols: Sequence[str] | None = None, eps: float = 0.5,
-                  min_pts: int = 5, max_rounds: int = 50) -> DataFrame:
+                  min_pts: int = 5) -> DataFrame:
     """Cluster label per row ``(id, cluster)``, -1 for noise.
 
     Core points are linked through core-core pairs within eps (points of one
-    dense sub-cell are linked through the sub-cell); connected components
-    by min-label propagation, one join per round with the lineage cut by
-    ``checkpoint()`` (shared checkpoint folder).  A border point takes the
-    smallest label among its core neighbours.  Cluster ids are the smallest
-    id of the component.
+    dense sub-cell are linked through the sub-cell); connected components by
+    alternating stars, which run until nothing changes.  A border point takes
+    the smallest label among its core neighbours.  Cluster ids are the
+    smallest id of the component.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[id_col])
     pts, pairs = dbscan_pairs(df, id_col, cols, eps, min_pts)
@@ -125,22 +126,12 @@ def dbscan_labels(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
     # ... dense sub-cell members linked to the smallest member of the sub-cell
     rep = core.where("dense").groupBy("__sub").agg(F.min("__id").alias("__rep"))
     e2 = core.where("dense").join(rep, "__sub").select(F.col("__id").alias("a"), F.col("__rep").alias("b"))
-    # ... and dense sub-cells to each other through representatives: exact
-    # distance between any two points of neighbouring dense sub-cells is
-    # reduced to their closest pair by a bounded cell-pair join on minima
+    # ... and dense sub-cells to each other through representatives
     e3 = _dense_cell_links(core.where("dense"), d, eps)
     edges = e1.unionByName(e2).unionByName(e3)
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = core.select(F.col("__id").alias("a"), F.col("__id").alias("lab"))
-    for _ in range(max_rounds):
-        prop = edges.join(labels, "a").groupBy("b").agg(F.min("lab").alias("__m"))
-        new = labels.join(prop, labels["a"] == prop["b"], "left").select(
-            "a", F.least("lab", F.coalesce("__m", "lab")).alias("lab")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("lab", "__old"), "a").where(F.col("lab") != F.col("__old")) \
-            .limit(1).count()
-        labels = new
-        if changed == 0:
-            break
+    roots = connected_components(_written(edges))
+    labels = core.select(F.col("__id").alias("a")).join(roots, F.col("a") == F.col("node"), "left") \
+        .select("a", F.coalesce("root", "a").alias("lab"))
     core_lab = labels.select(F.col("a").alias("q"), F.col("lab"))
     border = pairs.join(core_lab, "q").groupBy("p").agg(F.min("lab").alias("__bl"))
     allp = flags.select("__id", "core").join(labels, flags["__id"] == labels["a"], "left") \
@@ -149,33 +140,56 @@ def dbscan_labels(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
                        F.coalesce("lab", "__bl", F.lit(-1)).cast("bigint").alias("cluster"))
 
 
-def _dense_cell_links(dense: DataFrame, d: int, eps: float) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """The rows through a table in the shared folder: unlike a checkpoint it
+    also leaves behind the predicates of the plan, which the optimizer would
+    otherwise carry into every round."""
+    path = scratch_dir(df.sparkSession, "dbscan")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _dense_cell_links(dense: DataFrame, d: int, eps: float, max_dims: int = 3) -> DataFrame:
     """Links between representatives of dense sub-cells closer than eps.
 
-    Sub-cells within eps of each other differ by at most ⌈√d⌉ per axis; for
-    each such pair the exact minimum distance needs point pairs, which we
-    bound by comparing each point of a sub-cell against the *bounding box*
-    of the other only when boxes are within eps, then confirm with points
-    of the smaller side.
+    Bounding boxes meet over a coarse grid of side eps on the first
+    ``max_dims`` columns (their lower corners differ by at most 2 eps an
+    axis).  Boxes farther apart than eps cannot hold a pair, boxes whose
+    farthest corners lie within eps surely do; for the rest only the points
+    of either sub-cell within eps of the other's box are compared.
     """
-    reach = int(math.ceil(math.sqrt(d)))
     boxes = dense.groupBy("__sub").agg(F.min("__id").alias("__rep"),
                                        *[F.min(f"__x{i}").alias(f"__l{i}") for i in range(d)],
                                        *[F.max(f"__x{i}").alias(f"__h{i}") for i in range(d)])
-    offs = [list(o) for o in product(range(-reach, reach + 1), repeat=d) if any(o)]
-    off = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-    probe = boxes.select(F.col("__sub").alias("__s1"), F.col("__rep").alias("a"),
-                         F.explode(off).alias("__o"))
-    probe = probe.select("__s1", "a", F.zip_with("__s1", "__o", lambda x, y: x + y).alias("__sub"))
-    cand = probe.join(boxes.select("__sub", F.col("__rep").alias("b")), "__sub").where(F.col("a") < F.col("b"))
-    # confirm with exact point pairs between the two sub-cells (each holds
-    # points within a box of side eps/√d; candidate pairs are bounded by the
-    # number of neighbouring sub-cells per point)
-    pa = dense.select(F.col("__sub").alias("__s1"), *[F.col(f"__x{i}").alias(f"__a{i}") for i in range(d)])
-    pb = dense.select(F.col("__sub").alias("__sub"), *[F.col(f"__x{i}").alias(f"__b{i}") for i in range(d)])
-    j = cand.join(pa, "__s1").join(pb, "__sub")
+    g = min(d, max_dims)
+    boxes = boxes.withColumn("__cell", F.array(*[F.floor(F.col(f"__l{i}") / eps).cast("bigint") for i in range(g)]))
+    off = F.array(*[F.array(*[F.lit(v) for v in o]) for o in product(range(-2, 3), repeat=g)])
+    near = boxes.select("*", F.explode(off).alias("__o")) \
+        .withColumn("__cell", F.zip_with("__cell", "__o", lambda x, y: x + y)).drop("__o").alias("p") \
+        .join(boxes.alias("q"), F.col("p.__cell") == F.col("q.__cell")).where(F.col("p.__rep") < F.col("q.__rep"))
+    low, high = (lambda t, i: F.col(f"{t}.__l{i}")), (lambda t, i: F.col(f"{t}.__h{i}"))
+    gap = sum((F.pow(F.greatest(F.lit(0.0), low("p", i) - high("q", i), low("q", i) - high("p", i)), 2)
+               for i in range(d)), F.lit(0.0))
+    far = sum((F.pow(F.greatest(high("p", i) - low("q", i), high("q", i) - low("p", i)), 2)
+               for i in range(d)), F.lit(0.0))
+    near = near.where(gap <= eps * eps).select(
+        F.col("p.__sub").alias("__s1"), F.col("q.__sub").alias("__s2"), F.col("p.__rep").alias("a"),
+        F.col("q.__rep").alias("b"), (far <= eps * eps).alias("sure"),
+        *[c for t, n in (("p", 1), ("q", 2)) for i in range(d) for c in (low(t, i).alias(f"__l{n}{i}"),
+                                                                        high(t, i).alias(f"__h{n}{i}"))])
+    near = _written(near)
+    open_pairs = near.where(~F.col("sure"))
+
+    def facing(mine: int, other: int, name: str) -> DataFrame:
+        pts = dense.select(F.col("__sub").alias(f"__s{mine}"), *[F.col(f"__x{i}").alias(f"{name}{i}") for i in range(d)])
+        away = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"__l{other}{i}") - F.col(f"{name}{i}"),
+                                     F.col(f"{name}{i}") - F.col(f"__h{other}{i}")), 2) for i in range(d)), F.lit(0.0))
+        return open_pairs.join(pts, f"__s{mine}").where(away <= eps * eps) \
+            .select("a", "b", *[f"{name}{i}" for i in range(d)]).distinct()
+
     d2 = sum(((F.col(f"__a{i}") - F.col(f"__b{i}")) ** 2 for i in range(d)), F.lit(0.0))
-    return j.where(d2 <= eps * eps).select("a", "b").distinct()
+    proved = facing(1, 2, "__a").join(facing(2, 1, "__b"), ["a", "b"]).where(d2 <= eps * eps).select("a", "b").distinct()
+    return near.where("sure").select("a", "b").unionByName(proved)
 
 
 # --------------------------------------------------------------------------
