@@ -16,8 +16,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import (MinMaxScaler, OneHotEncoder, PCA, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import (Imputer, MinMaxScaler, OneHotEncoder, PCA, SQLTransformer, StandardScaler,
+                                StringIndexer, StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
@@ -31,9 +31,8 @@ from tessera.operators.features import add_folds, train_test_split
 from tessera.operators.profile import detect_task, max_folds
 from tessera.operators.rff import RandomFourierFeatures
 
-# "No depth limit" in the original grids.  Spark trees stop at depth 30;
-# grids use this cap (a depth-30 forest is exponential in memory).
-UNLIMITED_DEPTH = 12
+# "No depth limit" in the original grids: Spark trees stop at depth 30.
+UNLIMITED_DEPTH = 30
 LABEL, FEATURES = "target_index", "features"
 
 
@@ -43,18 +42,27 @@ LABEL, FEATURES = "target_index", "features"
 
 def feature_stages(df: DataFrame, features: Sequence[str], target: str | None = None,
                    task: str = "classification", encoder: str = "index",
-                   scaler: str | None = None) -> list:
+                   scaler: str | None = None, labels: Sequence[str] | None = None) -> list:
     """Stages turning raw columns into ``features`` (vector) and ``label``.
 
     Text features are dictionary-encoded (``StringIndexer``, alphabetical,
-    unseen/NULL values get their own code) and optionally one-hot encoded;
-    numbers pass through; the assembler keeps NULL as NaN; an optional
-    ``standard``/``minmax`` scaler follows.  A classification target is
-    indexed alphabetically (decode with the fitted indexer's labels); a
-    regression target is cast to double.
+    unseen/NULL values get their own code) and optionally one-hot encoded.
+    Codes are numbers to every model, trees included, so a column may hold
+    any number of values.  Missing numbers take the mean of the rows fitted
+    on; an optional ``standard``/``minmax`` scaler follows.  A classification
+    target is indexed alphabetically (decode with the fitted indexer's
+    labels), over ``labels`` if given, else over the rows fitted on; a class
+    outside them is an error, never dropped.  A regression target is cast to
+    double.
     """
     stages = []
     inputs = []
+    numbers = [f for f in features if not isinstance(df.schema[f].dataType, T.StringType)]
+    if numbers:
+        casts = ", ".join(f"CAST(`{f}` AS DOUBLE) AS `{f}__num`" for f in numbers)
+        stages += [SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"),
+                   Imputer(strategy="mean", inputCols=[f"{f}__num" for f in numbers],
+                           outputCols=[f"{f}__full" for f in numbers])]
     for f in features:
         dt = df.schema[f].dataType
         if isinstance(dt, T.StringType):
@@ -65,13 +73,11 @@ def feature_stages(df: DataFrame, features: Sequence[str], target: str | None =
                 # slot), so the encoder needs no further "invalid" slot
                 stages.append(OneHotEncoder(inputCol=f"{f}__idx", outputCol=f"{f}__ohe", dropLast=False))
                 inputs.append(f"{f}__ohe")
-            else:
-                inputs.append(f"{f}__idx")
-        elif isinstance(dt, T.BooleanType):
-            stages.append(_CastStage(f, f"{f}__num"))
-            inputs.append(f"{f}__num")
+            else:  # a plain number: no list of categories for trees to keep
+                stages.append(SQLTransformer(statement=f"SELECT *, `{f}__idx` + 0.0D AS `{f}__code` FROM __THIS__"))
+                inputs.append(f"{f}__code")
         else:
-            inputs.append(f)
+            inputs.append(f"{f}__full")
     out = FEATURES if scaler is None else "features_raw"
     stages.append(VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep"))
     if scaler == "standard":
@@ -80,15 +86,24 @@ def feature_stages(df: DataFrame, features: Sequence[str], target: str | None =
         stages.append(MinMaxScaler(inputCol=out, outputCol=FEATURES))
     if target is not None:
         if task == "classification":
-            stages.append(StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc",
-                                        handleInvalid="skip"))
+            if labels is not None:
+                stages.append(StringIndexerModel.from_labels(list(labels), target, LABEL, handleInvalid="error"))
+            else:
+                stages.append(StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc",
+                                            handleInvalid="error"))
         else:
             stages.append(_CastStage(target, LABEL))
     return stages
 
 
+def class_labels(df: DataFrame, target: str) -> list[str]:
+    """The distinct classes of the whole table in order (they become the
+    model's label list, so the driver holds them)."""
+    rows = df.select(F.col(target).cast("string").alias("c")).where("c is not null").distinct().orderBy("c").collect()
+    return [r["c"] for r in rows]
+
+
 def _CastStage(inp: str, out: str):
-    from pyspark.ml.feature import SQLTransformer
     return SQLTransformer(statement=f"SELECT *, CAST(`{inp}` AS DOUBLE) AS `{out}` FROM __THIS__")
 
 
@@ -217,7 +232,7 @@ def evaluate(preds: DataFrame, task: str, num_classes: int = 2) -> dict:
     if task == "classification":
         row = preds.agg(F.avg((F.col(LABEL) == F.col("prediction")).cast("double")).alias("a")).first()
         f1 = MET.weighted_f1(preds, LABEL, "prediction").first()[0]
-        auc = None
+        auc = reason = None
         try:
             if num_classes == 2:
                 col = "probability" if "probability" in preds.columns else "rawPrediction"
@@ -229,9 +244,9 @@ def evaluate(preds: DataFrame, task: str, num_classes: int = 2) -> dict:
                 for k in range(num_classes):
                     arr = arr.withColumn(f"__p{k}", F.col("__p")[k])
                 auc = MET.roc_auc_ovo(arr, LABEL, cols).first()[0]
-        except Exception:  # AUC is optional, as in the original ("N/A")
-            auc = None
-        return {"accuracy": row["a"], "weighted_f1": f1, "roc_auc": auc}
+        except Exception as e:  # AUC is optional, as in the original ("N/A"); the row says why
+            reason = f"roc_auc: {type(e).__name__}: {str(e)[:200]}"
+        return {"accuracy": row["a"], "weighted_f1": f1, "roc_auc": auc, "error": reason}
     r = preds.agg(F.avg(F.pow(F.col(LABEL) - F.col("prediction"), 2)).alias("mse"),
                   F.count(F.lit(1)).alias("n"), F.var_pop(LABEL).alias("v")).first()
     r2 = None if not r["v"] else 1.0 - r["mse"] / r["v"]
@@ -253,7 +268,7 @@ def _f(v):
 def _lb_row(model, params=None, cv=None, metrics=None, error=None) -> tuple:
     m = metrics or {}
     return (model, params, _f(cv), _f(m.get("accuracy")), _f(m.get("weighted_f1")), _f(m.get("roc_auc")),
-            _f(m.get("mse")), _f(m.get("r2")), error)
+            _f(m.get("mse")), _f(m.get("r2")), error or m.get("error"))
 
 
 def _params_text(model) -> str:
@@ -309,12 +324,17 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, id_col: str,
             test_pct: int = 20, folds: int = 3, seed: int = 42, task: str | None = None,
             encoder: str = "index", scaler: str | None = None):
     """Split by id hash, fit the feature pipeline on the train rows only,
-    encode both parts and add fold numbers; both parts are cached."""
+    encode both parts and add fold numbers; both parts are cached.  Rows
+    without a target can neither train nor test a model and are left out;
+    classes are those of all other rows, so a class that only test rows have
+    counts as missed."""
+    df = df.where(F.col(target).isNotNull())
     task = task or detect_task(df, target).first()["task"]
+    labels = class_labels(df, target) if task == "classification" else None
     data = train_test_split(df.select(id_col, *features, target), id_col, test_pct, seed)
     train_raw = data.where(F.col("split") == "train")
     train_raw = fit_partitions(train_raw, train_raw.count())
-    fm = Pipeline(stages=feature_stages(df, features, target, task, encoder, scaler)).fit(train_raw)
+    fm = Pipeline(stages=feature_stages(df, features, target, task, encoder, scaler, labels)).fit(train_raw)
     train = add_folds(fm.transform(train_raw), id_col, folds, seed).select(id_col, FEATURES, LABEL, "fold").cache()
     test = fm.transform(data.where(F.col("split") == "test")).select(id_col, FEATURES, LABEL).cache()
     num_classes = 0
@@ -325,11 +345,13 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, id_col: str,
 
 def automl(df: DataFrame, features: Sequence[str], target: str, id_col: str, test_pct: int = 20,
            folds: int = 3, families: Sequence[str] | None = None, grid: str = "full",
-           parallelism: int = 4, seed: int = 42, family_parallelism: int = 5) -> TrainResult:
+           parallelism: int = 4, seed: int = 42, family_parallelism: int = 5,
+           encoder: str = "index", scaler: str | None = None) -> TrainResult:
     """Per family, grid search with cross-validation on the train rows
     (refit on all train rows), test metrics, one leaderboard row; a family
     that fails becomes a row with its error text."""
-    task, fm, train, test, k = prepare(df, features, target, id_col, test_pct, folds, seed)
+    task, fm, train, test, k = prepare(df, features, target, id_col, test_pct, folds, seed,
+                                       encoder=encoder, scaler=scaler)
     if task == "classification":
         allowed = max_folds(train, LABEL, folds)
         if allowed != folds:
@@ -383,13 +405,13 @@ def cross_val_predictions(est, data: DataFrame, folds: int) -> DataFrame:
 
 def compare_models(df: DataFrame, features: Sequence[str], target: str, id_col: str,
                    models: Sequence[str], folds: int = 5, params: dict | None = None,
-                   seed: int = 42) -> TrainResult:
+                   seed: int = 42, encoder: str = "index", scaler: str | None = None) -> TrainResult:
     """Chosen families with fixed parameters: fit on the 80% train rows,
     test metrics, plus k-fold cross-validation over **all** rows (mean
     accuracy or mean MSE), as the original did.  Failures become rows."""
     if not 2 <= folds <= 10:
         raise ValueError("folds must be between 2 and 10")
-    task, fm, train, test, k = prepare(df, features, target, id_col, 20, folds, seed)
+    task, fm, train, test, k = prepare(df, features, target, id_col, 20, folds, seed, encoder=encoder, scaler=scaler)
     n = train.count()
     everything = add_folds(train.drop("fold").unionByName(test), id_col, folds, seed).cache()
     rows, fitted = [], {}
@@ -448,6 +470,7 @@ def rfe(df: DataFrame, features: Sequence[str], target: str, k: int, task: str |
     features, drop the one with the smallest Σ coef², repeat until k remain.
     Each round is one distributed fit over a cached DataFrame.
     Output ``(feature, ranking, selected)`` (ranking 1 = kept)."""
+    df = df.where(F.col(target).isNotNull())
     task = task or detect_task(df, target).first()["task"]
     fm = Pipeline(stages=feature_stages(df, features, target, task,
                                         scaler="standard" if standardize else None)).fit(df)
@@ -489,8 +512,11 @@ def pca(df: DataFrame, cols: Sequence[str] | str, k: int, id_col: str | None = N
         base = df.select(*([id_col] if id_col else []), vec.alias("__raw"))
         stages = []
     else:
-        base = df.select(*([id_col] if id_col else []), *cols)
-        stages = [VectorAssembler(inputCols=list(cols), outputCol="__raw", handleInvalid="skip")]
+        # missing numbers take their column's mean, so every row is projected
+        base = df.select(*([id_col] if id_col else []), *[F.col(c).cast("double").alias(f"__n{i}") for i, c in enumerate(cols)])
+        full = [f"__f{i}" for i in range(len(cols))]
+        stages = [Imputer(strategy="mean", inputCols=[f"__n{i}" for i in range(len(cols))], outputCols=full),
+                  VectorAssembler(inputCols=full, outputCol="__raw")]
     if scale:
         stages.append(StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True))
     stages.append(PCA(k=k, inputCol="__x" if scale else "__raw", outputCol="__pc"))

@@ -63,11 +63,13 @@ def fill_defaults(df: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def fit_scoring_model(df: DataFrame, features: Sequence[str], target: str, family: str = "random_forest",
-                      task: str | None = None, **params) -> PipelineModel:
+                      task: str | None = None, encoder: str = "index", scaler: str | None = None,
+                      **params) -> PipelineModel:
     """One PipelineModel = feature encoders + model (+ label decoder
     for classification), fitted on all given rows."""
+    df = df.where(F.col(target).isNotNull())
     task = task or detect_task(df, target).first()["task"]
-    stages = feature_stages(df, features, target, task)
+    stages = feature_stages(df, features, target, task, encoder, scaler)
     n = df.count()
     k = 2
     if task == "classification":
