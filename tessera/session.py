@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -51,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session.
 
     Reads ``spark.checkpoint.dir`` (the shared folder a cluster names) and
-    only when it is unset — local mode, tests — creates a fresh folder.
+    only when it is unset in local mode (tests) creates a fresh folder; on a
+    cluster without the setting it raises, since executors do not see the
+    driver's local folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -70,7 +73,4 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     Used for intermediate tables (CSV round trips, saved models, stream
     sinks) so every executor can see them.
     """
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

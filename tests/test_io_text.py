@@ -9,7 +9,7 @@ from tessera.session import scratch_dir
 
 
 def test_csv_type_inference(spark):
-    d = scratch_dir(spark, "csv")
+    d = scratch_dir(spark, "csv").removeprefix("file:")
     os.makedirs(d)
     with open(os.path.join(d, "t.csv"), "w") as f:
         f.write("a,b,c,d,e,f\n1,1.5,NA,true,2024-01-02,\n,2.5,x,False,2024-01-03,\n3,,y,true,2024-01-04,\n")
@@ -21,7 +21,7 @@ def test_csv_type_inference(spark):
 
 
 def test_csv_empty_file_guard(spark):
-    d = scratch_dir(spark, "empty")
+    d = scratch_dir(spark, "empty").removeprefix("file:")
     os.makedirs(d)
     open(os.path.join(d, "e.csv"), "w").close()
     with pytest.raises(Exception):
@@ -59,7 +59,7 @@ def test_chat_context_positions(spark):
 
 
 def test_csv_explicit_schema_and_writers(spark):
-    d = scratch_dir(spark, "csv-schema")
+    d = scratch_dir(spark, "csv-schema").removeprefix("file:")
     os.makedirs(d)
     with open(os.path.join(d, "t.csv"), "w") as f:
         f.write("a,b\n1,x\n2,y\n")
