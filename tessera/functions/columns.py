@@ -51,10 +51,12 @@ def as_double(c: str | Column) -> Column:
 
 
 def try_number(c: str | Column) -> Column:
-    """Text → double, anything unparsable → NULL (never raises under ANSI)."""
+    """Text → double, anything unparsable and ``nan`` → NULL, the one mark of a
+    missing value (never raises under ANSI)."""
     col = F.col(c) if isinstance(c, str) else c
     s = F.trim(col.cast("string"))
-    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+    number = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+    return F.when(~F.isnan(number), number)
 
 
 def null_safe_clip(c: Column, lo: Column | None = None, hi: Column | None = None) -> Column:

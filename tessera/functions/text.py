@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A fenced Python block — three backticks, the word python,
@@ -20,31 +20,22 @@ def extract_code_blocks(df: DataFrame, text_col: str, out: str = "code",
     return res
 
 
-def chat_context(conversations: DataFrame, system_prompt: str | None = None,
+def chat_context(conversations: DataFrame, system_prompt: str | None = None, question: str | None = None,
                  conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """The ordered message list of every conversation in long form:
     ``(conv_id, position, role, text)``, position 0 = system prompt (when
     given), then the turns in order.
 
-    Positions come from the turn number minus the conversation's first
-    turn (one partial/final aggregate joined back), so no conversation is
-    ever gathered into one task or one array — a conversation of any length
-    streams through.  Turns are unique per conversation.
+    ``question`` is appended to every conversation as a new user message.
+    Turns may skip numbers; positions are consecutive.  The window holds one
+    row at a time, so a conversation of any length streams through.
     """
-    first = conversations.groupBy(conv_col).agg(F.min(turn_col).alias("__t0"))
-    msgs = conversations.join(first, conv_col).select(
-        conv_col, (F.col(turn_col) - F.col("__t0") + (1 if system_prompt is not None else 0))
-        .cast("bigint").alias("position"), "role", "text")
-    if system_prompt is None:
-        return msgs
-    sys_rows = first.select(conv_col, F.lit(0).cast("bigint").alias("position"),
-                            F.lit("system").alias("role"), F.lit(system_prompt).alias("text"))
-    return sys_rows.unionByName(msgs)
-
-
-def context_summary(conversations: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Per conversation: message count, characters, last turn, roles seen —
-    a bounded aggregate for sizing prompts."""
-    return conversations.groupBy(conv_col).agg(
-        F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).alias("chars"),
-        F.max("turn").alias("last_turn"), F.count_distinct("role").alias("roles"))
+    shift = 0 if system_prompt is not None else 1
+    place = F.row_number().over(Window.partitionBy(conv_col).orderBy(turn_col, "role", "text"))
+    msgs = conversations.select(conv_col, (place - shift).cast("bigint").alias("position"), "role", "text")
+    sizes = conversations.groupBy(conv_col).agg(F.count(F.lit(1)).alias("__n"))
+    for position, role, text in ((F.lit(0), "system", system_prompt), (F.col("__n") + 1 - shift, "user", question)):
+        if text is not None:
+            msgs = msgs.unionByName(sizes.select(conv_col, position.cast("bigint").alias("position"),
+                                                 F.lit(role).alias("role"), F.lit(text).alias("text")))
+    return msgs

@@ -188,9 +188,6 @@ def scatter_bins(df: DataFrame, x: str, y: str, color: str | None = None,
                     "count")
 
 
-MAX_PAIR_COLUMNS = 12
-
-
 def pair_grid(df: DataFrame, cols: Sequence[str], bins: int = 20) -> DataFrame:
     """For every ordered pair of columns the 2-D bin counts, and on the
     diagonal the 1-D histogram: ``(col_a, col_b, bin_a, bin_b, count)``.
@@ -200,8 +197,6 @@ def pair_grid(df: DataFrame, cols: Sequence[str], bins: int = 20) -> DataFrame:
     p²·bins² rows per task).  Rows with a NULL in a pair skip that pair.
     """
     cols = list(cols)
-    if len(cols) > MAX_PAIR_COLUMNS:
-        raise ValueError(f"pair_grid supports at most {MAX_PAIR_COLUMNS} columns")
     st = df.agg(*[F.min(_x(c)).alias(f"__l{i}") for i, c in enumerate(cols)],
                 *[F.max(_x(c)).alias(f"__h{i}") for i, c in enumerate(cols)])
     binned = df.crossJoin(F.broadcast(st)).select(*[

@@ -3,7 +3,7 @@
 Statistics (means, modes, medians, min/max) are computed by one aggregate
 and joined back as a broadcast one-row DataFrame, so each step stays a lazy
 projection that Catalyst fuses with its neighbours.  Only dictionaries of
-one-hot encoding (bounded by ``max_values``) reach the driver.
+one-hot encoding reach the driver.
 """
 
 from __future__ import annotations
@@ -109,24 +109,18 @@ def to_categorical(df: DataFrame, col: str) -> DataFrame:
     return label_encode(df, [col], suffix="_code")
 
 
-def one_hot(df: DataFrame, cols: Sequence[str] | None = None, max_values: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Replace each text column with one boolean column per sorted value,
     named ``<col>_<value>``; a NULL row is all false.
 
-    The dictionaries must come to the driver (they become columns), so their
-    size is checked first: one HyperLogLog pass per table rejects a column
-    whose estimated distinct count is clearly above ``max_values`` before
-    anything is gathered; then the distinct values of all columns are
-    gathered in one job (stacked ``(column, value)`` pairs, deduplicated by a
-    shuffle) and checked exactly.
+    The values become columns, so the driver holds them like any schema; they
+    are gathered in one job (stacked ``(column, value)`` pairs, deduplicated
+    by a shuffle).  ``label_encode`` has no such table of values and suits
+    columns with very many.
     """
     cols = list(cols) if cols is not None else categorical_columns(df)
     if not cols:
         return df
-    est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(f"e{i}") for i, c in enumerate(cols)]).first()
-    for i, c in enumerate(cols):
-        if est[f"e{i}"] > max_values * 1.2 + 10:
-            raise ValueError(f"column {c!r} has more than {max_values} distinct values")
     pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
                                             for i, c in enumerate(cols)])).alias("r"))
              .select("r.*").where(F.col("v").isNotNull()).distinct().collect())
@@ -136,8 +130,6 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, max_values: int =
     new_cols = []
     for i, c in enumerate(cols):
         vals = sorted(values[i])
-        if len(vals) > max_values:
-            raise ValueError(f"column {c!r} has more than {max_values} distinct values")
         new_cols += [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for v in vals]
     keep = [F.col(c) for c in df.columns if c not in cols]
     return df.select(*keep, *new_cols)

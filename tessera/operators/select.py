@@ -9,6 +9,7 @@ pushdown survives.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,19 +66,42 @@ def to_string(df: DataFrame, col: str, null_text: str | None = None,
     return df.withColumn(out or col, s)
 
 
+def _exact_literal(text: str, dt: T.DataType):
+    """The typed number as a literal of the column's type; None if no value of
+    that type equals it."""
+    try:
+        number = Decimal(text)
+    except InvalidOperation:
+        return None
+    if number.is_nan():
+        return None
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.lit(float(number)).cast(dt)
+    if number.is_infinite():
+        return None
+    if isinstance(dt, T.DecimalType):
+        digits = number.normalize().as_tuple()
+        whole = number == number.to_integral_value()
+        fits = abs(number) < Decimal(10) ** 38 if whole else len(digits.digits) <= 38 and digits.exponent >= -38
+        return F.lit(number) if fits else None
+    bits = {"tinyint": 8, "smallint": 16, "int": 32}.get(dt.simpleString(), 64)
+    if number != number.to_integral_value() or not -(2 ** (bits - 1)) <= number < 2 ** (bits - 1):
+        return None
+    return F.lit(int(number)).cast(dt)
+
+
 def filter_exact(df: DataFrame, col: str, text: str | None) -> DataFrame:
     """keep rows whose value equals the typed text; empty text = no
-    filter.  Numeric columns compare numbers (parsed text), so ``7`` matches
-    7.0 and the predicate reaches the Parquet scan; NULL never matches."""
+    filter.  Numeric columns compare numbers in the column's own type, so
+    ``7`` and ``7.0`` match 7, ``7.5`` matches no integer, and integers of any
+    size match themselves only; the predicate reaches the Parquet scan.  NULL
+    and NaN never match, and text that is no number matches nothing."""
     if text is None or text == "":
         return df
     dt = df.schema[col].dataType
     if is_numeric(dt):
-        try:
-            v = float(text.strip())
-        except ValueError:
-            return df.where(F.lit(False))
-        return df.where(F.col(col) == F.lit(v).cast(dt))
+        literal = _exact_literal(text.strip(), dt)
+        return df.where(F.lit(False) if literal is None else F.col(col) == literal)
     if isinstance(dt, T.BooleanType):
         return df.where(F.col(col) == (text.strip().lower() == "true"))
     if isinstance(dt, T.StringType):

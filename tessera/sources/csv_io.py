@@ -35,7 +35,7 @@ class EmptyTableError(ValueError):
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                fmt: str = "csv", na_tokens: Sequence[str] = DEFAULT_NA_TOKENS,
-               infer: bool = True) -> DataFrame:
+               infer: bool = True, multi_line: bool = False) -> DataFrame:
     """Read a table.
 
     * ``fmt="parquet"`` → ``spark.read.parquet`` (typed already).
@@ -45,10 +45,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
       every value is a number, else ``boolean`` for true/false text, else
       ``string``.  A column with only missing values becomes ``double``.
       Dates stay text.
+
+    A quote inside a quoted field is written twice.  ``multi_line`` accepts
+    line breaks inside quoted fields; such a file cannot be split, so each
+    file is read by one task.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = spark.read.options(header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     raw = reader.option("inferSchema", False).csv(path)
@@ -91,7 +95,8 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write as CSV with a header row (one part file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
