@@ -318,6 +318,27 @@ def q_to_string(spark, sf):
     return r6(P.to_string(d, "c_mktsegment", null_text="nan"))
 
 
+@register("filter_exact_edges", "SELECT p_partkey, p_partkey + 9007199254740000 AS big, p_size FROM part WHERE p_partkey = 93 "
+          "UNION ALL SELECT p_partkey, p_partkey + 9007199254740000, p_size FROM part WHERE p_size = 7")
+def q_filter_exact_edges(spark, sf):
+    """Integers beyond 2^53 match themselves only; decimals, ``nan``, text and
+    numbers out of range match no integer; ``7.0`` matches 7."""
+    from pyspark.sql import functions as F
+    p = S.load(spark, sf, "part").select("p_partkey", (F.col("p_partkey") + 9007199254740000).alias("big"), "p_size")
+    out = P.filter_exact(p, "big", "9007199254740093").unionByName(P.filter_exact(p, "p_size", " 7.0 "))
+    for text in ("7.5", "nan", "inf", "seven", "99999999999999999999"):
+        out = out.unionByName(P.filter_exact(p, "p_size", text))
+    return out
+
+
+@register("to_numeric_nan", with_ctes("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN TRY_CAST(txt AS DOUBLE) END AS txt "
+          "FROM orders_text", "orders_text"))
+def q_to_numeric_nan(spark, sf):
+    from pyspark.sql import functions as F
+    t = S.orders_text(spark, sf)
+    return P.to_numeric(t.withColumn("txt", F.when(F.col("o_orderkey") % 3 == 0, "NaN").otherwise(F.col("txt"))), "txt")
+
+
 @register("filter_exact", "SELECT * FROM part WHERE p_size = 7 UNION ALL SELECT * FROM part WHERE p_brand = 'Brand#13'")
 def q_filter_exact(spark, sf):
     p = S.load(spark, sf, "part")
@@ -724,18 +745,45 @@ def q_read_csv_roundtrip(spark, sf):
     return r6(IO.read_table(spark, path))
 
 
+_NOTE = "concat(' ', c_name, ', \"', c_mktsegment, '\"', chr(10), '\"\"', c_nationkey, chr(92), ' ')"
+
+
+@register("read_csv_quoted", f"SELECT c_custkey, {_NOTE} AS note, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS seg "
+          "FROM customer")
+def q_read_csv_quoted(spark, sf):
+    """Quotes, commas, line breaks, backslashes, outer blanks and holes come
+    back as they were written."""
+    from pyspark.sql import functions as F
+    c = S.load(spark, sf, "customer").select("c_custkey", F.expr(_NOTE).alias("note"), F.expr(
+        "CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment WHEN c_custkey % 3 = 2 THEN c_mktsegment END").alias("seg"))
+    return IO.read_table(spark, IO.write_csv(c, scratch_dir(spark, "csv-quoted")), multi_line=True)
+
+
+# the table's texts hold no code: every reply gets none, one or two blocks
+# (one of them over an empty line), or an unclosed one, by its key
+_FENCED = """CASE (conv_id + turn) % 5
+    WHEN 0 THEN text
+    WHEN 1 THEN concat(text, chr(10), '```python', chr(10), 'x = ', conv_id, chr(10), '```', chr(10), text)
+    WHEN 2 THEN concat('```python', chr(10), 'a = ', turn, chr(10), chr(10), 'b', chr(10), '```', text,
+                       '```python', chr(10), 'second', chr(10), '```')
+    WHEN 3 THEN concat(text, '```python', chr(10), 'never closed')
+    ELSE concat('```sql', chr(10), 'SELECT 1', chr(10), '```') END"""
+
+
 @register("extract_code_blocks", "SELECT conv_id, turn, regexp_extract(text, '(?s)```python\\n(.*?)\\n```', 1) AS code "
-          "FROM conversations WHERE role = 'assistant'")
+          f"FROM (SELECT conv_id, turn, {_FENCED} AS text FROM conversations WHERE role = 'assistant')")
 def q_extract_code_blocks(spark, sf):
     from pyspark.sql import functions as F
-    c = S.load(spark, sf, "conversations").where(F.col("role") == "assistant")
+    c = S.load(spark, sf, "conversations").where(F.col("role") == "assistant").withColumn("text", F.expr(_FENCED))
     return TX.extract_code_blocks(c, "text").select("conv_id", "turn", "code")
 
 
-@register("chat_context", "SELECT conv_id, CAST(turn - min(turn) OVER (PARTITION BY conv_id) AS BIGINT) AS position, "
-          "role, text FROM conversations")
+@register("chat_context", """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS position,
+       role, text FROM conversations
+UNION ALL SELECT DISTINCT conv_id, 0, 'system', 'You write Python.' FROM conversations
+UNION ALL SELECT conv_id, count(*) + 1, 'user', 'Plot it.' FROM conversations GROUP BY conv_id""")
 def q_chat_context(spark, sf):
-    return TX.chat_context(S.load(spark, sf, "conversations"))
+    return TX.chat_context(S.load(spark, sf, "conversations"), "You write Python.", "Plot it.")
 
 
 # --------------------------------------------------------------------------
@@ -751,13 +799,8 @@ MODEL_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_ret
 @register("linear_regression", "SELECT round(regr_slope(p_retailprice, p_partkey), 6) AS slope, "
           "round(regr_intercept(p_retailprice, p_partkey), 6) AS intercept FROM part")
 def q_linear_regression(spark, sf):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
     p = S.load(spark, sf, "part")
-    m = Pipeline(stages=[VectorAssembler(inputCols=["p_partkey"], outputCol="features"),
-                         LinearRegression(featuresCol="features", labelCol="p_retailprice",
-                                          regParam=0.0, solver="normal")]).fit(p).stages[-1]
+    m = SC.fit_scoring_model(p, ["p_partkey"], "p_retailprice", "linear_regression", task="regression").stages[-1]
     return r6(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
                                     "slope double, intercept double"))
 
@@ -785,10 +828,20 @@ def _model_split(spark, sf):
 
 @register("score_batch")
 def q_score_batch(spark, sf):
-    train, test = _model_split(spark, sf)
-    m = SC.fit_scoring_model(train, MODEL_FEATURES, "label", "random_forest", task="classification",
-                             trees=20, depth=5)
-    return SC.score_batch(m, test, keep=["l_orderkey", "l_linenumber", "label"])
+    """Fit on all rows and score all rows, holes filled with the defaults."""
+    rows = S.model_rows(spark, sf)
+    m = SC.fit_scoring_model(rows, MODEL_FEATURES, "label", "random_forest", task="classification", trees=100, depth=5)
+    filled = SC.fill_defaults(rows, SC.default_values(rows, MODEL_FEATURES))
+    return SC.score_batch(m, filled, keep=["l_orderkey", "l_linenumber", "label"])
+
+
+@register("fill_defaults", with_ctes("""SELECT o_orderkey, round(coalesce(o_totalprice,
+       (SELECT avg(o_totalprice) FROM orders_missing)), 6) AS o_totalprice, coalesce(o_orderpriority,
+       (SELECT o_orderpriority FROM orders_missing WHERE o_orderpriority IS NOT NULL GROUP BY 1
+        ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority FROM orders_missing""", "orders_missing"))
+def q_fill_defaults(spark, sf):
+    rows = S.orders_missing(spark, sf).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return r6(SC.fill_defaults(rows, SC.default_values(rows, ["o_totalprice", "o_orderpriority"])))
 
 
 @register("automl")
@@ -819,9 +872,8 @@ def q_compare_models(spark, sf):
 
 @register("feature_importances")
 def q_feature_importances(spark, sf):
-    train, _ = _model_split(spark, sf)
-    m = SC.fit_scoring_model(train, MODEL_FEATURES, "label", "random_forest", task="classification",
-                             trees=20, depth=5)
+    m = SC.fit_scoring_model(S.model_rows(spark, sf), MODEL_FEATURES, "label", "random_forest", task="classification",
+                             trees=100, depth=5)
     return ML.feature_importances(m.stages[-2], MODEL_FEATURES)
 
 
@@ -909,32 +961,28 @@ def q_shap_importance(spark, sf):
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
     from pyspark.sql import functions as F
-    model, _, test = _explain_setup(spark, sf, trees=20)
+    model, _, test = _explain_setup(spark, sf)
     t = test.withColumn("label", F.col("label").cast("string"))
     return EX.permutation_importance(model, t, EXPLAIN_FEATURES, "label", "row_id", "classification", 5)
 
 
 @register("lime_rows")
 def q_lime_rows(spark, sf):
-    """Explains the test rows the forest is least sure about (top-class
-    probability in the lowest 5% of all test rows) — a data-derived choice,
-    all test rows scored."""
+    """Explains the rows that a user names: here the line of the largest
+    extended price among the test rows, as in ``shap_row``."""
     from pyspark.sql import functions as F
-    model, train, test = _explain_setup(spark, sf, trees=20)
-    scored = SC.score_batch(model, test, keep=["row_id"])
-    cut = scored.agg(F.percentile_approx("confidence", 0.05, 10000).alias("__cut"))
-    unsure = scored.crossJoin(F.broadcast(cut)).where(F.col("confidence") <= F.col("__cut")).select("row_id")
-    chosen = test.join(unsure, "row_id", "left_semi")
-    return EX.lime_rows(model, train, chosen, EXPLAIN_FEATURES, "row_id", n=1000, top=5)
+    model, train, test = _explain_setup(spark, sf)
+    chosen = test.orderBy(F.desc("l_extendedprice"), F.asc("row_id")).limit(1)
+    return EX.lime_rows(model, train, chosen, EXPLAIN_FEATURES, "row_id", n=5000, top=5)
 
 
 @register("explanation_report")
 def q_explanation_report(spark, sf):
     from pyspark.sql import functions as F
-    model, _, test = _explain_setup(spark, sf, trees=20)
+    model, _, test = _explain_setup(spark, sf)
     imp = EX.shap_importance(EX.tree_shap(model, test, "row_id", EXPLAIN_FEATURES)[0])
     perm = EX.permutation_importance(model, test.withColumn("label", F.col("label").cast("string")),
-                                     EXPLAIN_FEATURES, "label", "row_id", "classification", 3)
+                                     EXPLAIN_FEATURES, "label", "row_id", "classification", 5)
     return RPT.explanation_report(imp, perm)
 
 
@@ -946,11 +994,11 @@ from tessera.streaming import score_stream as ST  # noqa: E402
 
 @register("score_stream")
 def q_score_stream(spark, sf):
-    """Train on the train split; the test split lands as Parquet files in the
-    shared scratch folder and is scored by a file stream (availableNow)."""
-    model, _, test = _explain_setup(spark, sf, trees=20)
+    """Train on the train split; all rows land as Parquet files in the shared
+    scratch folder and are scored by a file stream (availableNow)."""
+    model, train, test = _explain_setup(spark, sf)
     landing = scratch_dir(spark, "landing")
-    raw = test.select("row_id", *EXPLAIN_FEATURES)
+    raw = train.unionByName(test).select("row_id", *EXPLAIN_FEATURES)
     raw.repartition(4).write.parquet(landing)
     return ST.score_stream(spark, model, landing, raw.schema, keep=["row_id", *EXPLAIN_FEATURES])
 
@@ -976,7 +1024,7 @@ def q_shap_row(spark, sf):
     """Force-plot data of the test row with the largest extended price
     (ties: smallest row id) — SHAP values plus the base value per class."""
     from pyspark.sql import functions as F
-    model, _, test = _explain_setup(spark, sf, trees=20)
+    model, _, test = _explain_setup(spark, sf)
     top = test.orderBy(F.desc("l_extendedprice"), F.asc("row_id")).limit(1)
     shap, base = EX.tree_shap(model, top, "row_id", EXPLAIN_FEATURES)
     row_id = top.select("row_id").first()[0]
