@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns
+from tessera.functions.columns import categorical_columns, numeric_columns
+from tessera.operators.clean import label_encode
 
 
 def hash_bucket(id_col: str | Column, buckets: int, seed: int = 42) -> Column:
@@ -37,15 +38,20 @@ def add_folds(df: DataFrame, id_col: str, folds: int, seed: int = 42, out: str =
 
 
 def anova_f(df: DataFrame, label: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """K1: one-way ANOVA F statistic of each numeric column against a
-    categorical label: ``(position, column, f_value)``.
+    """K1: one-way ANOVA F statistic of each numeric or text column against a
+    categorical label: ``(position, column, f_value)``.  Text columns enter
+    as dictionary codes (NULL: -1).
 
     Shifted one-pass sums: a broadcast row of global means, then one
     ``groupBy(label)`` with n, Σ(x-m), Σ(x-m)² per column, then the F formula
     over the k group rows.
     """
-    cols = list(cols) if cols is not None else numeric_columns(df, exclude=[label])
-    base = df.where(F.col(label).isNotNull())
+    if cols is None:
+        usable = {*numeric_columns(df), *categorical_columns(df)} - {label}
+        cols = [c for c in df.columns if c in usable]
+    cols = list(cols)
+    text = [c for c in cols if c in categorical_columns(df)]
+    base = label_encode(df.where(F.col(label).isNotNull()), text) if text else df.where(F.col(label).isNotNull())
     means = base.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m{i}") for i, c in enumerate(cols)])
     j = base.crossJoin(F.broadcast(means))
     g = j.groupBy(label).agg(

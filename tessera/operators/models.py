@@ -231,7 +231,9 @@ def evaluate(preds: DataFrame, task: str, num_classes: int = 2) -> dict:
     """Test metrics of one model in one or two small jobs."""
     if task == "classification":
         row = preds.agg(F.avg((F.col(LABEL) == F.col("prediction")).cast("double")).alias("a")).first()
-        f1 = MET.weighted_f1(preds, LABEL, "prediction").first()[0]
+        weighted = [F.try_divide(F.sum(F.col("support") * F.col(c)), F.sum("support")).alias(c)
+                    for c in ("precision", "recall", "f1")]
+        by_class = MET.per_class(preds, LABEL, "prediction").agg(*weighted).first()
         auc = reason = None
         try:
             if num_classes == 2:
@@ -246,7 +248,8 @@ def evaluate(preds: DataFrame, task: str, num_classes: int = 2) -> dict:
                 auc = MET.roc_auc_ovo(arr, LABEL, cols).first()[0]
         except Exception as e:  # AUC is optional, as in the original ("N/A"); the row says why
             reason = f"roc_auc: {type(e).__name__}: {str(e)[:200]}"
-        return {"accuracy": row["a"], "weighted_f1": f1, "roc_auc": auc, "error": reason}
+        return {"accuracy": row["a"], "weighted_f1": by_class["f1"], "precision": by_class["precision"],
+                "recall": by_class["recall"], "roc_auc": auc, "error": reason}
     r = preds.agg(F.avg(F.pow(F.col(LABEL) - F.col("prediction"), 2)).alias("mse"),
                   F.count(F.lit(1)).alias("n"), F.var_pop(LABEL).alias("v")).first()
     r2 = None if not r["v"] else 1.0 - r["mse"] / r["v"]
@@ -256,7 +259,8 @@ def evaluate(preds: DataFrame, task: str, num_classes: int = 2) -> dict:
 LEADERBOARD_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("params", T.StringType()),
     T.StructField("cv_score", T.DoubleType()), T.StructField("accuracy", T.DoubleType()),
-    T.StructField("weighted_f1", T.DoubleType()), T.StructField("roc_auc", T.DoubleType()),
+    T.StructField("weighted_f1", T.DoubleType()), T.StructField("precision", T.DoubleType()),
+    T.StructField("recall", T.DoubleType()), T.StructField("roc_auc", T.DoubleType()),
     T.StructField("mse", T.DoubleType()), T.StructField("r2", T.DoubleType()),
     T.StructField("error", T.StringType())])
 
@@ -267,7 +271,8 @@ def _f(v):
 
 def _lb_row(model, params=None, cv=None, metrics=None, error=None) -> tuple:
     m = metrics or {}
-    return (model, params, _f(cv), _f(m.get("accuracy")), _f(m.get("weighted_f1")), _f(m.get("roc_auc")),
+    return (model, params, _f(cv), _f(m.get("accuracy")), _f(m.get("weighted_f1")), _f(m.get("precision")),
+            _f(m.get("recall")), _f(m.get("roc_auc")),
             _f(m.get("mse")), _f(m.get("r2")), error or m.get("error"))
 
 

@@ -643,7 +643,11 @@ def q_train_test_split(spark, sf):
     return K.train_test_split(S.load(spark, sf, "customer"), "c_custkey", 20, 42).select("c_custkey", "split")
 
 
-AN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+# every usable column of the table in its order; the text one as its code
+AN_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+           "l_linestatus"]
+_AN_ROWS = ("(SELECT * REPLACE (dense_rank() OVER (ORDER BY l_linestatus) - 1 AS l_linestatus) FROM lineitem "
+            "WHERE l_returnflag IS NOT NULL) AS li")
 
 
 def _anova_sql() -> str:
@@ -653,21 +657,21 @@ def _anova_sql() -> str:
     parts = [f"SELECT {i} AS position, '{c}' AS \"column\", "
              f"round(((b{i} - ss{i} * ss{i} / N) / (k - 1)) / ((qq{i} - b{i}) / (N - k)), 6) AS f_value FROM t"
              for i, c in enumerate(AN_COLS)]
-    return (f"WITH m AS (SELECT {m} FROM lineitem WHERE l_returnflag IS NOT NULL),\n"
-            f"g AS (SELECT l_returnflag, count(*) AS n, {g} FROM lineitem, m WHERE l_returnflag IS NOT NULL GROUP BY 1),\n"
+    return (f"WITH m AS (SELECT {m} FROM {_AN_ROWS}),\n"
+            f"g AS (SELECT l_returnflag, count(*) AS n, {g} FROM {_AN_ROWS}, m GROUP BY 1),\n"
             f"t AS (SELECT sum(n) AS N, count(*) AS k, {t} FROM g)\n" + _union(parts))
 
 
 @register("anova_f", _anova_sql())
 def q_anova_f(spark, sf):
-    return r6(K.anova_f(S.load(spark, sf, "lineitem"), "l_returnflag", AN_COLS))
+    return r6(K.anova_f(S.load(spark, sf, "lineitem"), "l_returnflag"))
 
 
 @register("select_k_best", "WITH f AS (" + _anova_sql() + """)
 SELECT CAST(row_number() OVER (ORDER BY f_value DESC NULLS LAST, position) AS INTEGER) AS rank, "column", f_value
-FROM f ORDER BY f_value DESC NULLS LAST, position LIMIT 2""")
+FROM f ORDER BY f_value DESC NULLS LAST, position LIMIT 4""")
 def q_select_k_best(spark, sf):
-    return r6(K.select_k_best(S.load(spark, sf, "lineitem"), "l_returnflag", 2, AN_COLS))
+    return r6(K.select_k_best(S.load(spark, sf, "lineitem"), "l_returnflag", 4))
 
 
 MI_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
