@@ -5,7 +5,8 @@ text is cut.  Cuts depend on the last bytes only, so a passage is cut alike
 wherever it stands and an insertion moves the cuts near it alone.  Chunks
 are compared by a 128-bit digest over all documents; runs of neighbouring
 chunks that also occur elsewhere are repeats, and all but the first
-occurrence of each chunk in them is to be removed.
+occurrence of each chunk in them is to be removed.  ``whole_repeats`` grows
+such runs byte by byte as far as they agree with the occurrence kept.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tessera.llm.common import keyed, row_key, utf8
+from tessera.session import ensure_checkpoint_dir
 
 #: Bytes that the hash looks back on, and bytes in work at a time.
 REACH, BLOCK = 32, 1 << 21
@@ -73,13 +77,15 @@ def _chunked(least: int, most: int, bits: int):
         raw = [r for _, r in rows]
         who, offs, sizes, digests = [], [], [], []
         for (k, data), cand in zip(rows, cut_candidates(raw, bits)):
-            a = 0
+            a = before = 0
             for b in chunk_ends(len(data), cand.tolist(), least, most):
                 who.append(k)
                 offs.append(a)
                 sizes.append(b - a)
-                digests.append(hashlib.blake2b(data[a:b], digest_size=16).digest())
-                a = b
+                # a short last chunk is alike only after an equal chunk
+                seen = data[a:b] if b - a >= least else data[before:b]
+                digests.append(hashlib.blake2b(seen, digest_size=16, person=b"" if b - a >= least else b"last").digest())
+                a, before = b, a
         who = pa.array(who, pa.int64())
         return pa.RecordBatch.from_arrays(
             [ids.take(who), occs.take(who), pa.array(offs, pa.int64()), pa.array(sizes, pa.int32()),
@@ -142,3 +148,108 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("s.id").alias(id_col), "n_bytes", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("spans", F.array().cast("array<struct<off:bigint,len:bigint>>")).alias("spans"))
+
+
+@F.pandas_udf(LongType())
+def _alike(a: pd.Series, b: pd.Series, side: pd.Series) -> pd.Series:
+    """Bytes that agree, from the start on (side 1) or from the end (-1)."""
+    def one(x, y, way):
+        n = min(len(x), len(y))
+        x, y = (x[:n], y[:n]) if way > 0 else (x[len(x) - n:][::-1], y[len(y) - n:][::-1])
+        if x == y:
+            return n
+        return int(np.argmax(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)))
+    return pd.Series([one(x, y, w) for x, y, w in zip(a, b, side)], dtype="int64")
+
+
+def _grown(texts: DataFrame, edges: DataFrame, reach: int = 512) -> DataFrame:
+    """``edges(doc, off, side, kept, at, kept_at)`` with ``n``, the bytes that
+    ``texts(doc, data)`` have alike beyond the places at and kept_at.  Edges
+    that agree over the whole reach go on in a further round with twice of it."""
+    left, done = edges.withColumn("n", F.lit(0).cast("long")), None
+    while True:
+        places = left.select("doc", "at", "side").unionByName(
+            left.select(F.col("kept.doc").alias("doc"), F.col("kept_at").alias("at"), "side")).distinct() \
+            .groupBy("doc").agg(F.collect_list(F.struct("at", "side")).alias("places"))
+
+        def beside(p):
+            a = F.when(p["side"] > 0, p["at"]).otherwise(F.greatest(p["at"] - reach, F.lit(0)))
+            n = F.when(p["side"] > 0, F.lit(reach)).otherwise(F.least(p["at"], F.lit(reach)))
+            return F.struct(p["at"].alias("at"), p["side"].alias("side"),
+                            F.substring(F.col("data"), (a + 1).cast("int"), n.cast("int")).alias("bytes"))
+        sides = texts.join(places, "doc").select("doc", F.inline(F.transform("places", beside)))
+        theirs = sides.select(F.col("doc").alias("k_doc"), F.col("at").alias("k_at"), F.col("side").alias("k_side"),
+                              F.col("bytes").alias("k_bytes"))
+        tried = left.join(sides, ["doc", "at", "side"]).join(
+            theirs, F.expr("kept.doc = k_doc and kept_at = k_at and side = k_side")) \
+            .withColumn("more", _alike("bytes", "k_bytes", "side")) \
+            .select("doc", "off", "side", "kept", "at", "kept_at", (F.col("n") + F.col("more")).alias("n"), "more").checkpoint()
+        ended = tried.where(F.col("more") < reach).select("doc", "off", "side", "kept", "n")
+        done = ended if done is None else done.unionByName(ended)
+        step = F.col("side") * reach
+        left = tried.where(F.col("more") == reach).select(
+            "doc", "off", "side", "kept", (F.col("at") + step).alias("at"), (F.col("kept_at") + step).alias("kept_at"), "n")
+        if left.isEmpty():
+            return done
+        reach *= 2
+
+
+def whole_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  least: int = 32, most: int = 512, bits: int = 5, run_bytes: int = 128) -> DataFrame:
+    """The columns of ``repeats``, with runs as long as the bytes agree.
+
+    All chunks are compared, the short last one too (with the chunk before
+    it).  Either end of a run is extended byte by byte as far as it agrees
+    with the first occurrence of its outer chunk, which is extended alike.
+    A run counts from ``run_bytes`` bytes on with its extensions, or if it
+    is the whole text.  A repeat that holds no whole chunk is not found.
+    Null text, repeated ids and empty tables are as in ``repeats``.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    key = F.struct(F.col("id").isNotNull().alias("named"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), "occ")
+    rows = row_key(keyed(docs, id=id_col, text=text_col)).withColumn("doc", key)
+    pieces = chunk(rows, least, most, bits).select(key.alias("doc"), "off", "len", "digest")
+    place = F.struct("doc", "off")
+    again = pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1")
+    found = pieces.join(again, "digest").select(
+        "doc", "off", (F.col("off") + F.col("len")).alias("end"), "kept", (F.col("kept") == place).alias("first")).checkpoint()
+    doc = Window.partitionBy("doc").orderBy("off")
+    beside = found.withColumn("before", F.coalesce(F.lag("end").over(doc), F.lit(0))) \
+        .withColumn("after", F.lead("off").over(doc))
+    kept_off = F.col("kept.off")
+    sides = F.array(
+        F.when((F.col("before") < F.col("off")) & (kept_off > 0),
+               F.struct(F.lit(-1).alias("side"), F.col("off").alias("at"), kept_off.alias("kept_at"))),
+        F.when(F.coalesce(F.col("after") > F.col("end"), F.lit(True)),
+               F.struct(F.lit(1).alias("side"), F.col("end").alias("at"), (kept_off + F.col("end") - F.col("off")).alias("kept_at"))))
+    edges = beside.where(~F.col("first")).select("doc", "off", "kept", F.inline(F.filter(sides, lambda x: x.isNotNull())))
+    grown = _grown(rows.select("doc", F.col("text").cast("binary").alias("data")), edges).where("n > 0")
+    grown = grown.select("doc", "off", "side", "n").unionByName(grown.select("kept.doc", "kept.off", "side", "n")) \
+        .groupBy("doc", "off").agg(F.max(F.when(F.col("side") < 0, F.col("n"))).alias("l"),
+                                   F.max(F.when(F.col("side") > 0, F.col("n"))).alias("r"))
+    # extensions that meet in a gap: those to be removed go first, then the left run's
+    ends = beside.join(grown, ["doc", "off"], "left") \
+        .withColumn("l", F.least(F.coalesce("l", F.lit(0)), F.col("off") - F.col("before"))) \
+        .withColumn("r", F.least(F.coalesce("r", F.lit(0)), F.coalesce(F.col("after") - F.col("end"), F.coalesce("r", F.lit(0))))) \
+        .withColumn("l_room", F.col("off") - F.col("before") - F.when(~F.col("first") & F.lag("first").over(doc), 0)
+                    .otherwise(F.coalesce(F.lag("r").over(doc), F.lit(0)))) \
+        .withColumn("r_room", F.col("after") - F.col("end") - F.when(F.col("first") & ~F.lead("first").over(doc), F.lead("l").over(doc))
+                    .otherwise(0)) \
+        .select("doc", "first", (F.col("off") - F.least("l", "l_room")).alias("off"),
+                (F.col("end") + F.least("r", F.coalesce("r_room", "r"))).alias("end"))
+    apart = F.coalesce(F.lag("end").over(doc) != F.col("off"), F.lit(True))
+    change = apart | F.coalesce(F.lag("first").over(doc) != F.col("first"), F.lit(True))
+    parts = ends.withColumn("a", apart.cast("int")).withColumn("b", change.cast("int")) \
+        .withColumn("run", F.sum("a").over(doc)).withColumn("part", F.sum("b").over(doc)) \
+        .groupBy("doc", "run", "part") \
+        .agg(F.min("off").alias("off"), F.sum(F.col("end") - F.col("off")).alias("len"), F.first("first").alias("first")) \
+        .withColumn("whole", F.sum("len").over(Window.partitionBy("doc", "run"))) \
+        .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("off", "len", "first", "whole"))).alias("parts"))
+    sizes = rows.select("id", "doc", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["len"])
+    none = F.array().cast("array<struct<off:bigint,len:bigint,first:boolean,whole:bigint>>")
+    return sizes.join(parts, "doc", "left") \
+        .withColumn("parts", F.filter(F.coalesce("parts", none), lambda x: (x["whole"] >= run_bytes) | (x["whole"] == F.col("n_bytes")))) \
+        .withColumn("gone", F.filter("parts", lambda x: ~x["first"])) \
+        .select(F.col("id").alias(id_col), "n_bytes", total("parts").alias("n_repeated"), total("gone").alias("n_removed"),
+                F.transform("gone", lambda x: F.struct(x["off"].alias("off"), x["len"].alias("len"))).alias("spans"))

@@ -29,7 +29,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeats(read(spark, sf_dir, "documents"))
+    return chunks.whole_repeats(read(spark, sf_dir, "documents"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,67 @@ def test_shared_passage_is_caught_and_edges(spark):
     res = sorted((r["doc_id"] or 0, r["n_repeated"] > 200, r["n_removed"] > 200) for r in chunks.repeats(twice).collect())
     assert res == [(0, True, False), (1, True, True), (1, True, True)]
     assert chunks.repeats(df.limit(0)).count() == 0
+
+
+def sound(texts, out):
+    """Every removed byte stands in 16 bytes that an earlier place has too."""
+    seen, before = set(), b""
+    for d in sorted(texts):
+        data, (n, repeated, removed, spans) = (texts[d] or "").encode(), out[d]
+        assert n == len(data) and removed == sum(k for _, k in spans) and removed <= repeated <= n
+        for i in (i for a, k in spans for i in range(a, a + k)):
+            near = [(max(i - 15, 0), data[max(i - 15, 0):i + 1]), (i, data[i:i + 16])]
+            assert any(p in seen or data.find(p) < s or (len(p) < 16 and p in before) for s, p in near)
+        seen |= {data[i:i + 16] for i in range(len(data) - 15)}
+        before += b"\0" + data
+
+
+def test_whole_repeats_of_short_texts_last_chunks_and_passages(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    texts = {i: text(rng.randint(1, 120)) for i in range(60)}
+    copies = {100 + i: texts[i] for i in range(60)}
+    passages = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(51)) for _ in range(60)]
+    shared = {}
+    for i, p in enumerate(passages):
+        assert len(p) == 305
+        shared[200 + 2 * i] = text(rng.randint(5, 40)) + " " + p + " Z" + text(rng.randint(5, 40))
+        shared[201 + 2 * i] = text(rng.randint(5, 40)) + "X" + p + "Y" + text(rng.randint(5, 40))
+    long = "q" + text(400)
+    odd = {500: None, 501: "", 502: "k", 503: "k", 504: "x" * 3000, 505: long, 506: "other " + long, 507: long + " end"}
+    texts |= copies | shared | odd
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = got(chunks.whole_repeats(df))
+    assert set(out) == set(texts)
+    for i in range(60):  # copies are repeats to their last byte
+        n = len(texts[i])
+        assert out[i][1] == n and out[100 + i] == (n, n, n, [(0, n)])
+    whole = sum(out[201 + 2 * i][2] >= 305 and out[200 + 2 * i][1] >= 305 for i in range(60))
+    assert whole >= 57  # a few passages hold no chunk that is cut alike in both
+    assert not any(out[200 + 2 * i][2] for i in range(60))
+    assert out[500][1:] == out[501][1:] == (0, 0, []) and out[502] == (1, 1, 0, []) and out[503] == (1, 1, 1, [(0, 1)])
+    assert out[505][1] == len(long) and out[506][2] >= len(long) and out[507][2] == len(long)
+    sound(texts, out)
+    plain = got(chunks.repeats(df))
+    assert not any(plain[201 + 2 * i][2] >= 305 for i in range(60))
+    assert all(out[d][1] >= plain[d][1] and out[d][2] >= plain[d][2] for d in texts)
+    assert chunks.whole_repeats(df.limit(0)).count() == 0
+
+
+def test_whole_repeats_of_documents(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out, seen = got(chunks.whole_repeats(docs)), set()
+    for d in sorted(texts):
+        n = out[d][0]
+        assert out[d][2] == n if texts[d] in seen and n else True
+        seen.add(texts[d])
+    sound(texts, out)
+
+
+def test_query_removes_short_copies(spark, tmp_path):
+    from tessera.llm.queries import op5_chunk_dedup
+    spark.createDataFrame([(1, "a short text"), (2, "a short text"), (None, "a short text")], "doc_id long, text string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in op5_chunk_dedup(spark, str(tmp_path)).collect()) == [(0, 0), (1, 12), (2, 12)]
