@@ -851,27 +851,25 @@ def q_fill_defaults(spark, sf):
 @register("automl")
 def q_automl(spark, sf):
     d = S.model_rows(spark, sf)
-    return ML.automl(d, MODEL_FEATURES, "label", "l_orderkey", grid="small", parallelism=8).leaderboard
+    return ML.automl(d, MODEL_FEATURES, "label", "l_orderkey", grid="full", parallelism=8).leaderboard
 
 
 @register("automl_regression")
 def q_automl_regression(spark, sf):
     d = S.reg_rows(spark, sf)
     return ML.automl(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "y", "l_orderkey",
-                     grid="small", parallelism=8).leaderboard
+                     grid="full", parallelism=8).leaderboard
 
 
 @register("compare_models")
 def q_compare_models(spark, sf):
     d = S.model_rows(spark, sf)
-    params = {"random_forest": {"trees": 20, "depth": 5}, "gradient_boosting": {"trees": 10, "depth": 3},
-              "boosted_trees": {"trees": 10, "depth": 5}}
     # linear_regression on a class target is reported as an error row, as the
     # original allowed that pairing
     return ML.compare_models(d, MODEL_FEATURES, "label", "l_orderkey",
                              ["logistic_regression", "random_forest", "decision_tree", "svm",
                               "gradient_boosting", "boosted_trees", "linear_regression"],
-                             folds=3, params=params).leaderboard
+                             params={"boosted_trees": {"depth": 5}}).leaderboard
 
 
 @register("feature_importances")
@@ -883,8 +881,8 @@ def q_feature_importances(spark, sf):
 
 @register("rfe")
 def q_rfe(spark, sf):
-    return ML.rfe(S.model_rows(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "label", 2,
-                  task="classification")
+    rows = S.model_rows(spark, sf)
+    return ML.rfe(rows, [c for c in rows.columns if c not in ("l_orderkey", "label")], "label", 2, task="classification")
 
 
 @register("pca")

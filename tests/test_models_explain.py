@@ -153,3 +153,29 @@ def test_feature_pipeline_scaler_and_one_hot(spark, planted):
     m = np.vstack(arr.v.to_numpy())
     assert m.shape[1] == 2 + 4  # two numbers + three categories and the 'unseen' slot
     assert np.allclose(m[:, :2].mean(0), 0, atol=1e-9) and np.allclose(m[:, :2].std(0, ddof=1), 1, atol=1e-9)
+
+
+def test_registered_queries_run_whole_jobs(spark, monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+    from conftest import SF_SMALL
+    from tessera.plans import workloads as W
+    ran = {}
+
+    def held(name):
+        spec = inspect.signature(getattr(ML, name))
+
+        def run(*a, **b):
+            given = spec.bind(*a, **b)
+            given.apply_defaults()
+            ran.setdefault(name, []).append(given.arguments)
+            return SimpleNamespace(leaderboard=None)
+        return run
+    for name in ("automl", "compare_models", "rfe"):
+        monkeypatch.setattr(W.ML, name, held(name))
+    for query in ("automl", "automl_regression", "compare_models", "rfe"):
+        W.QUERIES[query](spark, SF_SMALL)
+    assert [g["grid"] for g in ran["automl"]] == ["full", "full"]
+    assert ran["compare_models"][0]["folds"] == 5
+    assert not any("trees" in p for p in ran["compare_models"][0]["params"].values())
+    assert {"l_linenumber", "l_returnflag", "l_linestatus"} <= set(ran["rfe"][0]["features"])
