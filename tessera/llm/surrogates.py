@@ -6,7 +6,12 @@ type, script, gender and format.  A surrogate depends on the key and on the
 entity's canonical form alone, so all mentions of one entity, however
 written, get the same one (coreference).  Surrogates are checked over the
 whole corpus: none is shared by two entities or equal to a real one; those
-that clash are drawn again, until none does.
+that clash are drawn again, until none does.  Further bare mentions of a
+surname found in a document are replaced in it too.
+
+Not detected: names without a title or a given name of the list, or whose
+given name is in capitals; initials are kept; phone numbers without a + or 00
+that are not of ten digits; postal addresses, dates of birth, IPv6 addresses.
 """
 
 from __future__ import annotations
@@ -29,16 +34,26 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Sr Sra"
 SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo ra re ro sa se so ta te to va ve vo".split(),
              "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо ра ре ро са се со та те то ва ве во".split()}
 
+PARTICLES = "van von der den de da di del dos du la le bin al"
+
 _NAMES = "|".join(" ".join(GIVEN.values()).split())
+_MAIL = r"\p{L}\p{M}\p{N}_.%+-"
+_GIVEN = rf"(?:{_NAMES})(?:-(?:{_NAMES}))?"
+#: A surname, with hyphens and apostrophes but without a genitive 's, and
+#: what may stand before it.
+_SURNAME = r"\p{Lu}(?:\p{L}|['’-]\p{L}{2})\p{L}*+(?:['’-]\p{L}{2,}+)*+"
+_LINKS = rf"(?:(?:\p{{Lu}}\.|{PARTICLES.replace(' ', '|')}) ){{0,4}}"
 #: Types in the order in which they are tried, and their patterns.
 PATTERNS = (
-    ("email", r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
+    ("email", rf"(?<![{_MAIL}])[{_MAIL}]++(?:'[{_MAIL}]++)*+@(?:[\p{{L}}\p{{M}}\p{{N}}-]+\.)+[\p{{L}}\p{{M}}]{{2,}}"),
     ("secret", r"(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,}(?!\w)"),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
+    ("phone", r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+              r"|(?:\+|00(?=[1-9]))\d(?:[ ()./-]{0,2}\d){7,14})(?!\w)"),
     ("card", r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"),
-    ("name", rf"(?<!\p{{L}})(?:(?:{TITLES.replace(' ', '|')})\.? (?:(?:{_NAMES}) )?\p{{Lu}}\p{{L}}+"
-             rf"|(?:{_NAMES}) \p{{Lu}}\p{{L}}+)(?!\p{{L}})"),
+    ("phone", r"(?<![\w.+-])[2-9]\d{9}(?!\w|[.-]\d)"),
+    ("name", rf"(?<!\p{{L}})(?:(?:{TITLES.replace(' ', '|')})\.? (?:{_GIVEN} )?{_LINKS}{_SURNAME}(?: {_LINKS}{_SURNAME}){{0,2}}"
+             rf"|{_GIVEN} {_LINKS}{_SURNAME}(?: {_LINKS}{_SURNAME}){{0,2}})(?!\p{{L}})"),
 )
 ANY = "|".join(p for _, p in PATTERNS)
 #: What every entity holds at least; much cheaper to look for.
@@ -195,7 +210,8 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = mention.select("id", "occ", "mention", F.col("kind").alias("whole"), F.posexplode(
         F.when(F.col("kind") == "name", F.split("mention", " ")).otherwise(F.array("mention"))).alias("at", "raw"))
     titles = F.regexp_replace("raw", r"\.\z", "").isin(*TITLES.split())
-    kept = (F.col("whole") == "name") & (titles | F.col("raw").isin(*_NAMES.split("|")))
+    links = F.col("raw").isin(*PARTICLES.split()) | F.col("raw").rlike(r"\A\p{Lu}\.\z")
+    kept = (F.col("whole") == "name") & (titles | links | F.col("raw").isin(*_NAMES.split("|")))
     units = units.withColumn("kind", F.when(kept, F.lit(None)).when(F.col("whole") == "name", F.lit("surname"))
                              .otherwise(F.col("whole"))) \
         .withColumn("canon", canonical(F.col("kind"), F.col("raw")))
@@ -203,22 +219,32 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = _drawn(entities, secret)
     named = units.where("kind is not null").join(drawn, ["kind", "canon"]) \
         .withColumn("new", in_format(F.col("kind"), F.col("raw"), F.col("new"))) \
-        .select("id", "occ", "mention", "whole", "at", "new")
+        .select("id", "occ", "mention", "whole", "at", "new", F.when(F.col("kind") == "surname", F.struct(
+            (-F.length("raw")).alias("n"), "raw", "new")).alias("surname"))
     plain = units.where("kind is null").select("id", "occ", "mention", "whole", "at",
-                                               F.coalesce(_given(F.col("raw"), secret), F.col("raw")).alias("new"))
+                                               F.coalesce(_given(F.col("raw"), secret), F.col("raw")).alias("new"),
+                                               F.lit(None).alias("surname"))
     replaced = named.unionByName(plain).groupBy("id", "occ", "mention", "whole").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda u: u["new"]), " ").alias("new"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda u: u["new"]), " ").alias("new"),
+        F.collect_set("surname").alias("surnames"))
     maps = replaced.groupBy("id", "occ").agg(
         F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("map"),
-        F.array_sort(F.collect_set("whole")).alias("kinds"))
+        F.array_sort(F.collect_set("whole")).alias("kinds"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("surnames")))).alias("surnames"))
     back = [F.col(f"rest.`{c}`").alias(c) for c in carry]
     parts = F.split("text", ANY, -1)
     n = F.size("mentions")
+    # longer surnames first; no surrogate is a real surname, so none is met again
+    bare = lambda s: F.concat(F.lit(r"(?<!\p{L})\Q"), s["raw"], F.lit(r"\E(?!\p{L})"))
+    renamed = F.transform("parts", lambda p: F.aggregate("surnames", F.struct(p.alias("text"), F.lit(0).alias("n")), lambda a, s: F.struct(
+        F.regexp_replace(a["text"], bare(s), s["new"]).alias("text"), (a["n"] + F.regexp_count(a["text"], bare(s))).alias("n"))))
+    plain_parts = F.transform("parts", lambda p: F.struct(p.alias("text"), F.lit(0).alias("n")))
     whole = F.concat(F.array_join(F.zip_with(F.slice(F.col("parts"), F.lit(1), n), "mentions",
-                                             lambda p, m: F.concat(p, F.col("map")[m])), ""), F.element_at("parts", -1))
+                                             lambda p, m: F.concat(p["text"], F.col("map")[m])), ""), F.element_at("parts", -1)["text"])
     changed = held.alias("h").join(maps.alias("m"), F.expr("h.id <=> m.id and h.occ = m.occ")) \
-        .withColumn("parts", parts) \
-        .select(F.col("h.id").alias(id_col), whole.alias(text_col), n.alias("n_entities"), "kinds", *back)
+        .withColumn("parts", parts).withColumn("parts", F.when(F.size("surnames") > 0, renamed).otherwise(plain_parts)) \
+        .select(F.col("h.id").alias(id_col), whole.alias(text_col),
+                (n + F.aggregate("parts", F.lit(0), lambda k, p: k + p["n"])).alias("n_entities"), "kinds", *back)
     same = found.where((F.size("mentions") == 0) | F.col("text").isNull()) \
         .select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.lit(0).alias("n_entities"),
                 F.array().cast("array<string>").alias("kinds"), *back)

@@ -85,3 +85,21 @@ def test_repeated_ids_long_texts_and_empty(spark):
     new = {r["text"] for r in out if r["n_entities"] and r["doc_id"]}
     assert len(out) == 5 and len(new) == 1 and {r["text"] for r in out if r["doc_id"] is None} == {None, "x " * 50_000 + new.pop()}
     assert surrogates.replace_pii(df.limit(0)).count() == 0
+
+
+def test_wide_forms_and_bare_surnames(spark):
+    texts = ["call +44 20 7946 0958 or 0049 30 1234567.", "call 5551234567 or 555-123-4567", "m\u00fcller@x.org, o'neil@y.org, \u0438\u0432\u0430\u043d@\u043f\u043e\u0447\u0442\u0430.\u0440\u0444",
+             "Mary Smith-Jones met John O'Brien.", "John Michael Smith came. Later Smith left; Smith's hat, Smithers too.",
+             "Mary Ann Hopkins and Ludwig; Mr John van der Berg", "\u0418\u0432\u0430\u043d \u041f\u0435\u0442\u0440\u043e\u0432\u0438\u0447 \u0421\u0438\u0434\u043e\u0440\u043e\u0432", "in 1700000000 seconds, 3.1415926535 of 12345 678"]
+    out = {i: r["text"] for i, r in replaced(spark, texts).items()}
+    n = {i: r["n_entities"] for i, r in replaced(spark, texts).items()}
+    a, b = re.fullmatch(r"call (\+44 \d\d \d{4} \d{4}) or (00\d\d \d\d \d{7})\.", out[0]).groups()
+    assert a != "+44 20 7946 0958" and b != "0049 30 1234567" and n[0] == 2
+    c, d = re.fullmatch(r"call (\d{10}) or (\d{3}-\d{3}-\d{4})", out[1]).groups()
+    assert c == d.replace("-", "") != "5551234567"
+    assert n[2] == 3 and not re.search("m\u00fc|o'n|neil|\u0438\u0432\u0430", out[2])
+    assert not re.search("Smith|Jones|Brien|O'", out[3]) and n[3] == 2
+    given, middle, sur, again, own = re.fullmatch(r"(\w+) (\w+) (\w+) came\. Later (\w+) left; (\w+)'s hat, Smithers too\.", out[4]).groups()
+    assert sur == again == own != "Smith" and given != "John" and middle != "Michael" and n[4] == 3
+    assert not re.search("Ann|Hopkins|Berg", out[5]) and " van der " in out[5] and "and Ludwig;" in out[5]
+    assert not re.search("\u041f\u0435\u0442\u0440\u043e\u0432|\u0421\u0438\u0434\u043e\u0440", out[6]) and out[7] == texts[7]
