@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, chunks, crosspoly, decontam, licenses, periods, pieces, ppm, simhash, suffixes, surrogates
+from tessera.llm import chat, chunks, crosspoly, decontam, licenses, nearest, periods, pieces, ppm, simhash, suffixes, surrogates
 from tessera.llm.common import read
 
 
@@ -59,6 +59,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op12_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text"))
     return periods.digests(periods.periodic_runs(docs))
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_pieces": op9_pieces,
     "op10_license_scan": op10_license_scan,
+    "op12_adaptive_scan": op12_adaptive_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
