@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, chunks, crosspoly, decontam, licenses, nearest, periods, pieces, ppm, simhash, suffixes, surrogates
+from tessera.llm import chat, chunks, crosspoly, decontam, licenses, nearest, periods, pieces, ppm, simhash, suffixes, surrogates, trie
 from tessera.llm.common import read
 
 
@@ -59,6 +59,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt_turns(trie.ordered_turns(read(spark, sf_dir, "conversations"))))
+
+
 def op12_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read(spark, sf_dir, "embeddings"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_pieces": op9_pieces,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_adaptive_scan": op12_adaptive_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
