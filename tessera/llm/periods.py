@@ -265,11 +265,17 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def planted(doc_id: Column, text: Column) -> Column:
     """The contract's texts: in documents whose crc32 of the decimal id ends
     in 0, the words from place a on repeat those of one period p."""
-    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words)
-    a = F.pmod(g, F.greatest(n, F.lit(1)))
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    tail = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.get(words, (a + F.pmod(i, p)).cast("int")))
-    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), changed).otherwise(text)
+    g = F.floor(h / 10)
+
+    def changed(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+
+    # the words of a text are taken once, by binding them to the lambda
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    there = text.rlike(r"[^\x20\x09-\x0D]")
+    return F.when((F.pmod(h, F.lit(10)) == 0) & there, F.transform(F.array(words), changed)[0]).otherwise(text)
