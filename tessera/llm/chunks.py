@@ -4,9 +4,8 @@ A gear hash rolls over the bytes of a text; where its top bits are zero the
 text is cut.  Cuts depend on the last bytes only, so a passage is cut alike
 wherever it stands and an insertion moves the cuts near it alone.  Chunks
 are compared by a 128-bit digest over all documents; runs of neighbouring
-chunks that also occur elsewhere are repeats, and all but the first
-occurrence of each chunk in them is to be removed.  ``whole_repeats`` grows
-such runs byte by byte as far as they agree with the occurrence kept.
+chunks that also occur elsewhere are repeats, grown byte by byte as far as
+they agree with the first occurrence; all but that one is to be removed.
 """
 
 from __future__ import annotations
@@ -113,43 +112,6 @@ def chunk(docs: DataFrame, least: int = 32, most: int = 512, bits: int = 5) -> D
         _chunked(least, most, bits), "id long, occ int, off long, len int, digest binary")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            least: int = 32, most: int = 512, bits: int = 5, run_bytes: int = 128) -> DataFrame:
-    """(id, n_bytes, n_repeated, n_removed, spans) of every document.
-
-    ``n_repeated`` bytes lie in runs of at least ``run_bytes`` of neighbouring
-    chunks (each of ``least`` bytes or more) that occur more than once, in
-    other documents or in the same.  ``spans`` (off, len) are the parts of
-    such runs that are not the first occurrence by (id, place), together
-    ``n_removed`` bytes.  Null text: 0 bytes and no spans.  Rows that repeat
-    an id are documents of their own.  An empty table gives no row.
-    """
-    rows = row_key(keyed(docs, id=id_col, text=text_col))
-    pieces = chunk(rows, least, most, bits).where(F.col("len") >= least)
-    place = F.struct(F.coalesce("id", F.lit(-1 << 63)).alias("id"), "occ", "off")
-    again = pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1")
-    found = pieces.join(again, "digest").select("id", "occ", "off", "len", (F.col("kept") == place).alias("first"))
-    doc = Window.partitionBy("id", "occ").orderBy("off")
-    apart = F.lag(F.col("off") + F.col("len")).over(doc) != F.col("off")
-    change = apart | (F.lag("first").over(doc) != F.col("first"))
-    new = F.coalesce(apart, F.lit(True)).cast("int"), F.coalesce(change, F.lit(True)).cast("int")
-    runs = found.withColumn("a", new[0]).withColumn("b", new[1]) \
-        .withColumn("run", F.sum("a").over(doc)).withColumn("part", F.sum("b").over(doc)) \
-        .groupBy("id", "occ", "run", "part") \
-        .agg(F.min("off").alias("off"), F.sum("len").alias("len"), F.first("first").alias("first")) \
-        .withColumn("whole", F.sum("len").over(Window.partitionBy("id", "occ", "run"))) \
-        .where(F.col("whole") >= run_bytes)
-    per_doc = runs.groupBy("id", "occ").agg(
-        F.sum("len").alias("n_repeated"),
-        F.sum(F.when(F.col("first"), 0).otherwise(F.col("len"))).alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(~F.col("first"), F.struct("off", "len")))).alias("spans"))
-    sizes = rows.select("id", "occ", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return sizes.alias("s").join(per_doc.alias("p"), F.expr("s.id <=> p.id and s.occ = p.occ"), "left").select(
-        F.col("s.id").alias(id_col), "n_bytes", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("spans", F.array().cast("array<struct<off:bigint,len:bigint>>")).alias("spans"))
-
-
 @F.pandas_udf(LongType())
 def _alike(a: pd.Series, b: pd.Series, side: pd.Series) -> pd.Series:
     """Bytes that agree, from the start on (side 1) or from the end (-1)."""
@@ -196,39 +158,55 @@ def _grown(texts: DataFrame, edges: DataFrame, reach: int = 512) -> DataFrame:
 
 def whole_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   least: int = 32, most: int = 512, bits: int = 5, run_bytes: int = 128) -> DataFrame:
-    """The columns of ``repeats``, with runs as long as the bytes agree.
+    """(id, n_bytes, n_repeated, n_removed, spans) of every document.
 
     All chunks are compared, the short last one too (with the chunk before
-    it).  Either end of a run is extended byte by byte as far as it agrees
-    with the first occurrence of its outer chunk, which is extended alike.
-    A run counts from ``run_bytes`` bytes on with its extensions, or if it
-    is the whole text.  A repeat that holds no whole chunk is not found.
-    Null text, repeated ids and empty tables are as in ``repeats``.
+    it); chunks that occur more than once, in other documents or the same,
+    form runs with their neighbours.  Either end of a run is extended byte by
+    byte as far as it agrees with the first occurrence, by (id, place), of its
+    outer chunk, which is extended alike.  ``n_repeated`` bytes lie in runs of
+    ``run_bytes`` bytes or more with their extensions, or that are the whole
+    text.  ``spans`` (off, len) are the parts of such runs that are not the
+    first occurrence, together ``n_removed`` bytes.  A repeat that holds no
+    whole chunk is not found.  Null text: 0 bytes and no spans.  Rows that
+    repeat an id are documents of their own, in the order of their texts; null
+    ids come first.  An empty table gives no row.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    key = F.struct(F.col("id").isNotNull().alias("named"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), "occ")
-    rows = row_key(keyed(docs, id=id_col, text=text_col)).withColumn("doc", key)
+    rows = row_key(keyed(docs, id=id_col, text=text_col))
+    plain = rows.where("id is null or occ > 0").limit(1).isEmpty()  # then the id alone names a document
+    key = F.col("id").cast("long") if plain else F.struct(
+        F.col("id").isNotNull().alias("named"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), "occ")
+    rows = rows.withColumn("doc", key)
     pieces = chunk(rows, least, most, bits).select(key.alias("doc"), "off", "len", "digest")
     place = F.struct("doc", "off")
-    again = pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1")
-    found = pieces.join(again, "digest").select(
-        "doc", "off", (F.col("off") + F.col("len")).alias("end"), "kept", (F.col("kept") == place).alias("first")).checkpoint()
+    again = pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1").drop("n")
     doc = Window.partitionBy("doc").orderBy("off")
-    beside = found.withColumn("before", F.coalesce(F.lag("end").over(doc), F.lit(0))) \
+    found = pieces.join(again, "digest").select(
+        "doc", "off", (F.col("off") + F.col("len")).alias("end"), "kept", (F.col("kept") == place).alias("first"))
+    # neighbours that are all first or all not are one part, of which only the outer chunks grow
+    new = (F.lag("end").over(doc) != F.col("off")) | (F.lag("first").over(doc) != F.col("first"))
+    parts = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(doc)) \
+        .groupBy("doc", "part").agg(
+            F.min("off").alias("off"), F.max("end").alias("end"), F.max("off").alias("last"), F.max("first").alias("first"),
+            F.min_by("kept", "off").alias("kept_l"), F.max_by("kept", "off").alias("kept_r")).drop("part").checkpoint()
+    beside = parts.withColumn("before", F.coalesce(F.lag("end").over(doc), F.lit(0))) \
         .withColumn("after", F.lead("off").over(doc))
-    kept_off = F.col("kept.off")
     sides = F.array(
-        F.when((F.col("before") < F.col("off")) & (kept_off > 0),
-               F.struct(F.lit(-1).alias("side"), F.col("off").alias("at"), kept_off.alias("kept_at"))),
+        F.when((F.col("before") < F.col("off")) & (F.col("kept_l.off") > 0),
+               F.struct("off", F.lit(-1).alias("side"), F.col("kept_l").alias("kept"), F.col("off").alias("at"),
+                        F.col("kept_l.off").alias("kept_at"))),
         F.when(F.coalesce(F.col("after") > F.col("end"), F.lit(True)),
-               F.struct(F.lit(1).alias("side"), F.col("end").alias("at"), (kept_off + F.col("end") - F.col("off")).alias("kept_at"))))
-    edges = beside.where(~F.col("first")).select("doc", "off", "kept", F.inline(F.filter(sides, lambda x: x.isNotNull())))
+               F.struct(F.col("last").alias("off"), F.lit(1).alias("side"), F.col("kept_r").alias("kept"), F.col("end").alias("at"),
+                        (F.col("kept_r.off") + F.col("end") - F.col("last")).alias("kept_at"))))
+    edges = beside.where(~F.col("first")).select("doc", F.inline(F.filter(sides, lambda x: x.isNotNull())))
     grown = _grown(rows.select("doc", F.col("text").cast("binary").alias("data")), edges).where("n > 0")
     grown = grown.select("doc", "off", "side", "n").unionByName(grown.select("kept.doc", "kept.off", "side", "n")) \
-        .groupBy("doc", "off").agg(F.max(F.when(F.col("side") < 0, F.col("n"))).alias("l"),
-                                   F.max(F.when(F.col("side") > 0, F.col("n"))).alias("r"))
+        .groupBy("doc", "off", "side").agg(F.max("n").alias("n"))
+    l_side, r_side = (grown.where(f"side = {side}").select("doc", F.col("off").alias(at), F.col("n").alias(n))
+                      for side, at, n in ((-1, "off", "l"), (1, "last", "r")))
     # extensions that meet in a gap: those to be removed go first, then the left run's
-    ends = beside.join(grown, ["doc", "off"], "left") \
+    ends = beside.join(l_side, ["doc", "off"], "left").join(r_side, ["doc", "last"], "left") \
         .withColumn("l", F.least(F.coalesce("l", F.lit(0)), F.col("off") - F.col("before"))) \
         .withColumn("r", F.least(F.coalesce("r", F.lit(0)), F.coalesce(F.col("after") - F.col("end"), F.coalesce("r", F.lit(0))))) \
         .withColumn("l_room", F.col("off") - F.col("before") - F.when(~F.col("first") & F.lag("first").over(doc), 0)
@@ -239,7 +217,7 @@ def whole_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 (F.col("end") + F.least("r", F.coalesce("r_room", "r"))).alias("end"))
     apart = F.coalesce(F.lag("end").over(doc) != F.col("off"), F.lit(True))
     change = apart | F.coalesce(F.lag("first").over(doc) != F.col("first"), F.lit(True))
-    parts = ends.withColumn("a", apart.cast("int")).withColumn("b", change.cast("int")) \
+    runs = ends.withColumn("a", apart.cast("int")).withColumn("b", change.cast("int")) \
         .withColumn("run", F.sum("a").over(doc)).withColumn("part", F.sum("b").over(doc)) \
         .groupBy("doc", "run", "part") \
         .agg(F.min("off").alias("off"), F.sum(F.col("end") - F.col("off")).alias("len"), F.first("first").alias("first")) \
@@ -248,7 +226,7 @@ def whole_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = rows.select("id", "doc", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["len"])
     none = F.array().cast("array<struct<off:bigint,len:bigint,first:boolean,whole:bigint>>")
-    return sizes.join(parts, "doc", "left") \
+    return sizes.join(runs, "doc", "left") \
         .withColumn("parts", F.filter(F.coalesce("parts", none), lambda x: (x["whole"] >= run_bytes) | (x["whole"] == F.col("n_bytes")))) \
         .withColumn("gone", F.filter("parts", lambda x: ~x["first"])) \
         .select(F.col("id").alias(id_col), "n_bytes", total("parts").alias("n_repeated"), total("gone").alias("n_removed"),

@@ -34,14 +34,22 @@ def packed(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), ends
 
 
+#: Parts that the rows without an id are numbered in.
+NAMELESS = 256
+
+
 def row_key(rows: DataFrame) -> DataFrame:
     """``rows(id, text, ...)`` with ``occ``, which tells rows of one id apart: 0
     where ids are unique (checked on the id column alone), else numbered in
-    the order of their texts.  Equal rows are alike, so any order does."""
+    the order of their texts; rows without an id in parts by a hash of their
+    text, since they may be many.  Equal rows are alike, so any order does."""
     again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
     if again.isEmpty():
         return rows.withColumn("occ", F.lit(0))
-    return rows.withColumn("occ", F.row_number().over(Window.partitionBy("id").orderBy("text")))
+    part = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(NAMELESS))).otherwise(0)
+    place = F.row_number().over(Window.partitionBy("id", "__part").orderBy("text"))
+    return rows.withColumn("__part", part).withColumn(
+        "occ", F.when(F.col("id").isNull(), place * NAMELESS + F.col("__part")).otherwise(place).cast("int")).drop("__part")
 
 
 def one_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
