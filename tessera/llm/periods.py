@@ -29,7 +29,7 @@ from tessera.llm.common import keyed, utf8
 #: Periods below this are found by direct lag scans; a power of two.
 SHORT = 16
 #: Words of texts in work together, unless a text alone is longer.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 #: Runs count from this many words on.
 LEAST = 12
 
