@@ -7,9 +7,9 @@ test-suite and by ``python -m tessera.plans.oracle_check <sf_dir> [names]``.
 
 from __future__ import annotations
 
-import os
 import hashlib
 import math
+import os
 import sys
 
 from tessera.sources.tables import TABLES
