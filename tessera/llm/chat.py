@@ -105,6 +105,12 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return unescape(role), unescape(content)
 
 
+def _unescaped(col: Column) -> Column:
+    for raw, safe in reversed(ESCAPES):
+        col = F.replace(col, F.lit(safe), F.lit(raw))
+    return col
+
+
 def _digests(batches):
     """Rows ordered by conversation stream through; only the digests of the
     current conversation are held, however long it is."""
@@ -136,10 +142,13 @@ def _digests(batches):
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of every conversation, read from the formatted turns only.
 
-    Sorting brings a conversation's turns together and in order; a digest of
-    an ordered text is sequential, so one task streams it, holding one batch.
+    Sorting brings a conversation's turns together and in order (turn, nulls
+    first, then role and text as they were); a digest of an ordered text is
+    sequential, so one task streams it, holding one batch.  Rows of a null
+    conversation are one conversation; an empty table gives no row.
     """
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted") \
+    said = [_unescaped(F.regexp_extract("formatted", r"(?s)\A<turn ([^>]*)>\n(.*)</turn>\n\z", g)) for g in (1, 2)]
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), *said) \
         .select(F.col("conv_id").cast("string"), "formatted", "loss_start", "loss_end") \
         .mapInPandas(_digests, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, "
                                "loss_sha256 string, formatted_chars long") \

@@ -50,13 +50,3 @@ def row_key(rows: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("id", "__part").orderBy("text"))
     return rows.withColumn("__part", part).withColumn(
         "occ", F.when(F.col("id").isNull(), place * NAMELESS + F.col("__part")).otherwise(place).cast("int")).drop("__part")
-
-
-def one_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each non-null id, that with the smallest text; rows with a
-    null id all stay.  Nothing is shuffled but ids where ids are unique."""
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
-    if again.isEmpty():
-        return docs
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return docs.withColumn("__place", place).where((F.col("__place") == 1) | F.col(id_col).isNull()).drop("__place")

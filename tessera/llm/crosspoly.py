@@ -26,8 +26,6 @@ from tessera.session import ensure_checkpoint_dir
 LANES, STRIP, SMALL = 4096, 256, 32
 #: Axes of each rotation that probes choose from.
 NEAREST = 4
-#: Classes of rows with a null id are numbered from here on; ids lie below.
-UNNAMED = 1 << 62
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -190,11 +188,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                           F.col(f"`{label_col}`").cast("string").alias("label"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(~bad & F.exists("vec", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
+    # a class is known by a number of its own: ids may repeat on other vectors
     classes = rows.where(usable).groupBy("label", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")) \
-        .withColumn("id", F.coalesce("first", F.xxhash64("label", "vec").bitwiseAND(UNNAMED - 1) + UNNAMED)) \
-        .select("id", "label", "vec", "n").checkpoint()
+        .select(F.monotonically_increasing_id().alias("id"), "first", "label", "vec", "n").checkpoint()
     kind = "<f4" if dict(rows.dtypes)["vec"] == "array<float>" else "<f8"
-    hashed = classes.mapInPandas(_hashed(tables, hashes, probes, kind), "id long, label string, dim int, n long, "
+    hashed = classes.drop("first").mapInPandas(_hashed(tables, hashes, probes, kind), "id long, label string, dim int, n long, "
                                  "vec binary, keys array<long>").checkpoint()
     entry = hashed.select("id", "label", "dim", F.posexplode("keys").alias("p", "k")) \
         .select("id", "label", "dim", F.floor(F.col("p") / probes).cast("int").alias("t"), "k", (F.col("p") % probes == 0).alias("home"))
@@ -207,16 +205,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m.parts") - 1))) \
         .select("label", "dim", "m.t", "m.k", "c", "id", "n", "vec", "keys",
                 F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi")) \
-        .repartition("label", "dim", "t", "k", "lo", "hi") \
+        .repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label", "dim", "t", "k", "lo", "hi") \
         .sortWithinPartitions("label", "dim", "t", "k", "lo", "hi", "c", "id")
     found = blocks.mapInPandas(_blocks(threshold, tables, probes, kind), "id long, links long, root long").checkpoint()
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left") \
+    members = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left") \
+        .withColumn("root", F.coalesce("root", "id"))
+    smallest = members.where("links is not null").groupBy("root").agg(F.min("first").alias("component"))
+    named = members.join(smallest, "root", "left") \
         .select(F.col("label").alias("c_label"), F.col("vec").alias("c_vec"),
-                (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
+                (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component"))
     out = rows.withColumn("usable", usable).join(
         named, F.col("usable") & (F.col("label") == F.col("c_label")) & (F.col("vec") == F.col("c_vec")), "left")
-    component = F.when(F.col("root") < UNNAMED, F.col("root")).otherwise(F.col("id"))
+    component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                       component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -11,7 +11,8 @@ least ``identity`` of their places.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import keyed, utf8
 
-#: Seeds; items shorter than a mask also get one of their own length.
+#: Seeds to start from; ``complete_masks`` adds what they miss.
 MASKS = ("111111", "11011011", "101101101", "1110010111")
 #: Bytes of benchmark text whose seeds are broadcast at a time: a larger
 #: benchmark is met block by block.
@@ -66,6 +67,32 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
+def _meets(mask: str, n: int, wrong: int) -> frozenset[int]:
+    """Which of the patterns of ``wrong`` substituted places among n leave a
+    hit of the mask, at one of its places or another."""
+    ones = [{j + at for j, bit in enumerate(mask) if bit == "1"} for at in range(n - len(mask) + 1)]
+    return frozenset(i for i, p in enumerate(combinations(range(n), wrong)) if any(not s & set(p) for s in ones))
+
+
+@lru_cache(64)
+def complete_masks(n: int, wrong: int) -> tuple[str, ...]:
+    """Masks that meet every overlap of n words with up to ``wrong``
+    substitutions, wherever these are; checked here by enumeration.  Beyond 13
+    words it is the run that some n words with so few substitutions hold."""
+    if n > 13:
+        return ("1" * -(-(n - wrong) // (wrong + 1)),)
+    chosen = [m for m in MASKS if len(m) <= n] if n == 13 else []
+    left = set(range(len(list(combinations(range(n), wrong))))).difference(*(_meets(m, n, wrong) for m in chosen))
+    weight = (n - wrong) // 2 + 1 if n > 1 else 1
+    pool = ["1" + "".join(bits) + "1" for span in range(2, n + 1) for bits in product("01", repeat=span - 2)] + ["1"]
+    met = {m: _meets(m, n, wrong) for m in pool if m.count("1") >= weight} if left else {}
+    while left:
+        best = max(met, key=lambda m: (len(met[m] & left), m.count("1"), m))
+        chosen.append(best)
+        left -= met[best]
+    return tuple(chosen)
+
+
 @dataclass(frozen=True)
 class SeedIndex:
     """Items of one block: word hashes of each, and for each mask its sorted
@@ -77,15 +104,14 @@ class SeedIndex:
     identity: float
 
     @staticmethod
-    def build(texts: list[str], window: int, identity: float, masks=MASKS) -> "SeedIndex":
+    def build(texts: list[str], window: int, identity: float) -> "SeedIndex":
         words = [word_hashes(utf8(t.lower()))[0] for t in texts]
-        own = sorted({len(w) for w in words if 0 < len(w) < max(map(len, masks))})
-        seeds = []
-        for mask in [*masks, *("1" * n for n in own if "1" * n not in masks)]:
-            # a mask of an item's own length serves items of that length only
-            chosen = [i for i, w in enumerate(words) if (mask in masks or len(w) == len(mask)) and len(w) >= len(mask)]
-            if not chosen:
-                continue
+        of, seeds = {}, []
+        for i, w in enumerate(words):
+            n = min(len(w), window)  # the words that an overlap must have
+            for mask in complete_masks(n, n - int(np.ceil(identity * n - 1e-9))) if n else ():
+                of.setdefault(mask, []).append(i)
+        for mask, chosen in sorted(of.items()):
             h = [seed_hashes(words[i], mask) for i in chosen]
             item = np.repeat(chosen, [len(x) for x in h])
             place = np.concatenate([np.arange(len(x)) for x in h])

@@ -80,14 +80,28 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '{FORGED}'
   UNION ALL SELECT -7, 1, 'assistant', '{FORGED}')
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<turn >' || chr(10) || '</turn>' || chr(10)) + length({_ESCAPED.format('role')})
                 + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT row, vec_id, label, e FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.row AS a, b.row AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.row <> b.row
+          AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT row AS a, row AS b FROM ok UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+low AS (SELECT r.a AS row, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.row = r.b GROUP BY r.a),
+n AS (SELECT a AS row, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(low.component_id, v.vec_id) AS component_id,
+       coalesce(v.vec_id = coalesce(low.component_id, v.vec_id), false) AS kept
+FROM v LEFT JOIN n USING (row) LEFT JOIN low USING (row)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -105,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_cross_polytope": OP3_SQL,
     "op8_chat_format": OP8_SQL,
     "op10_license_scan": licenses.oracle_sql(),
 }

@@ -175,7 +175,8 @@ def links(classes: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
         .withColumn("c", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts"))) \
         .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("id", "fp", "t", "k", "c", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
-    return rows.repartition("t", "k", "lo", "hi").sortWithinPartitions("t", "k", "lo", "hi", "c", "fp") \
+    parts_out = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number is not coalesced to one task
+    return rows.repartition(parts_out, "t", "k", "lo", "hi").sortWithinPartitions("t", "k", "lo", "hi", "c", "fp") \
         .mapInPandas(_blocks(radius), "a long, b long")
 
 

@@ -51,3 +51,12 @@ def test_long_conversation_in_order(spark):
     whole = "".join(map(str, range(3000)))
     assert len(r) == 1 and r[0]["conv_id"] == big and r[0]["loss_chars"] == len(whole)
     assert r[0]["loss_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+
+
+def test_ties_and_null_turns_match_sql(spark, tmp_path):
+    rows = [(1, 2, "a b", "<b"), (1, 2, "a", "Zb"), (1, 2, "a", "<b"), (1, None, "user", "\\l"), (1, None, "user", "<"), (1, 2, "a", "\\"),
+            (2, 0, None, None), (2, 0, "assistant", "x" * 300_000), (None, 1, "user", "q"), (None, 1, "assistant", ">")]
+    df = spark.createDataFrame([(*r, "f", 3) for r in rows], "conv_id long, turn long, role string, text string, formatted string, before int")
+    df.repartition(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    res = compare(queries.op8_chat_format(spark, str(tmp_path)), str(tmp_path), queries.OP8_SQL)
+    assert res["match"], res

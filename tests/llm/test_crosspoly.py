@@ -2,7 +2,8 @@
 import numpy as np
 
 from conftest import SF_SMALL
-from tessera.llm import crosspoly
+from tessera.llm import crosspoly, queries
+from tessera.plans.oracle_check import compare
 
 
 def brute(rows, threshold=0.93):
@@ -63,6 +64,29 @@ def test_table_matches_brute_force(spark):
     assert got(crosspoly.near_duplicates(spark.read.parquet(f"{SF_SMALL}/embeddings.parquet"))) == brute(rows)
 
 
+def test_repeated_ids_on_other_vectors(spark):
+    angle = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
+    rows = [(1, angle(0), 0), (1, angle(15), 0), (1, angle(100), 0), (2, angle(30), 0), (3, angle(110), 0), (4, angle(112), 0),
+            (None, angle(200), 0), (None, angle(210), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    # within 21.6 degrees: 0-15, 15-30, 100-110, 100-112, 110-112 and the two without an id
+    got_ = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in crosspoly.near_duplicates(df).collect())
+    assert got_ == [(0, 1, 0), (0, 1, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
+def test_sql_on_a_table_with_links(spark, tmp_path):
+    rows = planted(2, 300) + [(900, None, 1), (901, [0.0] * 64, 1), (902, [1.0, None], 0), (903, planted(2, 1)[0][1], None)]
+    for n, noise in enumerate((0.0, 0.01, 0.02)):  # far above the threshold: no hash loses these
+        rows += [(1000 + 10 * n + j, [x * (1 + noise * (j % 3)) for x in rows[j][1]], rows[j][2]) for j in range(9)]
+    clear = brute(rows, 0.93)
+    sure = brute(rows, 0.97)
+    rows = [r for r in rows if clear[r[0]] == sure[r[0]]]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    res = compare(queries.op3_cross_polytope(spark, str(tmp_path)), str(tmp_path), queries.OP3_SQL)
+    assert res["match"], res
+    assert sum(n for n, _ in brute(rows).values()) > 40
+
+
 def test_split_blocks_count_every_pair_once(spark, monkeypatch):
     monkeypatch.setattr(crosspoly, "LANES", 32)
     rng = np.random.default_rng(4)

@@ -1,6 +1,8 @@
 """Spaced-seed decontamination against brute force over all alignments."""
+import math
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -69,8 +71,26 @@ def test_substitutions(spark, planted):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     out = pairs(decontam.find_overlaps(docs, bench))
     want = {(d, i): b for d, t in texts.items() for i, x in items.items() if (b := brute(t, x))}
-    assert set(out) <= set(want) and len(out) >= 0.97 * len(want) and len(want) > 90
-    assert sum(out[p] == want[p] for p in out) >= 0.97 * len(out)
+    assert set(out) == set(want) and len(want) > 90
+    assert sum(out[p] == want[p] for p in out) >= 0.97 * len(out)  # a better diagonal may hold no hit
+
+
+def test_masks_meet_every_allowed_pattern(spark):
+    for n in range(1, 19):
+        wrong = n - math.ceil(0.8 * n - 1e-9)
+        masks = decontam.complete_masks(n, wrong)
+        for p in combinations(range(n), wrong):
+            places = ((m, at) for m in masks for at in range(n - len(m) + 1))
+            assert any(all(at + j not in p for j, bit in enumerate(m) if bit == "1") for m, at in places), (n, p)
+    items = {n: " ".join(f"i{n}x{j}" for j in range(n)) for n in range(4, 16)}
+    docs, d = [], 0
+    for n, text in items.items():
+        for p in combinations(range(min(n, 13)), min(n, 13) - math.ceil(0.8 * min(n, 13) - 1e-9)):
+            docs.append((d, "start " + " ".join("XXX" if j in p else w for j, w in enumerate(text.split()[:13])) + " end", n, "c"))
+            d += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_matched int, first string")
+    out = pairs(decontam.find_overlaps(df, spark.createDataFrame(list(items.items()), "item_id long, text string")))
+    assert set(out) == {(d, n) for d, _, n, _ in docs}
 
 
 def test_blocks_of_a_large_benchmark(spark, planted, monkeypatch):

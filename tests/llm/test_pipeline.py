@@ -62,3 +62,24 @@ def test_odd_rows(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     ids = [r["doc_id"] for r in docs.collect()]
     assert ids.count(7) == 1 and ids.count(None) == 1 and not {5, 6} & set(ids)
+
+
+def test_survivors_of_repeated_ids(spark):
+    a, b = "one two three four five six seven eight", "words of quite another kind that stand alone here"
+    rows = [(1, a), (5, a), (5, b), (9, b + " x"), (9, "z " + a), (3, b + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    prints = {t: reference_fingerprint(t) for _, t in rows}
+    far = {t for t in prints if all(t == u or (prints[t] ^ prints[u]).bit_count() > 3 for u in prints)}
+    assert far == set(prints)  # only equal texts are near here
+    out = sorted((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, "").collect())
+    assert out == sorted([(1, a), (5, b), (3, b + " x"), (9, "z " + a)])
+
+
+def test_language_id_rejects_what_no_model_fits(spark):
+    import random
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    odd = [(10_000, "".join(rng.choices("qwxzjkvbpfgmhy", k=200)), None, "s", 1), (10_001, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 20, None, "s", 1)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    kept = {r["doc_id"] for r in P.language_id(spark, both, SF_SMALL).select("doc_id").collect()}
+    assert not kept & {10_000, 10_001} and len(kept) >= 0.98 * docs.count()
