@@ -1,4 +1,5 @@
 """License scans against their SQL and a plain Python scan."""
+import math
 import re
 
 from conftest import SF_SMALL
@@ -20,8 +21,9 @@ def plain(text):
     best, more = 0.0, set()
     for label, template in licenses.TEMPLATES:
         t = set(licenses.words_of(template))
-        for line in (text or "").split("\n"):
-            share = len(t & set(WORD.findall(line.translate(LOWER)))) / len(t)
+        width = math.ceil(licenses.SPREAD * len(licenses.words_of(template)))
+        for i in range(len(words)):
+            share = len(t & set(words[i:i + width])) / len(t)
             if share >= licenses.THRESHOLD:
                 more.add(label)
                 best = max(best, share)
@@ -39,6 +41,18 @@ def test_matches_sql(spark):
     assert res["match"], res
 
 
+def test_wrapped_notices_match_and_scattered_words_do_not(spark):
+    wrap = lambda t, n: "\n * ".join(" ".join(t.split()[i:i + n]) for i in range(0, len(t.split()), n))
+    texts = {label: "/* Copyright\n * " + wrap(t, 7) + "\n */ int main;" for label, t in licenses.TEMPLATES}
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    out = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(docs).collect()}
+    assert all(label in out[i] for i, label in enumerate(texts))
+    far = "released at noon under heavy rain, the old mit building and the license plate"
+    long = " ".join(f"{w} {'and so on ' * 40}" for t in dict(licenses.TEMPLATES).values() for w in licenses.words_of(t))
+    clean = licenses.scan(spark.createDataFrame([(1, far), (2, long), (3, far.replace(" ", "\n"))], "doc_id long, text string"))
+    assert [(r["labels"], r["score"]) for r in clean.collect()] == [("", 0.0)] * 3
+
+
 def test_matches_plain_scan(spark):
     half = " ".join(licenses.words_of(dict(licenses.TEMPLATES)["mit-grant"])[:-2])
     texts = [None, "", "...", "cc by", "CC BY CC-BY cc\nby", "xcc by", "General  Public\tLicense", "general public license " * 3 + "end",
