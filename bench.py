@@ -44,7 +44,7 @@ def _workloads():
 
     def automl(spark, sf):
         return ML.automl(S.model_rows(spark, sf), W.MODEL_FEATURES, "label", "l_orderkey",
-                         grid="small", parallelism=8).leaderboard
+                         grid="full").leaderboard
 
     def tree_shap(spark, sf):
         model, _, test = W._explain_setup(spark, sf, trees=100, depth=5)
@@ -69,7 +69,7 @@ def _workloads():
         "label_encode": W.QUERIES["label_encode"],
         "dbscan_noise": W.QUERIES["dbscan_noise"],
         "isolation_forest": lambda spark, sf: AN.isolation_forest(S.load(spark, sf, "events"), id_col="event_id"),
-        "automl_small_grid": automl,
+        "automl_full_grid": automl,
         "tree_shap": tree_shap,
         "permutation_importance": perm,
     }

@@ -1,7 +1,8 @@
 """Training, tuning and comparison.
 
-Models are Spark ML stages; every fit is a distributed pass over a cached,
-encoded DataFrame.  Row assignment to train/test and to folds comes from
+Single models are Spark ML stages.  AutoML and comparison fit all their
+candidates in shared passes over packed rows (``shared``, ``forest``, ``grid``).
+Row assignment to train/test and to folds comes from
 the id hash (``features.train_test_split`` / ``add_folds``) so it does not
 depend on partitioning and survives recomputation after executor loss.
 Only leaderboard rows (one per model family) are assembled on the driver.
@@ -15,18 +16,18 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (Imputer, MinMaxScaler, OneHotEncoder, PCA, SQLTransformer, StandardScaler,
                                 StringIndexer, StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import grid as GR
 from tessera.operators import metrics as MET
+from tessera.operators import shared as SH
 from tessera.operators.features import add_folds, train_test_split
 from tessera.operators.profile import detect_task, max_folds
 from tessera.operators.rff import RandomFourierFeatures
@@ -169,57 +170,8 @@ def make_estimator(family: str, task: str, n_rows: int, num_classes: int = 2, **
     raise ValueError(f"unknown model family {family!r}")
 
 
-def _last(est):
-    return est.getStages()[-1] if isinstance(est, Pipeline) else est
-
-
-def family_grid(family: str, task: str, n_rows: int, num_classes: int, size: str = "full"):
-    """(estimator, param maps) for a family; ``size='full'`` is the original
-    grid, ``'small'`` keeps its shape with fewer trees."""
-    # full: the original grid; small: same families, fewer trees, bounded depth
-    trees = [50, 100] if size == "full" else [10, 20]
-    depths = [3, 7, None] if size == "full" else [3, 7]
-    cls = task == "classification"
-    if family == "logistic_regression":
-        est = make_estimator(family, task, n_rows, num_classes)
-        grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n_rows) for c in (0.1, 1.0, 10.0)]).build()
-        return [(est, grid)]
-    if family in ("random_forest", "gradient_boosting"):
-        est = make_estimator(family, task, n_rows, num_classes)
-        inner = est.getClassifier() if isinstance(est, OneVsRest) else est
-        t_param = inner.numTrees if family == "random_forest" else inner.maxIter
-        grid = (ParamGridBuilder().addGrid(t_param, trees)
-                .addGrid(inner.maxDepth, [_depth(d) for d in depths]).build())
-        if isinstance(est, OneVsRest):
-            grid = [{est.classifier: inner.copy(m)} for m in grid]
-        return [(est, grid)]
-    if family == "decision_tree":
-        est = make_estimator(family, task, n_rows, num_classes)
-        return [(est, ParamGridBuilder().addGrid(est.maxDepth, [_depth(d) for d in depths]).build())]
-    if family == "svm":
-        out = []
-        for kernel in ("linear", "rbf"):
-            est = make_estimator(family, task, n_rows, num_classes, kernel=kernel)
-            head = _last(est)
-            svc = head.getClassifier() if isinstance(head, OneVsRest) else head
-            regs = [1.0 / (c * n_rows) for c in (0.1, 1.0, 10.0)]
-            if isinstance(head, OneVsRest):
-                grid = [{head.classifier: svc.copy({svc.regParam: r})} for r in regs]
-            else:
-                grid = ParamGridBuilder().addGrid(svc.regParam, regs).build()
-            out.append((est, grid))
-        return out
-    if family == "robust_regression":
-        est = make_estimator(family, task, n_rows, num_classes)
-        return [(est, ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n_rows) for c in (0.1, 1.0, 10.0)])
-                 .build())]
-    if family == "linear_regression":
-        return [(make_estimator(family, task, n_rows, num_classes), [{}])]
-    raise ValueError(f"unknown model family {family!r}")
-
-
 CLASSIFICATION_FAMILIES = ["logistic_regression", "random_forest", "decision_tree", "svm", "gradient_boosting"]
-REGRESSION_FAMILIES = ["random_forest", "decision_tree", "robust_regression", "gradient_boosting",
+REGRESSION_FAMILIES = ["random_forest", "decision_tree", "support_vector_regression", "gradient_boosting",
                        "linear_regression"]
 
 
@@ -276,14 +228,8 @@ def _lb_row(model, params=None, cv=None, metrics=None, error=None) -> tuple:
             _f(m.get("mse")), _f(m.get("r2")), error or m.get("error"))
 
 
-def _params_text(model) -> str:
-    stages = model.stages if isinstance(model, PipelineModel) else [model]
-    parts = []
-    for st in stages:
-        for prm in ("numTrees", "maxDepth", "regParam", "maxIter"):
-            if st.hasParam(prm) and st.isDefined(st.getParam(prm)):
-                parts.append(f"{prm}={st.getOrDefault(st.getParam(prm))}")
-    return ", ".join(parts)
+def _params_text(params: dict) -> str:
+    return ", ".join(f"{k}={v}" for k, v in params.items())
 
 
 # --------------------------------------------------------------------------
@@ -297,6 +243,7 @@ class TrainResult:
     models: dict = field(default_factory=dict)
     feature_model: PipelineModel | None = None
     num_classes: int = 2
+    predictions: dict = field(default_factory=dict)
 
 
 ROWS_PER_FIT_PARTITION = 50_000
@@ -348,51 +295,83 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, id_col: str,
     return task, fm, train, test, num_classes
 
 
+def packed_task(df: DataFrame, features: Sequence[str], target: str, id_col: str, test_pct: int, folds: int, seed: int,
+                encoder: str, scaler: str | None, everything: bool) -> tuple[str, PipelineModel, GR.Task]:
+    """Split, encoded and packed rows for the shared passes; folds are those of
+    the id hash, over the train rows or ``everything``.  The number of folds of
+    train rows is at most that of the smallest class."""
+    task, fm, train, test, k = prepare(df, features, target, id_col, test_pct, folds, seed, encoder=encoder, scaler=scaler)
+    if task == "classification" and not everything:
+        folds = max_folds(train, LABEL, folds)
+    rows = train.drop("fold").withColumn("split", F.lit(0)).unionByName(test.withColumn("split", F.lit(1)))
+    rows = add_folds(rows, id_col, folds, seed).withColumn("key", F.xxhash64(id_col, vector_to_array(FEATURES)))
+    blocks, cuts = SH.pack(rows, FEATURES, LABEL)
+    for part in (train, test):
+        part.unpersist()
+    return task, fm, GR.Task(blocks, cuts, k, SH.fits(folds, everything), seed)
+
+
+def _scored_row(task: GR.Task, name: str, scored: GR.Scored, mean_mse: bool) -> tuple[tuple, GR.GridModel, DataFrame]:
+    """(leaderboard row, model, test predictions) of the candidate with the
+    best mean score over the folds: accuracy, or R squared."""
+    cv = GR.cv_scores(task, scored)
+    mean = cv.mean(1) if task.classes else cv.mean(1)[:, 1]
+    best = int(mean.argmax())
+    shown = float(cv.mean(1)[best, 0]) if mean_mse and not task.classes else float(mean[best])
+    fitted = GR.calibration(task, scored, best) if scored.family == "svm" else None
+    preds = GR.predictions(task, scored, best, LABEL, fitted)
+    kind = "classification" if task.classes else "regression"
+    row = _lb_row(name, _params_text(scored.candidates[best]), shown, evaluate(preds, kind, task.classes))
+    return row, GR.GridModel(scored.family, scored.candidates[best], scored.scorers[best], task.classes, fitted), preds
+
+
+def _all_families(task: GR.Task, wanted: dict[str, tuple[str, list[dict]]], mean_mse: bool, threads: int):
+    """Rows, models and predictions of ``name -> (family, candidates)``.  All
+    linear families go through one sequence of passes; the others run beside
+    it.  A family that fails becomes a row with its error text."""
+    from concurrent.futures import ThreadPoolExecutor
+    together = {n: f for n, (f, _) in wanted.items() if f in GR.LINEAR and (f == "support_vector_regression") != bool(task.classes)}
+
+    def run(names):
+        out = {}
+        try:
+            if len(names) > 1 or names[0] in together:
+                got = dict(zip(names, GR.linear(task, {wanted[n][0]: wanted[n][1] for n in names})))
+            else:
+                got = {names[0]: GR.run_family(task, *wanted[names[0]])}
+        except Exception as e:  # a failing family is reported, not fatal
+            return {n: (_lb_row(n, error=f"{type(e).__name__}: {str(e)[:300]}"), None, None) for n in names}
+        for n, scored in got.items():
+            try:
+                out[n] = _scored_row(task, n, scored, mean_mse)
+            except Exception as e:
+                out[n] = _lb_row(n, error=f"{type(e).__name__}: {str(e)[:300]}"), None, None
+        return out
+
+    groups = [[n] for n in wanted if n not in together] + ([list(together)] if together else [])
+    found = {}
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(groups)))) as pool:
+        for got in pool.map(run, groups):
+            found.update(got)
+    return {n: found[n] for n in wanted}
+
+
 def automl(df: DataFrame, features: Sequence[str], target: str, id_col: str, test_pct: int = 20,
            folds: int = 3, families: Sequence[str] | None = None, grid: str = "full",
-           parallelism: int = 4, seed: int = 42, family_parallelism: int = 5,
-           encoder: str = "index", scaler: str | None = None) -> TrainResult:
+           seed: int = 42, family_parallelism: int = 5, encoder: str = "index", scaler: str | None = None,
+           grids: dict[str, list[dict]] | None = None) -> TrainResult:
     """Per family, grid search with cross-validation on the train rows
     (refit on all train rows), test metrics, one leaderboard row; a family
-    that fails becomes a row with its error text."""
-    task, fm, train, test, k = prepare(df, features, target, id_col, test_pct, folds, seed,
-                                       encoder=encoder, scaler=scaler)
-    if task == "classification":
-        allowed = max_folds(train, LABEL, folds)
-        if allowed != folds:
-            folds = allowed
-            old, train = train, add_folds(train.drop("fold"), id_col, folds, seed).cache()
-            old.unpersist()
-    n = train.count()
-    fams = list(families or (CLASSIFICATION_FAMILIES if task == "classification" else REGRESSION_FAMILIES))
-    evaluator = (MulticlassClassificationEvaluator(metricName="accuracy", labelCol=LABEL)
-                 if task == "classification" else RegressionEvaluator(metricName="r2", labelCol=LABEL))
-    def run_family(fam):
-        try:
-            best, best_score = None, None
-            for est, pgrid in family_grid(fam, task, n, k, grid):
-                cv = CrossValidator(estimator=est, estimatorParamMaps=pgrid, evaluator=evaluator,
-                                    numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed)
-                cvm = cv.fit(train)
-                score = max(cvm.avgMetrics)
-                if best_score is None or score > best_score:
-                    best, best_score = cvm.bestModel, score
-            metrics = evaluate(best.transform(test), task, k)
-            return fam, best, _lb_row(fam, _params_text(best), best_score, metrics)
-        except Exception as e:  # a failing family is reported, not fatal
-            return fam, None, _lb_row(fam, error=f"{type(e).__name__}: {str(e)[:300]}")
-
-    # Families are independent: their cross-validations run side by side
-    # (each is a chain of small jobs; one family alone leaves slots idle).
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(family_parallelism, len(fams)))) as pool:
-        results = list(pool.map(run_family, fams))
-    rows = [r for _, _, r in results]
-    models = {f: m for f, m, _ in results if m is not None}
-    lb = df.sparkSession.createDataFrame(rows, LEADERBOARD_SCHEMA)
-    train.unpersist()
-    test.unpersist()
-    return TrainResult(task, lb, models, fm, k)
+    that fails becomes a row with its error text.  ``grids`` replaces the
+    candidates of the families that it names."""
+    kind, fm, task = packed_task(df, features, target, id_col, test_pct, folds, seed, encoder, scaler, False)
+    candidates = {**GR.grids(task.classes, grid), **(grids or {})}
+    default = CLASSIFICATION_FAMILIES if kind == "classification" else REGRESSION_FAMILIES
+    wanted = {f: (f, candidates.get(f, [{}])) for f in families or default}
+    found = _all_families(task, wanted, False, family_parallelism)
+    board = df.sparkSession.createDataFrame([r for r, _, _ in found.values()], LEADERBOARD_SCHEMA)
+    return TrainResult(kind, board, {n: m for n, (_, m, _) in found.items() if m is not None}, fm, task.classes,
+                       {n: p for n, (_, _, p) in found.items() if p is not None})
 
 
 def cross_val_predictions(est, data: DataFrame, folds: int) -> DataFrame:
@@ -408,37 +387,68 @@ def cross_val_predictions(est, data: DataFrame, folds: int) -> DataFrame:
     return out
 
 
+# The compared models as the original's libraries set them by default.
+COMPARED = {"logistic_regression": {"C": 1.0}, "random_forest": {"trees": 100, "depth": None}, "decision_tree": {"depth": None},
+            "svm": {"C": 1.0, "kernel": "rbf"}, "support_vector_regression": {"C": 1.0, "kernel": "rbf"},
+            "gradient_boosting": {"trees": 100, "depth": 3}, "boosted_trees": {"trees": 100, "depth": 6}, "linear_regression": {}}
+
+
 def compare_models(df: DataFrame, features: Sequence[str], target: str, id_col: str,
                    models: Sequence[str], folds: int = 5, params: dict | None = None,
-                   seed: int = 42, encoder: str = "index", scaler: str | None = None) -> TrainResult:
+                   seed: int = 42, encoder: str = "index", scaler: str | None = None, threads: int = 5) -> TrainResult:
     """Chosen families with fixed parameters: fit on the 80% train rows,
     test metrics, plus k-fold cross-validation over **all** rows (mean
-    accuracy or mean MSE), as the original did.  Failures become rows."""
+    accuracy or mean MSE), as the original did.  ``svm`` means regression for a
+    numeric target.  Failures become rows; ``predictions`` holds each model's
+    test rows, for ``compared_curves``."""
     if not 2 <= folds <= 10:
         raise ValueError("folds must be between 2 and 10")
-    task, fm, train, test, k = prepare(df, features, target, id_col, 20, folds, seed, encoder=encoder, scaler=scaler)
-    n = train.count()
-    everything = add_folds(train.drop("fold").unionByName(test), id_col, folds, seed).cache()
-    rows, fitted = [], {}
+    kind, fm, task = packed_task(df, features, target, id_col, 20, folds, seed, encoder, scaler, True)
+    wanted = {}
     for name in models:
-        try:
-            est = make_estimator(name, task, n, k, **(params or {}).get(name, {}))
-            model = est.fit(train)
-            metrics = evaluate(model.transform(test), task, k)
-            cvp = cross_val_predictions(est, everything, folds)
-            if task == "classification":
-                cv = cvp.agg(F.avg((F.col(LABEL) == F.col("prediction")).cast("double"))).first()[0]
-            else:
-                cv = cvp.groupBy("fold").agg(F.avg(F.pow(F.col(LABEL) - F.col("prediction"), 2)).alias("m")) \
-                    .agg(F.avg("m")).first()[0]
-            fitted[name] = model
-            rows.append(_lb_row(name, _params_text(model), cv, metrics))
-        except Exception as e:
-            rows.append(_lb_row(name, error=f"{type(e).__name__}: {str(e)[:300]}"))
-    lb = df.sparkSession.createDataFrame(rows, LEADERBOARD_SCHEMA)
-    for d in (train, test, everything):
-        d.unpersist()
-    return TrainResult(task, lb, fitted, fm, k)
+        family = "support_vector_regression" if name == "svm" and not task.classes else name
+        wanted[name] = family, [{**COMPARED.get(family, {}), **(params or {}).get(name, {})}]
+    found = _all_families(task, wanted, True, threads)
+    board = df.sparkSession.createDataFrame([r for r, _, _ in found.values()], LEADERBOARD_SCHEMA)
+    return TrainResult(kind, board, {n: m for n, (_, m, _) in found.items() if m is not None}, fm, task.classes,
+                       {n: p for n, (_, _, p) in found.items() if p is not None})
+
+
+def stacked_predictions(result: TrainResult) -> DataFrame:
+    """(model, label, prediction, score) of all models' test rows; score is the
+    probability of the class of index 1, null for more or fewer than two."""
+    out = None
+    for name, p in result.predictions.items():
+        score = vector_to_array("probability")[1] if "probability" in p.columns and result.num_classes == 2 else F.lit(None).cast("double")
+        part = p.select(F.lit(name).alias("model"), F.col(LABEL).alias("label"), "prediction", score.alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def compared_curves(stacked: DataFrame, buckets: int = 1000) -> DataFrame:
+    """M20 charts of ``(model, label 0/1, prediction, score)`` in one table
+    (model, chart, x, y, n): ``confusion`` cells (x label, y prediction, n
+    rows), and the points of ``roc`` (x false, y true positive rate) and ``pr``
+    (x recall, y precision) at the lower bound of each of ``buckets`` score
+    buckets that holds rows (n: rows at or above it).  Two classes; one
+    aggregate by model, bucket and label, then running sums over at most
+    ``buckets`` rows a model.  Rows without a score have no curve; a model
+    with one class only gets no ROC point, and no PR point without positives."""
+    cells = stacked.groupBy("model", F.col("label").alias("x"), F.col("prediction").alias("y")).agg(F.count(F.lit(1)).alias("n")) \
+        .select("model", F.lit("confusion").alias("chart"), F.col("x").cast("double"), F.col("y").cast("double"), "n")
+    bucket = F.least(F.floor(F.col("score") * buckets), F.lit(buckets - 1))
+    counts = stacked.where("score is not null").groupBy("model", bucket.alias("b")).agg(
+        F.count(F.when(F.col("label") == 1, 1)).alias("p"), F.count(F.lit(1)).alias("c"))
+    above = Window.partitionBy("model").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("model")
+    sums = counts.select("model", F.sum("p").over(above).alias("tp"), F.sum("c").over(above).alias("n"),
+                         F.sum("p").over(whole).alias("pos"), F.sum("c").over(whole).alias("total"))
+    roc = sums.where("pos > 0 and total > pos").select(
+        "model", F.lit("roc").alias("chart"), ((F.col("n") - F.col("tp")) / (F.col("total") - F.col("pos"))).alias("x"),
+        (F.col("tp") / F.col("pos")).alias("y"), "n")
+    pr = sums.where("pos > 0").select("model", F.lit("pr").alias("chart"), (F.col("tp") / F.col("pos")).alias("x"),
+                                      (F.col("tp") / F.col("n")).alias("y"), "n")
+    return cells.unionByName(roc).unionByName(pr)
 
 
 def leaderboard_best(result: TrainResult) -> DataFrame:

@@ -851,14 +851,14 @@ def q_fill_defaults(spark, sf):
 @register("automl")
 def q_automl(spark, sf):
     d = S.model_rows(spark, sf)
-    return ML.automl(d, MODEL_FEATURES, "label", "l_orderkey", grid="full", parallelism=8).leaderboard
+    return ML.automl(d, MODEL_FEATURES, "label", "l_orderkey", grid="full").leaderboard
 
 
 @register("automl_regression")
 def q_automl_regression(spark, sf):
     d = S.reg_rows(spark, sf)
     return ML.automl(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "y", "l_orderkey",
-                     grid="full", parallelism=8).leaderboard
+                     grid="full").leaderboard
 
 
 @register("compare_models")
@@ -868,8 +868,7 @@ def q_compare_models(spark, sf):
     # original allowed that pairing
     return ML.compare_models(d, MODEL_FEATURES, "label", "l_orderkey",
                              ["logistic_regression", "random_forest", "decision_tree", "svm",
-                              "gradient_boosting", "boosted_trees", "linear_regression"],
-                             params={"boosted_trees": {"depth": 5}}).leaderboard
+                              "gradient_boosting", "boosted_trees", "linear_regression"]).leaderboard
 
 
 @register("feature_importances")

@@ -91,7 +91,7 @@ def test_linear_regression_closed_form(spark, planted):
 
 def test_automl_small_grid(spark, planted):
     res = ML.automl(planted, ["x1", "x2", "c"], "y", "id", grid="small",
-                    families=["logistic_regression", "decision_tree", "svm"], parallelism=4)
+                    families=["logistic_regression", "decision_tree", "svm"])
     lb = res.leaderboard.toPandas().set_index("model")
     assert res.task == "classification"
     assert lb.error.isna().all(), lb.error.tolist()
@@ -177,5 +177,5 @@ def test_registered_queries_run_whole_jobs(spark, monkeypatch):
         W.QUERIES[query](spark, SF_SMALL)
     assert [g["grid"] for g in ran["automl"]] == ["full", "full"]
     assert ran["compare_models"][0]["folds"] == 5
-    assert not any("trees" in p for p in ran["compare_models"][0]["params"].values())
+    assert not ran["compare_models"][0]["params"]
     assert {"l_linenumber", "l_returnflag", "l_linestatus"} <= set(ran["rfe"][0]["features"])
