@@ -871,6 +871,53 @@ def q_compare_models(spark, sf):
                               "gradient_boosting", "boosted_trees", "linear_regression"]).leaderboard
 
 
+_CURVES = {"as_is": ("score", "pred"), "turned": ("1.0 - score", "NOT pred")}
+
+
+@register("compared_curves", with_ctes("""SELECT * FROM (WITH s AS (""" + _union([
+    f"SELECT '{m}' AS model, CAST(CAST(y AS INTEGER) AS DOUBLE) AS label, CAST(CAST({p} AS INTEGER) AS DOUBLE) AS prediction, CAST({x} AS DOUBLE) AS score FROM scored_lines"
+    for m, (x, p) in _CURVES.items()]) + """),
+b AS (SELECT model, least(floor(score * 1000), 999) AS b, count(*) FILTER (label = 1) AS p, count(*) AS c FROM s WHERE score IS NOT NULL GROUP BY ALL),
+r AS (SELECT model, sum(p) OVER above AS tp, sum(c) OVER above AS n, sum(p) OVER whole AS pos, sum(c) OVER whole AS total FROM b
+      WINDOW above AS (PARTITION BY model ORDER BY b DESC), whole AS (PARTITION BY model))
+SELECT model, 'confusion' AS chart, label AS x, prediction AS y, count(*) AS n FROM s GROUP BY ALL
+UNION ALL SELECT model, 'roc', round((n - tp) / (total - pos), 6), round(tp / pos, 6), CAST(n AS BIGINT) FROM r WHERE pos > 0 AND total > pos
+UNION ALL SELECT model, 'pr', round(tp / pos, 6), round(tp / n, 6), CAST(n AS BIGINT) FROM r WHERE pos > 0)""", "scored_lines"))
+def q_compared_curves(spark, sf):
+    """M20 charts of two scorings of every line: as it is, and turned round."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+    rows = S.scored_lines(spark, sf)
+    parts = [rows.select(F.lit(m).alias("model"), F.col("y").cast("int").cast("double").alias("label"),
+                         F.expr(p).cast("int").cast("double").alias("prediction"), F.expr(x).cast("double").alias("score"))
+             for m, (x, p) in _CURVES.items()]
+    return r6(ML.compared_curves(reduce(lambda a, b: a.unionByName(b), parts)))
+
+
+@register("fold_linear_fits", _union([
+    f"SELECT {f} AS fold, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 6) AS intercept "
+    f"FROM part WHERE p_partkey % 3 <> {f}" for f in range(3)]))
+def q_fold_linear_fits(spark, sf):
+    """Least squares of every fold's other rows, from one shared pass."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from tessera.operators import grid as GR
+    from tessera.operators import shared as SH
+    rows = S.load(spark, sf, "part").select(
+        array_to_vector(F.array(F.col("p_size").cast("double"))).alias("features"), F.col("p_retailprice").cast("double").alias("label"),
+        F.lit(0).alias("split"), (F.col("p_partkey") % 3).alias("fold"), F.col("p_partkey").cast("long").alias("key"))
+    blocks, cuts = SH.pack(rows, "features", "label")
+    task = GR.Task(blocks, cuts, 0, SH.fits(3))
+    space, got = task.spaces["linear"], GR.least_squares(task).coefficients
+    out = []
+    for f in range(3):
+        slope = float(got[f + 1, 0, 0][0, 0] / space.scale[0])
+        out.append((f, slope, float(got[f + 1, 0, 0][1, 0] - slope * space.mean[0])))
+    return r6(spark.createDataFrame(out, "fold int, slope double, intercept double"))
+
+
 @register("feature_importances")
 def q_feature_importances(spark, sf):
     m = SC.fit_scoring_model(S.model_rows(spark, sf), MODEL_FEATURES, "label", "random_forest", task="classification",
