@@ -19,6 +19,11 @@ from pyspark.sql import types as T
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, with dots, blanks or quotes in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def dtype_name(dt: T.DataType) -> str:
     return dt.simpleString()
 
@@ -46,14 +51,14 @@ def categorical_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]
 
 
 def as_double(c: str | Column) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
+    col = named(c) if isinstance(c, str) else c
     return col.cast("double")
 
 
 def try_number(c: str | Column) -> Column:
     """Text → double, anything unparsable and ``nan`` → NULL, the one mark of a
     missing value (never raises under ANSI)."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = named(c) if isinstance(c, str) else c
     s = F.trim(col.cast("string"))
     number = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
     return F.when(~F.isnan(number), number)
@@ -80,10 +85,10 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            cols.append(F.round(named(f.name).cast("double"), digits).alias(f.name))
         else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+            cols.append(named(f.name))
+    return df.select(*map(named, cols))
 
 
 def _has_shuffle(df: DataFrame) -> bool:

@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import named
+
 
 def _order_cols(order_by: Sequence[str | Column], descending: bool) -> list[Column]:
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    cols = [named(c) if isinstance(c, str) else c for c in order_by]
     return [c.desc() if descending else c.asc() for c in cols]
 
 
@@ -56,6 +58,6 @@ def running_sums(df: DataFrame, order_by: Sequence[str | Column],
 def dense_index(df: DataFrame, col: str, index_col: str = "code") -> DataFrame:
     """Distinct non-NULL values of ``col`` with their 0-based rank in
     ascending order (a sorted dictionary), computed without one-task sort."""
-    d = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("__one", F.lit(1))
+    d = df.select(named(col)).where(named(col).isNotNull()).distinct().withColumn("__one", F.lit(1))
     r = running_sums(d, [col], ["__one"], inclusive=False)
     return r.select(col, F.col("cum___one").cast("int").alias(index_col))

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import named
+
 from tessera.functions.ordering import running_sums
 
 
@@ -30,7 +32,7 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     non-NULL values per group (one row per group with at least one value)."""
     by = list(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    v = F.col(value) if isinstance(value, str) else value
+    v = named(value) if isinstance(value, str) else value
     base = df.select(*by, v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
     vc = base.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
     cum = running_sums(vc, [*by, "__v"], ["__c"])                       # inclusive, global order

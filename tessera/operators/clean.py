@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import categorical_columns, null_safe_clip, numeric_columns
+from tessera.functions.columns import categorical_columns, named, null_safe_clip, numeric_columns
 from tessera.functions.ordering import dense_index
 from tessera.functions.quantiles import exact_quantiles
 from tessera.operators.profile import modes
@@ -25,7 +25,7 @@ def _cols_or_missing(df: DataFrame, cols: Sequence[str] | None, numeric: bool) -
     if cols is not None:
         return list(cols)
     pool = numeric_columns(df) if numeric else categorical_columns(df)
-    holes = set(columns_with_missing(df.select(*pool))) if pool else set()
+    holes = set(columns_with_missing(df.select(*map(named, pool)))) if pool else set()
     return [c for c in pool if c in holes]
 
 
@@ -35,10 +35,10 @@ def impute_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = _cols_or_missing(df, cols, numeric=True)
     if not cols:
         return df
-    st = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__fill_{i}") for i, c in enumerate(cols)])
+    st = df.agg(*[F.avg(named(c).cast("double")).alias(f"__fill_{i}") for i, c in enumerate(cols)])
     out = df.crossJoin(F.broadcast(st))
     for i, c in enumerate(cols):
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{i}")))
+        out = out.withColumn(c, F.coalesce(named(c).cast("double"), F.col(f"__fill_{i}")))
     return out.drop(*[f"__fill_{i}" for i in range(len(cols))])
 
 
@@ -51,16 +51,16 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None,
     if not cols:
         return df
     if approx:
-        st = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"__fill_{i}")
+        st = df.agg(*[F.percentile_approx(named(c).cast("double"), 0.5, accuracy).alias(f"__fill_{i}")
                       for i, c in enumerate(cols)])
     else:
-        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))
+        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), named(c).cast("double").alias("v"))
                                                 for i, c in enumerate(cols)])).alias("r")).select("r.*")
         med = exact_quantiles(stacked, "v", [0.5], ["i"], ["m"])
         st = med.agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"__fill_{i}") for i in range(len(cols))])
     out = df.crossJoin(F.broadcast(st))
     for i, c in enumerate(cols):
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{i}")))
+        out = out.withColumn(c, F.coalesce(named(c).cast("double"), F.col(f"__fill_{i}")))
     return out.drop(*[f"__fill_{i}" for i in range(len(cols))])
 
 
@@ -75,7 +75,7 @@ def impute_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                    for i, c in enumerate(cols)])
     out = df.crossJoin(F.broadcast(wide))
     for i, c in enumerate(cols):
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"__fill_{i}").cast(df.schema[c].dataType)))
+        out = out.withColumn(c, F.coalesce(named(c), F.col(f"__fill_{i}").cast(df.schema[c].dataType)))
     return out.drop(*[f"__fill_{i}" for i in range(len(cols))])
 
 
@@ -98,7 +98,7 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None, suffix: str =
     out = df
     for c in cols:
         d = dense_index(df, c, "__code").withColumnRenamed(c, "__key")
-        out = (out.join(d, on=F.col(c) == F.col("__key"), how="left")
+        out = (out.join(d, on=named(c) == F.col("__key"), how="left")
                .withColumn(c + suffix, F.coalesce(F.col("__code"), F.lit(-1)).cast("int"))
                .drop("__code", "__key"))
     return out
@@ -121,7 +121,7 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else categorical_columns(df)
     if not cols:
         return df
-    pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
+    pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), named(c).cast("string").alias("v"))
                                             for i, c in enumerate(cols)])).alias("r"))
              .select("r.*").where(F.col("v").isNotNull()).distinct().collect())
     values: dict[int, list[str]] = {i: [] for i in range(len(cols))}
@@ -130,20 +130,20 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     new_cols = []
     for i, c in enumerate(cols):
         vals = sorted(values[i])
-        new_cols += [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for v in vals]
-    keep = [F.col(c) for c in df.columns if c not in cols]
+        new_cols += [F.coalesce(named(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for v in vals]
+    keep = [named(c) for c in df.columns if c not in cols]
     return df.select(*keep, *new_cols)
 
 
 def log_transform(df: DataFrame, col: str) -> DataFrame:
     """log(1 + max(x, 0)); NULL stays NULL."""
-    x = F.col(col).cast("double")
+    x = named(col).cast("double")
     return df.withColumn(col, F.log1p(null_safe_clip(x, lo=F.lit(0.0))))
 
 
 def standard_scale(df: DataFrame, col: str) -> DataFrame:
     """(x - mean) / sample std; a constant column gives NULL."""
-    x = F.col(col).cast("double")
+    x = named(col).cast("double")
     st = df.agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"))
     return (df.crossJoin(F.broadcast(st))
             .withColumn(col, F.try_divide(x - F.col("__m"), F.col("__s")))
@@ -152,7 +152,7 @@ def standard_scale(df: DataFrame, col: str) -> DataFrame:
 
 def minmax_scale(df: DataFrame, col: str) -> DataFrame:
     """C11: (x - min) / (max - min); a constant column gives NULL."""
-    x = F.col(col).cast("double")
+    x = named(col).cast("double")
     st = df.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     return (df.crossJoin(F.broadcast(st))
             .withColumn(col, F.try_divide(x - F.col("__lo"), F.col("__hi") - F.col("__lo")))
@@ -162,7 +162,7 @@ def minmax_scale(df: DataFrame, col: str) -> DataFrame:
 def iqr_fences(df: DataFrame, col: str, by: str | None = None, k: float = 1.5,
                approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Quartiles and fences per group: ``(by?, q1, q3, lo_fence, hi_fence)``."""
-    x = F.col(col).cast("double")
+    x = named(col).cast("double")
     keys = [by] if by else []
     g = df.where(x.isNotNull())
     if approx:
@@ -180,7 +180,7 @@ def iqr_outliers(df: DataFrame, col: str, by: str | None = None, k: float = 1.5,
                  approx: bool = False) -> DataFrame:
     """Rows strictly outside the 1.5·IQR fences (of their group)."""
     f = iqr_fences(df, col, by, k, approx).drop("q1", "q3")
-    x = F.col(col).cast("double")
+    x = named(col).cast("double")
     joined = df.join(f, by) if by else df.crossJoin(F.broadcast(f))
     return joined.where((x < F.col("lo_fence")) | (x > F.col("hi_fence"))).drop("lo_fence", "hi_fence")
 
@@ -189,5 +189,5 @@ def cast_types(df: DataFrame, mapping: dict[str, T.DataType | str]) -> DataFrame
     """Explicit casts (used by plans); unparsable values raise under ANSI."""
     out = df
     for c, t in mapping.items():
-        out = out.withColumn(c, F.col(c).cast(t))
+        out = out.withColumn(c, named(c).cast(t))
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import dtype_name, is_numeric, numeric_columns, spread, zscore
+from tessera.functions.columns import dtype_name, is_numeric, named, numeric_columns, spread, zscore
 
 # Advice lines of the recommendation report, as worded in the
 # application this library re-implements.
@@ -25,7 +25,7 @@ ADVICE_REGRESSION = "Recommended: Regression models (Linear Regression, Random F
 
 
 def _distinct(c: str, approx: bool, rsd: float) -> Column:
-    return F.approx_count_distinct(c, rsd) if approx else F.count_distinct(F.col(c))
+    return F.approx_count_distinct(named(c), rsd) if approx else F.count_distinct(named(c))
 
 
 def _explode_rows(one_row: DataFrame, structs: list[Column]) -> DataFrame:
@@ -35,7 +35,7 @@ def _explode_rows(one_row: DataFrame, structs: list[Column]) -> DataFrame:
 def missing_counts(df: DataFrame) -> DataFrame:
     """G1: ``(position, column, missing)`` — NULL count per column."""
     cols = df.columns
-    agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
+    agg = df.agg(*[F.count_if(named(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
     return _explode_rows(agg, [
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                  F.col(f"m{i}").cast("bigint").alias("missing"))
@@ -47,7 +47,7 @@ def missing_pct(df: DataFrame) -> DataFrame:
     empty table."""
     cols = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
+                 *[F.count_if(named(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
     return _explode_rows(agg, [
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                  F.col(f"m{i}").cast("bigint").alias("missing"),
@@ -86,7 +86,7 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> Da
         df = spread(df)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
-        aggs.append(F.count(F.col(f.name)).alias(f"nn{i}"))
+        aggs.append(F.count(named(f.name)).alias(f"nn{i}"))
         aggs.append(_distinct(f.name, approx, rsd).alias(f"u{i}"))
     agg = df.agg(*aggs)
     return _explode_rows(agg, [
@@ -104,7 +104,7 @@ def stats_row(df: DataFrame, cols: Sequence[str], prefix: str = "") -> DataFrame
     so the broadcast size is fixed."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         aggs += [F.avg(x).alias(f"{prefix}mean_{i}"), F.stddev_samp(x).alias(f"{prefix}std_{i}")]
     return df.agg(*aggs)
 
@@ -115,7 +115,7 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     agg = df.agg(*aggs)
@@ -130,7 +130,7 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def _top_by_count(counts: DataFrame, key: str | None, value: str, n: str) -> DataFrame:
     """Most frequent value per key, smallest value on ties, by a min over
     ``struct(-count, value)`` — a partial/final aggregate, no sort."""
-    best = F.min(F.struct((-F.col(n)).alias("neg"), F.col(value).alias("v"))).alias("b")
+    best = F.min(F.struct((-named(n)).alias("neg"), named(value).alias("v"))).alias("b")
     g = counts.groupBy(key).agg(best) if key else counts.agg(best)
     sel = [key] if key else []
     return g.select(*sel, F.col("b.v").alias("mode"), (-F.col("b.neg")).cast("bigint").alias("count"))
@@ -140,7 +140,7 @@ def mode_value(df: DataFrame, col: str) -> DataFrame:
     """``(column, mode, count)`` — most frequent non-NULL value, the
     smallest on ties.  ``groupBy(value)`` first (map-side combined, so one
     hot value costs one partial row per partition)."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(named(col).isNotNull()).groupBy(named(col)).agg(F.count(F.lit(1)).alias("n"))
     return _top_by_count(counts, None, col, "n").select(F.lit(col).alias("column"), "mode", "count")
 
 
@@ -148,7 +148,7 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Modes of several columns in one job: ``(column, mode, count)`` with the
     mode as text (columns are stacked into one ``(column, value)`` stream)."""
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in cols
     ])).alias("r")).select("r.*").where(F.col("value").isNotNull())
     counts = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     return _top_by_count(counts, "column", "value", "n")
@@ -162,26 +162,26 @@ def group_agg(df: DataFrame, x: str, y: str, fn: str = "mean") -> DataFrame:
     """
     if not is_numeric(df.schema[y].dataType, include_bool=True):
         raise TypeError(f"y column {y!r} must be numeric for a bar chart")
-    base = df.select(x, y).where(F.col(x).isNotNull())
+    base = df.select(named(x), named(y)).where(named(x).isNotNull())
     if fn == "none":
         return base
-    yv = F.col(y).cast("double") if isinstance(df.schema[y].dataType, T.BooleanType) else F.col(y)
+    yv = named(y).cast("double") if isinstance(df.schema[y].dataType, T.BooleanType) else named(y)
     agg = {"mean": F.avg(yv),
            "sum": F.coalesce(F.sum(yv), F.lit(0)),
            "count": F.count(yv)}.get(fn)
     if agg is None:
         raise ValueError(f"unknown aggregation {fn!r}")
-    return base.groupBy(x).agg(agg.alias(y))
+    return base.groupBy(named(x)).agg(agg.alias(y))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """G8 pie data: ``(col, count, pct)``, most frequent first (ties by value);
     pct is the share of non-NULL rows.  The total comes from a one-row
     aggregate joined by broadcast, not from an unpartitioned window."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.where(named(col).isNotNull()).groupBy(named(col)).agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("__total"))
     return (counts.crossJoin(F.broadcast(total))
-            .select(col, "count", (F.col("count") * 100.0 / F.col("__total")).alias("pct"))
+            .select(named(col), "count", (F.col("count") * 100.0 / F.col("__total")).alias("pct"))
             .orderBy(F.desc("count"), F.asc(col)))
 
 
@@ -199,7 +199,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     cols = list(cols) if cols is not None else numeric_columns(df, include_bool=True)
     if not cols:
         raise ValueError("no numeric columns to correlate")
-    x = [F.col(c).cast("double") for c in cols]
+    x = [named(c).cast("double") for c in cols]
     first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
                    *[F.count(v).alias(f"c{i}") for i, v in enumerate(x)]).first()
     means = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
@@ -258,9 +258,9 @@ def outlier_counts(df: DataFrame, k: float = 3.0, cols: Sequence[str] | None = N
     column.  Two jobs in total: one stats row, then one counting pass."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     st = stats_row(df, cols, "__")
-    joined = df.select(*cols).crossJoin(F.broadcast(st))
+    joined = df.select(*map(named, cols)).crossJoin(F.broadcast(st))
     agg = joined.agg(*[
-        F.count_if(F.abs(zscore(F.col(c).cast("double"), F.col(f"__mean_{i}"), F.col(f"__std_{i}"))) > k)
+        F.count_if(F.abs(zscore(named(c).cast("double"), F.col(f"__mean_{i}"), F.col(f"__std_{i}"))) > k)
         .alias(f"o{i}") for i, c in enumerate(cols)])
     return _explode_rows(agg, [
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
@@ -283,7 +283,7 @@ def detect_task(df: DataFrame, target: str, threshold: int = 10) -> DataFrame:
     values (``distinct().limit``), enough to decide.
     """
     is_text = isinstance(df.schema[target].dataType, T.StringType)
-    d = (df.select(target).where(F.col(target).isNotNull()).distinct()
+    d = (df.select(named(target)).where(named(target).isNotNull()).distinct()
          .limit(threshold).agg(F.count(F.lit(1)).alias("distinct_seen")))
     task = F.lit("classification") if is_text else \
         F.when(F.col("distinct_seen") < threshold, "classification").otherwise("regression")
@@ -292,7 +292,7 @@ def detect_task(df: DataFrame, target: str, threshold: int = 10) -> DataFrame:
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """``(label, count)`` rows per class, NULL label excluded."""
-    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("count"))
+    return df.where(named(label).isNotNull()).groupBy(named(label)).agg(F.count(F.lit(1)).alias("count"))
 
 
 def max_folds(df: DataFrame, label: str, folds: int = 3) -> int:

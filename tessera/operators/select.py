@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal, InvalidOperation
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import is_numeric, null_safe_clip, try_number, zscore
+from tessera.functions.columns import is_numeric, named, null_safe_clip, try_number, zscore
 from tessera.operators.profile import stats_row
 
 
@@ -30,7 +32,7 @@ def select_features(df: DataFrame, features: Sequence[str] | None = None,
     missing = [c for c in [*features, target] if c not in cols]
     if missing:
         raise ValueError(f"unknown columns {missing}")
-    return df.select(*features, target)
+    return df.select(*map(named, [*features, target]))
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -41,7 +43,7 @@ def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def columns_with_missing(df: DataFrame) -> list[str]:
     """Names of columns holding at least one NULL (one aggregate, one row
     to the driver)."""
-    row = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(f"m{i}")
+    row = df.agg(*[F.max(named(c).isNull().cast("int")).alias(f"m{i}")
                    for i, c in enumerate(df.columns)]).first()
     return [c for i, c in enumerate(df.columns) if row and row[f"m{i}"] == 1]
 
@@ -60,7 +62,7 @@ def to_string(df: DataFrame, col: str, null_text: str | None = None,
               out: str | None = None) -> DataFrame:
     """Text form.  NULL stays NULL unless ``null_text`` is given (the
     original application produced the text ``nan``)."""
-    s = F.col(col).cast("string")
+    s = named(col).cast("string")
     if null_text is not None:
         s = F.coalesce(s, F.lit(null_text))
     return df.withColumn(out or col, s)
@@ -101,12 +103,12 @@ def filter_exact(df: DataFrame, col: str, text: str | None) -> DataFrame:
     dt = df.schema[col].dataType
     if is_numeric(dt):
         literal = _exact_literal(text.strip(), dt)
-        return df.where(F.lit(False) if literal is None else F.col(col) == literal)
+        return df.where(F.lit(False) if literal is None else named(col) == literal)
     if isinstance(dt, T.BooleanType):
-        return df.where(F.col(col) == (text.strip().lower() == "true"))
+        return df.where(named(col) == (text.strip().lower() == "true"))
     if isinstance(dt, T.StringType):
-        return df.where(F.col(col) == F.lit(text))
-    return df.where(F.col(col).cast("string") == F.lit(text))
+        return df.where(named(col) == F.lit(text))
+    return df.where(named(col).cast("string") == F.lit(text))
 
 
 def filter_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
@@ -116,9 +118,9 @@ def filter_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
         return df
     cond = F.lit(True)
     if lo is not None:
-        cond = cond & (F.col(col) >= F.lit(lo))
+        cond = cond & (named(col) >= F.lit(lo))
     if hi is not None:
-        cond = cond & (F.col(col) <= F.lit(hi))
+        cond = cond & (named(col) <= F.lit(hi))
     return df.where(cond)
 
 
@@ -134,24 +136,27 @@ def filter_in(df: DataFrame, col: str, values: Sequence | DataFrame | None) -> D
     values = list(values)
     if not values:
         return df
-    return df.where(F.col(col).isin(values))
+    return df.where(named(col).isin(values))
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """distinct non-NULL values (choices for F3)."""
-    return df.select(col).where(F.col(col).isNotNull()).distinct()
+    return df.select(named(col)).where(named(col).isNotNull()).distinct()
 
 
 def drop_missing_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """drop rows with a NULL in any (or the given) column."""
-    return df.na.drop("any", subset=list(subset) if subset else None)
+    """drop rows with a NULL (or NaN) in any (or the given) column."""
+    def there(c: str):
+        known = named(c).isNotNull()
+        return known & ~F.isnan(named(c)) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else known
+    return df.where(reduce(and_, [there(c) for c in subset or df.columns], F.lit(True)))
 
 
 def with_zscore(df: DataFrame, col: str, out: str = "z") -> DataFrame:
     """Add the z-score of ``col`` (sample std) from a broadcast stats row."""
     st = stats_row(df, [col], "__")
     return (df.crossJoin(F.broadcast(st))
-            .withColumn(out, zscore(F.col(col).cast("double"), F.col("__mean_0"), F.col("__std_0")))
+            .withColumn(out, zscore(named(col).cast("double"), F.col("__mean_0"), F.col("__std_0")))
             .drop("__mean_0", "__std_0"))
 
 
@@ -173,7 +178,7 @@ def cap_outliers(df: DataFrame, col: str, k: float = 3.0) -> DataFrame:
     """Clip to mean ± k·std; NULL stays NULL."""
     st = stats_row(df, [col], "__")
     m, s = F.col("__mean_0"), F.col("__std_0")
-    x = F.col(col).cast("double")
+    x = named(col).cast("double")
     return (df.crossJoin(F.broadcast(st))
             .withColumn(col, null_safe_clip(x, m - k * s, m + k * s))
             .drop("__mean_0", "__std_0"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import NUMBER_PATTERN
+from tessera.functions.columns import NUMBER_PATTERN, named
 
 # The default missing-value tokens of the pandas CSV reader.
 DEFAULT_NA_TOKENS = (
@@ -60,10 +60,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         raise EmptyTableError(f"no columns found in {path}")
     tokens = list(na_tokens)
     cleaned = raw.select(*[
-        F.when(F.col(c).isin(tokens), F.lit(None)).otherwise(F.col(c)).alias(c) for c in raw.columns])
+        F.when(named(c).isin(tokens), F.lit(None)).otherwise(named(c)).alias(c) for c in raw.columns])
     if not infer:
         return cleaned
-    return cleaned.select(*[F.trim(F.col(c)).cast(t).alias(c) if t != "string" else F.col(c)
+    return cleaned.select(*[F.trim(named(c)).cast(t).alias(c) if t != "string" else named(c)
                             for c, t in infer_types(cleaned).items()])
 
 
@@ -71,7 +71,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     """One aggregate over all text columns → Spark type name per column."""
     aggs = []
     for i, c in enumerate(df.columns):
-        s = F.col(c)
+        s = named(c)
         aggs += [F.count(s).alias(f"n{i}"),
                  F.count_if(s.rlike(INT_PATTERN) & s.try_cast("bigint").isNotNull()).alias(f"i{i}"),
                  F.count_if(s.rlike(NUMBER_PATTERN)).alias(f"d{i}"),
