@@ -305,6 +305,9 @@ def packed_task(df: DataFrame, features: Sequence[str], target: str, id_col: str
         folds = max_folds(train, LABEL, folds)
     rows = train.drop("fold").withColumn("split", F.lit(0)).unionByName(test.withColumn("split", F.lit(1)))
     rows = add_folds(rows, id_col, folds, seed).withColumn("key", F.xxhash64(id_col, vector_to_array(FEATURES)))
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < slots:  # few splits: every pass would leave slots idle
+        rows = rows.repartition(slots)
     blocks, cuts = SH.pack(rows, FEATURES, LABEL)
     for part in (train, test):
         part.unpersist()
