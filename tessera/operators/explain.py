@@ -13,10 +13,10 @@ the executor kernel (``mapInPandas``) computes each row's pattern per leaf
 with numpy and adds the looked-up values.  Σφ + base equals the model
 output exactly (base = Σ v·Π z).
 
-**Permutation importance** stacks all (feature, repeat) copies into one
-DataFrame: inside each copy the feature column is re-paired by two
-independent hash orders (global ranks from range partitioning, never one
-task), then one ``transform`` and one grouped metric.
+**Permutation importance** stacks (feature, repeat) copies, as many at a time
+as hold a bounded number of rows: inside each copy the feature column is
+re-paired by two independent hash orders (global ranks from parts of
+the hash range, never one task), then one ``transform`` and one grouped metric.
 
 **Local surrogate (LIME-style)**: perturbations of the chosen rows are a
 cross join with a fixed-size ``range(n)``; one weighted ridge fit per row
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import spread
-from tessera.functions.ordering import running_sums
 from tessera.session import scratch_dir
 
 # --------------------------------------------------------------------------
@@ -298,6 +297,40 @@ def _score(pred: DataFrame, label: str, task: str, by: list[str]) -> DataFrame:
         (1 - F.sum(F.pow(y - F.col("prediction"), 2)) / (F.count(y) * F.var_pop(y))).alias("score"))
 
 
+#: Rows of permuted copies that one job pairs and scores, and rows of a part of a hash order.
+PAIRED, PART = 2_000_000, 100_000
+
+
+def _paired(df: DataFrame, n: int, copies: dict[int, str], id_col: str, seed: int) -> DataFrame:
+    """The n rows of ``df`` once for each of ``copies`` (number ``__copy`` ->
+    feature), that feature's values dealt out anew: the row at a place in one
+    hash order gets the value of the row at that place in another.
+
+    A hash order is cut into parts at fixed hashes, which are even as hashes
+    are; a place is the row's number in its part after the rows of the parts
+    before, so no row is lost or met twice."""
+    used, parts = list(dict.fromkeys(copies.values())), -(-n // PART)
+    ex = df.select("*", F.explode(F.array(*[F.lit(i) for i in copies])).alias("__copy"))
+    before = Window.partitionBy("__copy").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__copy", "__part").orderBy("__h", id_col)
+
+    def placed(rows: DataFrame, salt: int) -> DataFrame:
+        rows = rows.withColumn("__h", F.xxhash64(F.col(id_col), F.col("__copy"), F.lit(salt))) \
+            .withColumn("__part", F.floor((F.shiftright("__h", 32) + (1 << 31)) * parts / (1 << 32)))
+        sizes = rows.groupBy("__copy", "__part").agg(F.count(F.lit(1)).alias("__n"))
+        starts = sizes.select("__copy", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        return rows.withColumn("__pos", F.row_number().over(inside)).join(F.broadcast(starts), ["__copy", "__part"]) \
+            .withColumn("__pos", F.col("__pos") + F.col("__start")).drop("__h", "__part", "__start")
+
+    vals = placed(ex.select("__copy", id_col, *used), seed + 7919) \
+        .select("__copy", "__pos", *[F.col(f).alias(f"__val{i}") for i, f in enumerate(used)])
+    j = placed(ex, seed).join(vals, ["__copy", "__pos"])
+    for i, f in enumerate(used):
+        mine = F.col("__copy").isin([c for c, g in copies.items() if g == f])
+        j = j.withColumn(f, F.when(mine, F.col(f"__val{i}")).otherwise(F.col(f)))
+    return j.select(*df.columns, "__copy")
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str,
                            id_col: str, task: str = "classification", repeats: int = 5,
                            seed: int = 42) -> DataFrame:
@@ -305,38 +338,42 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     feature's column permuted, mean and std over ``repeats``, highest
     first.  ``label`` must be in the model's own label space (for a
     classification PipelineModel from ``fit_scoring_model``, compare
-    ``predicted_label`` with the raw target)."""
+    ``predicted_label`` with the raw target).
+
+    Copies are scored some at a time (``PAIRED`` rows, one copy at least) and
+    each job's shuffle files go with it, so that the disk in use grows with
+    the rows, not with rows times copies."""
+    spark = df.sparkSession
+    df = df.persist()
     n = df.count()
     feats = list(features)
-    copies = [(f, r) for f in feats for r in range(repeats)]
-    base_df = df.withColumn("__copy", F.lit(-1))
-    # position of each row inside copy c by two independent hash orders
-    ex = df.select("*", F.explode(F.array(*[F.lit(i) for i in range(len(copies))])).alias("__copy"))
-    h_key = F.xxhash64(F.col(id_col), F.col("__copy"), F.lit(seed))
-    h_val = F.xxhash64(F.col(id_col), F.col("__copy"), F.lit(seed + 7919))
-    keys = running_sums(ex.select("*", h_key.alias("__hk"), F.lit(1).alias("__one")),
-                        ["__copy", "__hk", id_col], ["__one"])
-    keys = keys.withColumn("__pos", F.col("cum___one") - F.col("__copy") * n).drop("cum___one", "__one", "__hk")
-    fcol = F.create_map(*[x for i, (f, _) in enumerate(copies) for x in (F.lit(i), F.lit(feats.index(f)))])
-    vals = running_sums(ex.select("__copy", id_col, *feats, h_val.alias("__hv"), F.lit(1).alias("__one")),
-                        ["__copy", "__hv", id_col], ["__one"])
-    vals = vals.select("__copy", (F.col("cum___one") - F.col("__copy") * n).alias("__pos"),
-                       F.array(*[F.col(f).cast("string") for f in feats]).alias("__vals"))
-    j = keys.join(vals, ["__copy", "__pos"])
-    # replace only the copy's feature with the partner row's value
-    for i, f in enumerate(feats):
-        dt = df.schema[f].dataType
-        j = j.withColumn(f, F.when(fcol[F.col("__copy")] == i, F.col("__vals")[i].cast(dt)).otherwise(F.col(f)))
-    permuted = j.drop("__pos", "__vals")
-    stacked = base_df.unionByName(permuted.select(*base_df.columns))
-    pred = model.transform(stacked)
-    pcol = "predicted_label" if "predicted_label" in pred.columns else "prediction"
-    if pcol != "prediction":
-        pred = pred.drop("prediction").withColumnRenamed(pcol, "prediction")
-    scores = _score(pred, label, task, ["__copy"])
-    base = scores.where(F.col("__copy") == -1).select(F.col("score").alias("__base"))
-    cmap = F.create_map(*[x for i, (f, _) in enumerate(copies) for x in (F.lit(i), F.lit(f))])
-    per = scores.where(F.col("__copy") >= 0).crossJoin(F.broadcast(base)) \
+    copies = dict(enumerate(f for f in feats for _ in range(repeats)))
+
+    def scores(stacked: DataFrame) -> list:
+        pred = model.transform(stacked)
+        pcol = "predicted_label" if "predicted_label" in pred.columns else "prediction"
+        if pcol != "prediction":
+            pred = pred.drop("prediction").withColumnRenamed(pcol, "prediction")
+        return _score(pred, label, task, ["__copy"]).select("__copy", F.col("score").cast("double")).collect()
+
+    at_once = max(1, PAIRED // max(n, 1))
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")  # a job's shuffle files are not needed after it
+    try:
+        found = scores(df.withColumn("__copy", F.lit(-1)))
+        for lo in range(0, len(copies), at_once):
+            found += scores(_paired(df, n, dict(list(copies.items())[lo:lo + at_once]), id_col, seed))
+    finally:
+        if before is None:
+            spark.conf.unset(cleanup)
+        else:
+            spark.conf.set(cleanup, before)
+        df.unpersist()
+    got = spark.createDataFrame([tuple(r) for r in found], "__copy int, score double")
+    base = got.where(F.col("__copy") == -1).select(F.col("score").alias("__base"))
+    cmap = F.create_map(*[x for i, f in copies.items() for x in (F.lit(i), F.lit(f))])
+    per = got.where(F.col("__copy") >= 0).crossJoin(F.broadcast(base)) \
         .select(cmap[F.col("__copy")].alias("feature"), (F.col("__base") - F.col("score")).alias("drop"))
     return per.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std")) \
         .orderBy(F.desc("importance"))

@@ -1006,12 +1006,16 @@ def q_shap_importance(spark, sf):
     return EX.shap_importance(EX.tree_shap(model, test, "row_id", EXPLAIN_FEATURES)[0])
 
 
+def _permuted_rows(test):
+    """The columns that the model and its score read, the label as text."""
+    from pyspark.sql import functions as F
+    return test.select("row_id", *EXPLAIN_FEATURES, F.col("label").cast("string").alias("label"))
+
+
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    from pyspark.sql import functions as F
     model, _, test = _explain_setup(spark, sf)
-    t = test.withColumn("label", F.col("label").cast("string"))
-    return EX.permutation_importance(model, t, EXPLAIN_FEATURES, "label", "row_id", "classification", 5)
+    return EX.permutation_importance(model, _permuted_rows(test), EXPLAIN_FEATURES, "label", "row_id", "classification", 5)
 
 
 @register("lime_rows")

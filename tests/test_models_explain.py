@@ -62,6 +62,29 @@ def test_permutation_importance_unused_column_zero(spark, planted):
     assert abs(imp.loc["x2", "importance"]) < 0.03
 
 
+@pytest.mark.parametrize("at_once", [1, 45_000, 10**9])
+def test_permutation_keeps_every_row_once(spark, monkeypatch, at_once):
+    """Under a label that all rows share the score is the share of one value, which no dealing out changes."""
+    class Model:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("x"))
+
+    rows = spark.range(20_000, numPartitions=4).select(
+        "id", (F.col("id") % 7).cast("double").alias("x"), F.rand(1).alias("z"), F.lit("3.0").alias("y"))
+    monkeypatch.setattr(EX, "PAIRED", at_once, raising=False)
+    imp = EX.permutation_importance(Model(), rows, ["x", "z"], "y", "id", repeats=2).collect()
+    assert sorted((r["feature"], r["importance"], r["std"]) for r in imp) == [("x", 0.0, 0.0), ("z", 0.0, 0.0)]
+
+
+def test_permuted_pairs_are_those_of_the_hash_orders(spark):
+    rows = spark.range(3_000).select("id", (F.col("id") * 3).alias("x"), F.col("id").alias("kept"))
+    orders = rows.select("id", *[F.xxhash64("id", F.lit(4), F.lit(s)).alias(n) for n, s in (("k", 9), ("v", 9 + 7919))]).toPandas()
+    by_k, by_v = (orders.sort_values([c, "id"])["id"].to_numpy() for c in "kv")
+    got = EX._paired(rows, 250_000, {4: "x"}, "id", 9).toPandas()
+    assert len(got) == 3_000 and (got["kept"] == got["id"]).all() and (got["__copy"] == 4).all()
+    assert dict(zip(got["id"], got["x"])) == dict(zip(by_k.tolist(), (by_v * 3).tolist()))
+
+
 def test_lime_recovers_sign(spark, planted):
     model = SC.fit_scoring_model(planted, ["x1", "x2"], "y", "logistic_regression", task="classification")
     rows = planted.where("id < 3")
