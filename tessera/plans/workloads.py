@@ -1030,11 +1030,9 @@ def q_lime_rows(spark, sf):
 
 @register("explanation_report")
 def q_explanation_report(spark, sf):
-    from pyspark.sql import functions as F
     model, _, test = _explain_setup(spark, sf)
     imp = EX.shap_importance(EX.tree_shap(model, test, "row_id", EXPLAIN_FEATURES)[0])
-    perm = EX.permutation_importance(model, test.withColumn("label", F.col("label").cast("string")),
-                                     EXPLAIN_FEATURES, "label", "row_id", "classification", 5)
+    perm = EX.permutation_importance(model, _permuted_rows(test), EXPLAIN_FEATURES, "label", "row_id", "classification", 5)
     return RPT.explanation_report(imp, perm)
 
 
