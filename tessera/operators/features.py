@@ -44,20 +44,31 @@ def anova_f(df: DataFrame, label: str, cols: Sequence[str] | None = None) -> Dat
 
     Shifted one-pass sums: a broadcast row of global means, then one
     ``groupBy(label)`` with n, Σ(x-m), Σ(x-m)² per column, then the F formula
-    over the k group rows.
+    over the k group rows.  A text column is counted by (label, text) first and
+    only these counts meet its dictionary, so no row of the table is moved.
     """
     if cols is None:
         usable = {*numeric_columns(df), *categorical_columns(df)} - {label}
         cols = [c for c in df.columns if c in usable]
     cols = list(cols)
     text = [c for c in cols if c in categorical_columns(df)]
-    base = label_encode(df.where(F.col(label).isNotNull()), text) if text else df.where(F.col(label).isNotNull())
-    means = base.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m{i}") for i, c in enumerate(cols)])
-    j = base.crossJoin(F.broadcast(means))
-    g = j.groupBy(label).agg(
+    base = df.where(F.col(label).isNotNull())
+    num = [(i, F.col(c).cast("double")) for i, c in enumerate(cols) if c not in text]
+    means = base.agg(F.count(F.lit(1)).alias("__rows"), *[F.avg(x).alias(f"__m{i}") for i, x in num])
+    g = base.crossJoin(F.broadcast(means)).groupBy(label).agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.sum(F.col(c).cast("double") - F.col(f"__m{i}")).alias(f"__s{i}") for i, c in enumerate(cols)],
-        *[F.sum(F.pow(F.col(c).cast("double") - F.col(f"__m{i}"), 2)).alias(f"__q{i}") for i, c in enumerate(cols)])
+        *[F.sum(x - F.col(f"__m{i}")).alias(f"__s{i}") for i, x in num],
+        *[F.sum(F.pow(x - F.col(f"__m{i}"), 2)).alias(f"__q{i}") for i, x in num])
+    for i, c in enumerate(cols):
+        if c not in text:
+            continue
+        counts = label_encode(base.groupBy(F.col(label).alias("__label"), F.col(c).alias("__text"))
+                              .agg(F.count(F.lit(1)).cast("double").alias("__c")), ["__text"])
+        mean = counts.agg((F.sum(F.col("__text") * F.col("__c")) / F.sum("__c")).alias("__m"))
+        off = F.col("__text") - F.col("__m")
+        sums = counts.crossJoin(F.broadcast(mean)).groupBy("__label").agg(
+            F.sum(off * F.col("__c")).alias(f"__s{i}"), F.sum(F.pow(off, 2) * F.col("__c")).alias(f"__q{i}"))
+        g = g.join(sums, F.col(label) == F.col("__label")).drop("__label")
     tot = g.agg(F.sum("__n").alias("N"), F.count(F.lit(1)).alias("k"),
                 *[F.sum(F.pow(F.col(f"__s{i}"), 2) / F.col("__n")).alias(f"b{i}") for i in range(len(cols))],
                 *[F.sum(f"__s{i}").alias(f"s{i}") for i in range(len(cols))],

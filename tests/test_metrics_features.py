@@ -1,4 +1,6 @@
 """Metrics against brute force; split and fold properties."""
+import re
+
 import math
 
 import numpy as np
@@ -88,6 +90,21 @@ def test_split_independent_of_partitioning(spark):
     assert folds == {0, 1, 2, 3}
 
 
+def test_anova_counts_text_before_it_meets_the_dictionary(spark):
+    rows = [(i % 3, None if i % 11 == 0 else "abc"[(i * i) % 3], float(i % 7), i % 13 == 0) for i in range(300)]
+    df = spark.createDataFrame([("g" + str(g) if not drop else None, t, x) for g, t, x, drop in rows], "g string, t string, x double")
+    out = K.anova_f(df, "g")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftOuter.*\n(?:[:+\- |]*Project.*\n)*[:+\- |]*Aggregate", plan)
+    codes = {None: -1, "a": 0, "b": 1, "c": 2}
+    for r, at in zip(out.orderBy("position").collect(), (1, 2)):
+        groups = [np.array([float(codes[row[1]] if at == 1 else row[2]) for row in rows if row[0] == g and not row[3]]) for g in range(3)]
+        whole = np.concatenate(groups)
+        between = sum(len(v) * (v.mean() - whole.mean()) ** 2 for v in groups) / 2
+        within = sum(((v - v.mean()) ** 2).sum() for v in groups) / (len(whole) - 3)
+        assert abs(r["f_value"] - between / within) < 1e-9
+
+
 def test_anova_matches_numpy(spark):
     rng = np.random.RandomState(2)
     g = rng.randint(0, 3, 300)
