@@ -19,6 +19,10 @@ from tessera.functions.ordering import dense_index
 from tessera.functions.quantiles import exact_quantiles
 from tessera.operators.profile import modes
 from tessera.operators.select import columns_with_missing
+from tessera.session import ensure_checkpoint_dir
+
+#: Bytes of a dictionary that is sent to the rows instead of joined by shuffle.
+DICTIONARY = 8 << 20
 
 
 def _cols_or_missing(df: DataFrame, cols: Sequence[str] | None, numeric: bool) -> list[str]:
@@ -92,13 +96,16 @@ def impute_mean_mode(df: DataFrame) -> DataFrame:
 def label_encode(df: DataFrame, cols: Sequence[str] | None = None, suffix: str = "") -> DataFrame:
     """code = rank of the value among the sorted distinct values, NULL →
     -1.  The dictionary is built by a range-partitioned sort (no one-task
-    window) and joined back; AQE turns the join into a broadcast when the
-    dictionary is small and keeps a shuffle join when it is not."""
+    window) and kept in a checkpoint, so that its size is known: one of at most
+    ``DICTIONARY`` bytes goes to the rows (a frequent value would send its rows
+    to one task), a larger one is joined by shuffle."""
     cols = list(cols) if cols is not None else categorical_columns(df)
+    ensure_checkpoint_dir(df.sparkSession)
     out = df
     for c in cols:
-        d = dense_index(df, c, "__code").withColumnRenamed(c, "__key")
-        out = (out.join(d, on=named(c) == F.col("__key"), how="left")
+        d = dense_index(df, c, "__code").withColumnRenamed(c, "__key").checkpoint()
+        size = d.agg(F.sum(F.octet_length(F.col("__key").cast("string")) + 64)).first()[0] or 0
+        out = (out.join(F.broadcast(d) if size <= DICTIONARY else d, on=named(c) == F.col("__key"), how="left")
                .withColumn(c + suffix, F.coalesce(F.col("__code"), F.lit(-1)).cast("int"))
                .drop("__code", "__key"))
     return out

@@ -97,6 +97,20 @@ def test_label_encode_null_is_minus_one(mixed_small):
     assert out == {1: 0, 2: 1, 3: 1, 4: -1, 5: 0, 6: 2, 7: 2, 8: 0}
 
 
+def test_label_encode_moves_no_rows_for_a_small_dictionary(spark, monkeypatch):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = C.label_encode(rows, ["k"])
+        assert "Exchange hashpartitioning" not in small._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(C, "DICTIONARY", 0)
+        large = C.label_encode(rows, ["k"])
+        assert "Exchange hashpartitioning" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(small.collect()) == sorted(large.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_one_hot_null_row_all_false(mixed_small):
     out = C.one_hot(mixed_small, ["k"])
     assert [c for c in out.columns if c.startswith("k_")] == ["k_a", "k_b", "k_c"]
