@@ -412,12 +412,15 @@ def lime_rows(model: PipelineModel, train: DataFrame, rows: DataFrame, features:
 
     tb = train.select(*[bin_of(i, F.col(f).cast("double")).alias(f"b{i}") for i, f in enumerate(feats)],
                       *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(feats)])
+    # the bins of all features from one pass
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("b"), F.col(f"x{i}").alias("x")) for i in range(p)])
+    found = tb.select(F.inline(cells)).groupBy("i", "b").agg(
+        F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "b").collect()
     stats = []
     for i in range(p):
-        st = tb.groupBy(f"b{i}").agg(F.count(F.lit(1)).alias("c"), F.min(f"x{i}").alias("lo"),
-                                     F.max(f"x{i}").alias("hi")).orderBy(f"b{i}").collect()
+        st = [r for r in found if r["i"] == i]
         tot = sum(r["c"] for r in st)
-        stats.append([(r[f"b{i}"], r["c"] / tot, r["lo"], r["hi"]) for r in st])
+        stats.append([(r["b"], r["c"] / tot, r["lo"], r["hi"]) for r in st])
     spark = rows.sparkSession
     chosen = rows.select(id_col, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(feats)],
                          *[bin_of(i, F.col(f).cast("double")).alias(f"rb{i}") for i, f in enumerate(feats)])
