@@ -60,9 +60,12 @@ def start_score_stream(spark: SparkSession, model: PipelineModel, source_path: s
 
 def score_stream(spark: SparkSession, model: PipelineModel, source_path: str, schema: T.StructType,
                  sink_path: str | None = None, keep: Sequence[str] | None = None,
-                 max_files_per_trigger: int | None = 1) -> DataFrame:
+                 max_files_per_trigger: int | None = None) -> DataFrame:
     """Run the scoring stream over everything that has arrived
-    (``availableNow``) and return the sink as a batch DataFrame."""
+    (``availableNow``) and return the sink as a batch DataFrame.  A micro-batch
+    takes four files for each task slot unless told otherwise: with fewer files
+    than slots most of the cluster would wait for the batch to end."""
+    max_files_per_trigger = max_files_per_trigger or 4 * spark.sparkContext.defaultParallelism
     sink = sink_path or scratch_dir(spark, "score-stream-out")
     q = start_score_stream(spark, model, source_path, schema, sink, keep=keep,
                            max_files_per_trigger=max_files_per_trigger)
