@@ -25,6 +25,9 @@ from tessera.session import ensure_checkpoint_dir
 #: Bytes that the hash looks back on, and bytes in work at a time.
 REACH, BLOCK = 32, 1 << 21
 
+#: Documents whose keys go to every task to pick their texts; with more, all texts are shuffled.
+NAMED = 1_000_000
+
 
 def _gear() -> np.ndarray:
     """One 32-bit word for each byte value, by the splitmix64 rule."""
@@ -127,8 +130,9 @@ def _alike(a: pd.Series, b: pd.Series, side: pd.Series) -> pd.Series:
 def _grown(texts: DataFrame, edges: DataFrame, reach: int = 512) -> DataFrame:
     """``edges(doc, off, side, kept, at, kept_at)`` with ``n``, the bytes that
     ``texts(doc, data)`` have alike beyond the places at and kept_at.  Edges
-    that agree over the whole reach go on in a further round with twice of it."""
-    left, done = edges.withColumn("n", F.lit(0).cast("long")), None
+    that agree over the whole reach go on in a further round with twice of it,
+    which shuffles the texts of their documents only."""
+    left, done, needed = edges.withColumn("n", F.lit(0).cast("long")), None, texts
     while True:
         places = left.select("doc", "at", "side").unionByName(
             left.select(F.col("kept.doc").alias("doc"), F.col("kept_at").alias("at"), "side")).distinct() \
@@ -139,20 +143,23 @@ def _grown(texts: DataFrame, edges: DataFrame, reach: int = 512) -> DataFrame:
             n = F.when(p["side"] > 0, F.lit(reach)).otherwise(F.least(p["at"], F.lit(reach)))
             return F.struct(p["at"].alias("at"), p["side"].alias("side"),
                             F.substring(F.col("data"), (a + 1).cast("int"), n.cast("int")).alias("bytes"))
-        sides = texts.join(places, "doc").select("doc", F.inline(F.transform("places", beside)))
-        theirs = sides.select(F.col("doc").alias("k_doc"), F.col("at").alias("k_at"), F.col("side").alias("k_side"),
-                              F.col("bytes").alias("k_bytes"))
-        tried = left.join(sides, ["doc", "at", "side"]).join(
-            theirs, F.expr("kept.doc = k_doc and kept_at = k_at and side = k_side")) \
-            .withColumn("more", _alike("bytes", "k_bytes", "side")) \
-            .select("doc", "off", "side", "kept", "at", "kept_at", (F.col("n") + F.col("more")).alias("n"), "more").checkpoint()
+        sides = needed.join(places, "doc").select("doc", F.inline(F.transform("places", beside)))
+        # both joins take sides under its own names, so that its shuffle is made once
+        tried = left.join(sides, ["doc", "at", "side"]).alias("ours").join(
+            sides.alias("theirs"), F.expr("ours.kept.doc = theirs.doc and ours.kept_at = theirs.at and ours.side = theirs.side")) \
+            .withColumn("more", _alike("ours.bytes", "theirs.bytes", "ours.side")) \
+            .select("ours.doc", "off", "ours.side", "kept", "ours.at", "kept_at", (F.col("n") + F.col("more")).alias("n"), "more") \
+            .checkpoint()
         ended = tried.where(F.col("more") < reach).select("doc", "off", "side", "kept", "n")
         done = ended if done is None else done.unionByName(ended)
         step = F.col("side") * reach
         left = tried.where(F.col("more") == reach).select(
             "doc", "off", "side", "kept", (F.col("at") + step).alias("at"), (F.col("kept_at") + step).alias("kept_at"), "n")
-        if left.isEmpty():
+        named = left.select("doc").union(left.select("kept.doc")).distinct()
+        n = named.count()
+        if not n:
             return done
+        needed = texts.join(F.broadcast(named), "doc", "left_semi") if n <= NAMED else texts
         reach *= 2
 
 

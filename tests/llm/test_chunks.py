@@ -203,3 +203,23 @@ def test_query_removes_short_copies(spark, tmp_path):
     spark.createDataFrame([(1, "a short text"), (2, "a short text"), (None, "a short text")], "doc_id long, text string") \
         .write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in op5_chunk_dedup(spark, str(tmp_path)).collect()) == [(0, 0), (1, 12), (2, 12)]
+
+
+def test_later_growth_shuffles_the_texts_it_needs_only(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    rng = random.Random(5)
+    texts = {i: "".join(rng.choices("abcdefgh ", k=300)) for i in range(20)}
+    texts |= {50: "a" + "y" * 3000, 51: "bc" + "y" * 2000}  # alike over several rounds, cut at other places
+    rows = spark.createDataFrame([(d, bytearray(t.encode())) for d, t in texts.items()], "doc long, data binary")
+    edges = spark.sql("select 51L as doc, 0L as off, 1 as side, struct(50L as doc, 0L as off) as kept, 2L as at, 1L as kept_at")
+    edges = edges.unionByName(spark.sql("select 3L, 0L, 1, struct(4L as doc, 0L as off), 0L, 0L").toDF(*edges.columns))
+    plans, plain = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a, **k: (
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, *a, **k))[1])
+    grown = lambda: sorted((r["doc"], r["side"], r["n"]) for r in chunks._grown(rows, edges).collect())
+    same = alike(texts[3].encode(), texts[4].encode(), 1)
+    assert grown() == [(3, 1, same), (51, 1, 2000)]
+    assert len(plans) == 3 and ["LeftSemi" in p for p in plans] == [False, True, True]
+    monkeypatch.setattr(chunks, "NAMED", 0)  # more documents than are named: all texts are shuffled
+    plans.clear()
+    assert grown() == [(3, 1, same), (51, 1, 2000)] and not any("LeftSemi" in p for p in plans)
