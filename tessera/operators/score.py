@@ -70,10 +70,11 @@ def fit_scoring_model(df: DataFrame, features: Sequence[str], target: str, famil
     df = df.where(F.col(target).isNotNull())
     task = task or detect_task(df, target).first()["task"]
     stages = feature_stages(df, features, target, task, encoder, scaler)
-    n = df.count()
-    k = 2
-    if task == "classification":
-        k = df.select(target).distinct().count()
+    if task == "classification":  # rows and classes of one pass
+        classes = df.groupBy(target).agg(F.count(F.lit(1)).alias("__n"))
+        n, k = classes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1))).first()
+    else:
+        n, k = df.count(), 2
     stages.append(make_estimator(family, task, n, k, **params))
     spread_df = fit_partitions(df, n)
     if spread_df is not df:

@@ -229,3 +229,38 @@ def test_registered_queries_run_whole_jobs(spark, monkeypatch):
     assert ran["compare_models"][0]["folds"] == 5
     assert not ran["compare_models"][0]["params"]
     assert {"l_linenumber", "l_returnflag", "l_linestatus"} <= set(ran["rfe"][0]["features"])
+
+
+def test_fit_counts_rows_and_classes_in_one_pass(spark, planted, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(it):
+        for b in it:
+            seen.add(len(b))
+            yield b
+
+    class Counted(Exception):
+        pass
+
+    def stop(family, task, n, k, **_):
+        raise Counted(n, k)
+
+    monkeypatch.setattr(SC, "make_estimator", stop)
+    rows = planted.select("x1", F.when(F.col("id") >= 10, F.col("y")).alias("y")).mapInPandas(watched, "x1 double, y string")
+    with pytest.raises(Counted) as got:
+        SC.fit_scoring_model(rows, ["x1"], "y", task="classification")
+    assert got.value.args == (1490, 2) and seen.value == 1500
+
+
+def test_stream_rows_land_without_the_splits(spark, monkeypatch, tmp_path):
+    from tessera.plans import workloads as W
+    (spark.range(50).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 3).alias("l_linenumber"),
+        F.when(F.col("id") != 4, F.col("id").cast("double")).alias("l_quantity"), F.lit(2.5).alias("l_extendedprice"),
+        F.lit(0.1).alias("l_discount"), F.lit(0.2).alias("l_tax"), F.lit("R").alias("l_returnflag"), F.lit("O").alias("l_linestatus"))
+     .withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).drop("n").write.parquet(f"{tmp_path}/lineitem.parquet"))
+    rows = W._explain_rows(spark, str(tmp_path)).select("row_id", *W.EXPLAIN_FEATURES)
+    monkeypatch.setattr(W, "_explain_setup", lambda *_: (None, None, None))
+    monkeypatch.setattr(W.ST, "score_stream", lambda spark, model, path, schema, keep: spark.read.schema(schema).parquet(path))
+    landed = W.QUERIES["score_stream"](spark, str(tmp_path))
+    assert landed.count() == 100 and landed.exceptAll(rows).isEmpty() and rows.exceptAll(landed).isEmpty()
