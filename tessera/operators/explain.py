@@ -171,61 +171,58 @@ def prepare_trees(pdf: pd.DataFrame, weights: list[float], kind: str, classifica
 def _compile_tree(tr: dict, n_out: int, p: int) -> dict | None:
     """Flatten one tree's leaf records for the vectorised kernel.
 
-    Groups are (leaf, path feature) pairs; the kernel evaluates every split
-    once per row, ANDs the steps of each group with ``reduceat``, turns the
-    groups of a leaf into its bit pattern with a small matmul and gathers
-    the SHAP values of all groups from one flattened table.
+    Groups are (leaf, path feature) pairs.  ``steps`` has the groups' first
+    steps, second steps and so on, ``bits`` the leaves' first features, second
+    features and so on; the leaves' tables stand one below the other, as wide
+    as the longest; ``used`` are the groups' places in the rows of all leaves,
+    which ``vx`` spreads over outputs and features.
     """
     inner = np.flatnonzero(tr["feat"] >= 0)
     pos = {int(n): i for i, n in enumerate(inner)}
-    step_node, step_dir, starts = [], [], []
-    g_leaf, g_j, g_m, g_off, g_feat, g_v = [], [], [], [], [], []
-    tables = []
-    off = 0
     leaves = [lf for lf in tr["leaves"] if len(lf["feats"])]
     if not leaves:
         return None
-    for li, lf in enumerate(leaves):
-        m = len(lf["feats"])
-        for j in range(m):
-            starts.append(len(step_node))
-            for node, went_left, jj in lf["steps"]:
-                if jj == j:
-                    step_node.append(pos[node])
-                    step_dir.append(went_left)
-            g_leaf.append(li)
-            g_j.append(j)
-            g_m.append(m)
-            g_off.append(off)
-            g_feat.append(int(lf["feats"][j]))
-            g_v.append(lf["v"])
-        tables.append(lf["table"].reshape(-1))
-        off += lf["table"].size
-    G, L = len(g_leaf), len(leaves)
-    W = np.zeros((G, L), dtype=np.int64)
-    W[np.arange(G), g_leaf] = 1 << np.asarray(g_j)
-    onehot = np.zeros((G, p))
-    onehot[np.arange(G), g_feat] = 1.0
-    cats = {pos[n]: v for n, v in tr["cats"].items()}
-    return {"feat": tr["feat"][inner], "thr": tr["thr"][inner], "cats": cats,
-            "step_node": np.asarray(step_node), "step_dir": np.asarray(step_dir, dtype=bool),
-            "starts": np.asarray(starts), "W": W, "g_leaf": np.asarray(g_leaf), "g_j": np.asarray(g_j),
-            "g_m": np.asarray(g_m), "g_off": np.asarray(g_off), "flat": np.concatenate(tables),
-            "vx": np.asarray(g_v).reshape(G, n_out).T[:, :, None] * onehot[None, :, :]}
+    groups = [(li, j) for li, lf in enumerate(leaves) for j in range(len(lf["feats"]))]
+    of_group = [[(pos[node], went_left) for node, went_left, jj in leaves[li]["steps"] if jj == j] for li, j in groups]
+    steps = []
+    for r in range(max(map(len, of_group))):
+        has = [g for g, s in enumerate(of_group) if len(s) > r]
+        steps.append((np.array(has), np.array([of_group[g][r][0] for g in has]),
+                      np.array([of_group[g][r][1] for g in has], dtype=bool)[:, None]))
+    width = max(len(lf["feats"]) for lf in leaves)
+    bits = []
+    for j in range(width):
+        has = [(li, g) for g, (li, jj) in enumerate(groups) if jj == j]
+        bits.append(tuple(np.array(has).T))
+    table = np.concatenate([np.pad(lf["table"], ((0, 0), (0, width - lf["table"].shape[1]))) for lf in leaves])
+    vx = np.zeros((n_out, len(groups), p))
+    for g, (li, j) in enumerate(groups):
+        vx[:, g, leaves[li]["feats"][j]] = leaves[li]["v"]
+    ends = np.cumsum([len(lf["table"]) for lf in leaves])
+    return {"feat": tr["feat"][inner], "thr": tr["thr"][inner][:, None], "cats": {pos[n]: v for n, v in tr["cats"].items()},
+            "steps": steps, "bits": bits, "table": table, "vx": vx, "used": np.array([li * width + j for li, j in groups]),
+            "first": np.concatenate([[0], ends[:-1]])[:, None]}
 
 
 def _shap_batch(x: np.ndarray, compiled: list, n_out: int, p: int) -> np.ndarray:
-    N = len(x)
+    """(rows, outputs, features) SHAP values.  Every split is evaluated once per
+    row; a group holds if all its steps do, the groups of a leaf are its bit
+    pattern, and that is a row of the leaf's table.  Nodes, groups and leaves
+    are the first axis, so that each operation runs along adjoining rows."""
+    N, columns = len(x), np.ascontiguousarray(x.T)
     phi = np.zeros((n_out, N, p))
     for t in compiled:
-        dec = x[:, t["feat"]] <= t["thr"]
-        for col, cats in t["cats"].items():
-            dec[:, col] = np.isin(x[:, t["feat"][col]], cats)
-        ok = dec[:, t["step_node"]] == t["step_dir"]
-        fail = np.logical_or.reduceat(~ok, t["starts"], axis=1)
-        pattern = (~fail).astype(np.int64) @ t["W"]  # N × leaves
-        idx = t["g_off"] + pattern[:, t["g_leaf"]] * t["g_m"] + t["g_j"]
-        vals = t["flat"][idx]  # N × groups
+        dec = columns[t["feat"]] <= t["thr"]
+        for node, cats in t["cats"].items():
+            dec[node] = np.isin(columns[t["feat"][node]], cats)
+        (_, nodes, left), *more = t["steps"]
+        ok = dec[nodes] == left
+        for has, nodes, left in more:
+            ok[has] &= dec[nodes] == left
+        row = np.repeat(t["first"], N, axis=1)  # leaves × N
+        for j, (leaf, group) in enumerate(t["bits"]):
+            row[leaf] += ok[group].astype(np.int64) << j
+        vals = t["table"].take(row.T, axis=0).reshape(N, -1).take(t["used"], axis=1)  # N × groups
         for k in range(n_out):
             phi[k] += vals @ t["vx"][k]
     return phi.transpose(1, 0, 2)

@@ -231,6 +231,45 @@ def test_registered_queries_run_whole_jobs(spark, monkeypatch):
     assert {"l_linenumber", "l_returnflag", "l_linestatus"} <= set(ran["rfe"][0]["features"])
 
 
+def test_shap_kernel_follows_the_definition():
+    """Steps, categories and missing values; a compiled tree holds no table of
+    its groups by its leaves, whose product was most of the kernel's time."""
+    rng, depth, p = np.random.RandomState(5), 8, 4
+    inner = (1 << depth) - 1
+    feat = np.concatenate([rng.randint(0, p, inner), np.full(inner + 1, -1)])
+    thr = np.concatenate([rng.rand(inner), np.zeros(inner + 1)])
+    cats = {3: np.array([0.0, 2.0])}
+    feat[3] = 3
+    leaves = []
+
+    def walk(node, path):
+        if node < inner:
+            walk(2 * node + 1, [*path, (node, True)])
+            walk(2 * node + 2, [*path, (node, False)])
+            return
+        feats = list(dict.fromkeys(int(feat[n]) for n, _ in path))
+        leaves.append({"steps": [(n, w, feats.index(int(feat[n]))) for n, w in path], "feats": np.array(feats),
+                       "table": EX._leaf_table(rng.rand(len(feats))), "v": rng.rand(2)})
+    walk(0, [])
+    tree = EX._compile_tree({"feat": feat, "thr": thr, "cats": cats, "leaves": leaves}, 2, p)
+    x = rng.rand(60, p)
+    x[:, 3] = rng.randint(0, 4, 60)
+    x[7, 1] = np.nan
+    expected = np.zeros((60, 2, p))
+    for i, row in enumerate(x):
+        for lf in leaves:
+            pattern = (1 << len(lf["feats"])) - 1
+            for n, went_left, j in lf["steps"]:
+                left = row[feat[n]] in cats[n] if n in cats else row[feat[n]] <= thr[n]
+                if left != went_left:
+                    pattern &= ~(1 << j)
+            for j, f in enumerate(lf["feats"]):
+                expected[i, :, f] += lf["table"][pattern, j] * lf["v"]
+    assert np.allclose(EX._shap_batch(x, [tree], 2, p), expected, rtol=0, atol=1e-12)
+    groups = sum(len(lf["feats"]) for lf in leaves)
+    assert max(a.size for a in tree.values() if isinstance(a, np.ndarray)) < groups * len(leaves) // 4
+
+
 def test_fit_counts_rows_and_classes_in_one_pass(spark, planted, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 
