@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IndexToString
+from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_numeric
-from tessera.operators.models import FEATURES, LABEL, feature_stages, fit_partitions, make_estimator
+from tessera.operators import cells
+from tessera.operators.models import FEATURES, LABEL, ROWS_PER_FIT_PARTITION, feature_stages, fit_partitions, make_estimator
 from tessera.operators.profile import detect_task, modes
 
 
@@ -66,7 +67,8 @@ def fit_scoring_model(df: DataFrame, features: Sequence[str], target: str, famil
                       task: str | None = None, encoder: str = "index", scaler: str | None = None,
                       **params) -> PipelineModel:
     """One PipelineModel = feature encoders + model (+ label decoder
-    for classification), fitted on all given rows."""
+    for classification), fitted on all given rows.  Forests of classes over more
+    rows than one fit partition holds are grown on counted cells (``cells``)."""
     df = df.where(F.col(target).isNotNull())
     task = task or detect_task(df, target).first()["task"]
     stages = feature_stages(df, features, target, task, encoder, scaler)
@@ -75,11 +77,16 @@ def fit_scoring_model(df: DataFrame, features: Sequence[str], target: str, famil
         n, k = classes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1))).first()
     else:
         n, k = df.count(), 2
-    stages.append(make_estimator(family, task, n, k, **params))
+    est = make_estimator(family, task, n, k, **params)
     spread_df = fit_partitions(df, n)
     if spread_df is not df:
         spread_df = spread_df.persist()
-    pm = Pipeline(stages=stages).fit(spread_df)
+    if n > ROWS_PER_FIT_PARTITION and encoder == "index" and scaler is None and cells.suits(est, len(features), k):
+        encoders = Pipeline(stages=stages).fit(spread_df)
+        inputs = next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols()
+        pm = PipelineModel([*encoders.stages, cells.fit_forest(est, encoders.transform(spread_df), inputs, len(encoders.stages[-1].labels))])
+    else:
+        pm = Pipeline(stages=[*stages, est]).fit(spread_df)
     if spread_df is not df:
         spread_df.unpersist()
     # the target encoder is only needed for training; rows to score have no target
