@@ -67,7 +67,7 @@ def cuts_of(points: Sequence[float], bins: int) -> np.ndarray:
     return np.unique(mids[~np.isnan(mids)])
 
 
-def _code(x: Column, cuts: np.ndarray) -> Column:
+def code_of(x: Column, cuts: np.ndarray) -> Column:
     """Number of cuts below x, by halving; a NaN is above all."""
     def part(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -270,7 +270,7 @@ def fit_forest(est: RandomForestClassifier, rows: DataFrame, inputs: Sequence[st
     names = [f"c{i}" for i in range(p)]
     flat = rows.select(*[named(c).alias(n) for c, n in zip(inputs, names)], F.col(est.getLabelCol()).cast("int").alias("label"))
     cuts = [cuts_of(q, bins) for q in flat.approxQuantile(names, [i / POINTS for i in range(POINTS + 1)], 0.5 / POINTS)]
-    cells = flat.select(*[_code(F.col(n), c).alias(n) for n, c in zip(names, cuts)], "label").groupBy(*names, "label").agg(F.count(F.lit(1)).alias("n"))
+    cells = flat.select(*[code_of(F.col(n), c).alias(n) for n, c in zip(names, cuts)], "label").groupBy(*names, "label").agg(F.count(F.lit(1)).alias("n"))
     trees, strategy = est.getNumTrees(), est.getFeatureSubsetStrategy()
     tried = math.ceil(math.sqrt(p)) if strategy == "sqrt" or strategy == "auto" and trees > 1 else p
     grown = grow(packed(cells, p), p, classes, np.array([len(c) for c in cuts]), trees, est.getMaxDepth(), tried, bins, est.getSeed(), est.getBootstrap())

@@ -17,6 +17,7 @@ output exactly (base = Σ v·Π z).
 as hold a bounded number of rows: inside each copy the feature column is
 re-paired by two independent hash orders (global ranks from parts of
 the hash range, never one task), then one ``transform`` and one grouped metric.
+For classes and tree models the copies are dealt out as cells (``dealt``).
 
 **Local surrogate (LIME-style)**: perturbations of the chosen rows are a
 cross join with a fixed-size ``range(n)``; one weighted ridge fit per row
@@ -32,12 +33,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import spread
+from tessera.operators import dealt as DL
 from tessera.session import scratch_dir
 
 # --------------------------------------------------------------------------
@@ -328,6 +331,34 @@ def _paired(df: DataFrame, n: int, copies: dict[int, str], id_col: str, seed: in
     return j.select(*df.columns, "__copy")
 
 
+def _tree_cells(model, rows: DataFrame, label: str) -> tuple[DataFrame, list[str], PipelineModel, DL.Cells] | None:
+    """(encoded rows, the assembler's inputs, stages from the tree model on,
+    cells) of a pipeline whose tree model reads plain numbers, each made from one
+    feature; None for any other."""
+    if not isinstance(model, PipelineModel) or not any(hasattr(s, "featureImportances") for s in model.stages):
+        return None
+    pre, tree = _split_model(model)
+    if pre is None or not isinstance(pre.stages[-1], VectorAssembler) or pre.stages[-1].getOutputCol() != tree.getFeaturesCol():
+        return None
+    encoded, inputs = PipelineModel(pre.stages[:-1]).transform(rows), pre.stages[-1].getInputCols()
+    if any(encoded.schema[c].dataType != T.DoubleType() for c in inputs):
+        return None
+    nodes = tree_table(tree)[0]
+    nodes = nodes[nodes["leftChild"] >= 0]
+    if (nodes["ncat"] > 0).any():
+        return None
+    cuts = [np.unique([c[0] for c in nodes.loc[nodes["feature"] == i, "cats"]]) for i in range(len(inputs))]
+    labels = [r[0] for r in rows.select(F.col(label).cast("string").alias("c")).where("c is not null").distinct().limit(DL.LABELS + 1).collect()]
+    cells = DL.Cells(cuts, sorted(labels))
+    return (encoded, inputs, PipelineModel(model.stages[len(pre.stages):]), cells) if cells.fits() else None
+
+
+def _feature_input(feature: str, inputs: Sequence[str]) -> int | None:
+    """The place of the one input that ``models.feature_stages`` makes from a feature."""
+    own = [i for i, c in enumerate(inputs) if c in (feature, f"{feature}__full", f"{feature}__code")]
+    return own[0] if len(own) == 1 else None
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str,
                            id_col: str, task: str = "classification", repeats: int = 5,
                            seed: int = 42) -> DataFrame:
@@ -341,32 +372,49 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     each job's shuffle files go with it, so that the disk in use grows with
     the rows, not with rows times copies."""
     spark = df.sparkSession
-    df = df.persist()
-    n = df.count()
     feats = list(features)
     copies = dict(enumerate(f for f in feats for _ in range(repeats)))
 
-    def scores(stacked: DataFrame) -> list:
-        pred = model.transform(stacked)
+    def predicted(stacked: DataFrame, stages: PipelineModel) -> DataFrame:
+        pred = stages.transform(stacked)
         pcol = "predicted_label" if "predicted_label" in pred.columns else "prediction"
         if pcol != "prediction":
             pred = pred.drop("prediction").withColumnRenamed(pcol, "prediction")
-        return _score(pred, label, task, ["__copy"]).select("__copy", F.col("score").cast("double")).collect()
+        return pred
+
+    def scores(stacked: DataFrame) -> list:
+        return _score(predicted(stacked, model), label, task, ["__copy"]).select("__copy", F.col("score").cast("double")).collect()
+
+    def all_scores() -> list:
+        known = _tree_cells(model, df, label) if task == "classification" else None
+        if known:
+            encoded, inputs, tail, cells = known
+            of = {c: _feature_input(f, inputs) for c, f in copies.items()}
+            if None not in of.values():
+                hit = F.col("__y") == F.col("prediction").cast("string")
+                return DL.scores(encoded, inputs, label, id_col, cells, of, seed,
+                                 lambda counted: predicted(cells.rows(counted, tail.stages[0].getFeaturesCol(), "__y"), tail).withColumn("hit", hit))
+        rows = df.persist()
+        n = rows.count()
+        try:
+            at_once = max(1, PAIRED // max(n, 1))
+            found = scores(rows.withColumn("__copy", F.lit(-1)))
+            for lo in range(0, len(copies), at_once):
+                found += scores(_paired(rows, n, dict(list(copies.items())[lo:lo + at_once]), id_col, seed))
+            return found
+        finally:
+            rows.unpersist()
 
-    at_once = max(1, PAIRED // max(n, 1))
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, None)
     spark.conf.set(cleanup, "true")  # a job's shuffle files are not needed after it
     try:
-        found = scores(df.withColumn("__copy", F.lit(-1)))
-        for lo in range(0, len(copies), at_once):
-            found += scores(_paired(df, n, dict(list(copies.items())[lo:lo + at_once]), id_col, seed))
+        found = all_scores()
     finally:
         if before is None:
             spark.conf.unset(cleanup)
         else:
             spark.conf.set(cleanup, before)
-        df.unpersist()
     got = spark.createDataFrame([tuple(r) for r in found], "__copy int, score double")
     base = got.where(F.col("__copy") == -1).select(F.col("score").alias("__base"))
     cmap = F.create_map(*[x for i, f in copies.items() for x in (F.lit(i), F.lit(f))])
