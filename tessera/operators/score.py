@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_numeric
 from tessera.operators import cells
-from tessera.operators.models import FEATURES, LABEL, ROWS_PER_FIT_PARTITION, feature_stages, fit_partitions, make_estimator
+from tessera.operators.models import FEATURES, LABEL, feature_stages, fit_partitions, make_estimator
 from tessera.operators.profile import detect_task, modes
 
+#: Rows above which forests of classes are grown on counted cells; up to it
+#: Spark's own trees take seconds.
+LARGE_FIT = 250_000
+
 
 def default_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """X6 form defaults: ``(position, column, mean, mode)`` — the mean of a
@@ -68,7 +72,7 @@ def fit_scoring_model(df: DataFrame, features: Sequence[str], target: str, famil
                       **params) -> PipelineModel:
     """One PipelineModel = feature encoders + model (+ label decoder
     for classification), fitted on all given rows.  Forests of classes over more
-    rows than one fit partition holds are grown on counted cells (``cells``)."""
+    than ``LARGE_FIT`` rows are grown on counted cells (``cells``)."""
     df = df.where(F.col(target).isNotNull())
     task = task or detect_task(df, target).first()["task"]
     stages = feature_stages(df, features, target, task, encoder, scaler)
@@ -81,7 +85,7 @@ def fit_scoring_model(df: DataFrame, features: Sequence[str], target: str, famil
     spread_df = fit_partitions(df, n)
     if spread_df is not df:
         spread_df = spread_df.persist()
-    if n > ROWS_PER_FIT_PARTITION and encoder == "index" and scaler is None and cells.suits(est, len(features), k):
+    if n > LARGE_FIT and encoder == "index" and scaler is None and cells.suits(est, len(features), k):
         encoders = Pipeline(stages=stages).fit(spread_df)
         inputs = next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols()
         pm = PipelineModel([*encoders.stages, cells.fit_forest(est, encoders.transform(spread_df), inputs, len(encoders.stages[-1].labels))])

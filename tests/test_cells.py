@@ -66,7 +66,7 @@ def test_large_fits_go_by_cells(spark, monkeypatch):
     called = []
     fit = CE.fit_forest
     monkeypatch.setattr(CE, "fit_forest", lambda *a: called.append(a) or fit(*a))
-    monkeypatch.setattr(SC, "ROWS_PER_FIT_PARTITION", 1000)
+    monkeypatch.setattr(SC, "LARGE_FIT", 1000)
     rows = _rows(spark).select("id", "a", F.when(F.col("id") % 9 > 0, F.col("b")).alias("b"), F.col("c").cast("string").alias("t"),
                                F.when(F.col("target_index") > 0, "yes").otherwise("no").alias("y"))
     model = SC.fit_scoring_model(rows, ["a", "b", "t"], "y", "random_forest", task="classification", trees=10, depth=4)
