@@ -273,5 +273,6 @@ def fit_forest(est: RandomForestClassifier, rows: DataFrame, inputs: Sequence[st
     cells = flat.select(*[code_of(F.col(n), c).alias(n) for n, c in zip(names, cuts)], "label").groupBy(*names, "label").agg(F.count(F.lit(1)).alias("n"))
     trees, strategy = est.getNumTrees(), est.getFeatureSubsetStrategy()
     tried = math.ceil(math.sqrt(p)) if strategy == "sqrt" or strategy == "auto" and trees > 1 else p
-    grown = grow(packed(cells, p), p, classes, np.array([len(c) for c in cuts]), trees, est.getMaxDepth(), tried, bins, est.getSeed(), est.getBootstrap())
+    grown = grow(packed(cells, p), p, classes, np.array([len(c) for c in cuts]), trees, est.getMaxDepth(), tried, bins,
+                 est.getSeed() % (1 << 63), est.getBootstrap())
     return _spark_model(rows.sparkSession, est, [_nodes(g, cuts) for g in grown], p, classes)
